@@ -173,12 +173,14 @@ def fourier(frame: Column, window: np.ndarray | None = None) -> Column:
     return kernel(frame)
 
 
-def inverse_fourier(re: Column, im: Column, size: int) -> Column:
-    """Real part of the inverse of a one-sided spectrum with the upper half left at zero."""
+def inverse_fourier(re: Column, im: Column, size: int, whole: bool = False) -> Column:
+    """Real part of the inverse of a one-sided spectrum; the upper half is zero, or by symmetry with ``whole``."""
 
     @F.pandas_udf("array<double>")
     def kernel(a: pd.Series, b: pd.Series) -> pd.Series:
         half = _frames(a) + 1j * _frames(b)
+        if whole:
+            return pd.Series(list(np.fft.irfft(half, size)))
         full = np.zeros((len(half), size), dtype=complex)
         full[:, : half.shape[1]] = half
         return pd.Series(list(np.fft.ifft(full).real))

@@ -70,6 +70,14 @@ def overlap_add(frames: DataFrame, keys: list[str], step: int, value: str = "val
     ).agg(F.sum("_x").alias("x"))
 
 
+def invert_halfoverlap(frames: DataFrame, keys: list[str], size: int, value: str = "values") -> DataFrame:
+    """Overlap-add at half the size; an even number of frames leaves half a frame of zeros at the end."""
+    count = frames.groupBy(*keys).agg((F.max("frame") + 1).alias("_n")).where("_n % 2 = 0")
+    end = F.expr(f"(_n div 2 + 1) * {size}")
+    zeros = count.select(*keys, F.explode(F.sequence(end - size // 2, end - 1)).alias("pos"), F.lit(0.0).alias("x"))
+    return overlap_add(frames, keys, size // 2, value).unionByName(zeros)
+
+
 def trim_edges(signal: DataFrame, keys: list[str], threshold: int = 2, code: str = "code", block: int = BLOCK) -> DataFrame:
     """Drop leading and trailing codes within ``threshold`` of 127; the last loud sample is exclusive."""
     loud = F.when(F.abs(F.col(code) - 127) > threshold, F.col("pos"))
@@ -164,12 +172,15 @@ def voiced_samples(signal: DataFrame, activity: DataFrame, keys: list[str], size
 def best_lag(a: DataFrame, b: DataFrame, keys: list[str], largest: int) -> DataFrame:
     """(keys, lag, score): the lag of b against a within ±largest with the largest sum of products (first on ties).
 
-    Each sample of b is offered at the bounded lags; the join is equal on (keys, pos) and sums are partial per task.
+    Both sides are mean-centered. Each sample of b is offered at the bounded lags; the join is equal on (keys, pos) and
+    sums are partial per task.
     """
-    shifted = b.select(*keys, "pos", F.col("x").alias("_b")).withColumn(
+    from seqprep.operators.aggregates import mean_center
+
+    shifted = mean_center(b, keys).select(*keys, "pos", F.col("x").alias("_b")).withColumn(
         "lag", F.explode(F.sequence(F.lit(-largest), F.lit(largest)))
     ).withColumn("pos", F.col("pos") + F.col("lag"))
-    scores = a.select(*keys, "pos", "x").join(shifted, [*keys, "pos"]).groupBy(*keys, "lag").agg(
+    scores = mean_center(a, keys).select(*keys, "pos", "x").join(shifted, [*keys, "pos"]).groupBy(*keys, "lag").agg(
         F.sum(F.col("x") * F.col("_b")).alias("score")
     )
     best = F.max(F.struct("score", (-F.col("lag")).alias("l")))
@@ -177,15 +188,15 @@ def best_lag(a: DataFrame, b: DataFrame, keys: list[str], largest: int) -> DataF
 
 
 def downsample(signal: DataFrame, keys: list[str], m: int, taps: list[float]) -> DataFrame:
-    """Filter with a fixed list of taps and keep every m-th sample.
+    """Filter with a fixed list of taps and keep every m-th value of the whole convolution, tail included.
 
-    Each sample adds to the outputs its taps reach; outputs before the start or beyond the end are dropped.
+    Each sample adds to the few outputs its taps reach; sums are partial per task.
     """
     ends = signal.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
     table = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(taps)])
-    x = signal.select(*keys, "pos", "x", F.explode(table).alias("h"))
-    x = x.withColumn("_at", F.col("pos") + F.col("h.i")).where(F.col("_at") % m == 0)
-    out = x.groupBy(*keys, F.expr(f"_at div {m}").alias("pos")).agg(F.sum(F.col("x") * F.col("h.t")).alias("x"))
-    spread = ends.select(*keys, F.explode(F.expr(f"sequence(0L, (_n - 1) div {m})")).alias("pos"))
-    return out.join(spread, [*keys, "pos"], "left_semi")
-
+    reach = F.filter(table, lambda h: (F.col("pos") + h["i"]) % m == 0)
+    x = signal.select(*keys, "pos", "x", F.explode(reach).alias("h"))
+    out = x.groupBy(*keys, F.expr(f"(pos + h.i) div {m}").alias("pos")).agg(F.sum(F.col("x") * F.col("h.t")).alias("x"))
+    extra = -(-len(taps) // m)
+    places = ends.select(*keys, F.explode(F.expr(f"sequence(0L, (_n + {m} - 1) div {m} + {extra} - 1)")).alias("pos"))
+    return places.join(out, [*keys, "pos"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))

@@ -40,10 +40,17 @@ def bins(spec: DataFrame, keys: list[str]) -> DataFrame:
     return spec.select(*keys, "frame", F.posexplode(magnitudes(spec)).alias("bin", "mag"))
 
 
-def inverse_spectrum(spec: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True) -> DataFrame:
-    """signal(keys, pos, x) by inverse transform and overlap-add."""
-    f = spec.withColumn("values", S.inverse_fourier(F.col("re"), F.col("im"), size))
-    out = W.overlap_add(f, keys, step or size // 2)
+def inverse_spectrum(
+    spec: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True, whole: bool = False
+) -> DataFrame:
+    """signal(keys, pos, x) by inverse transform and overlap-add.
+
+    By default the missing half of the spectrum counts as zeros, on ``size + 2`` places; ``whole`` restores it by
+    symmetry, which inverts ``spectrum`` exactly up to the window.
+    """
+    width = size if whole else size + 2
+    f = spec.withColumn("values", S.inverse_fourier(F.col("re"), F.col("im"), width, whole))
+    out = W.invert_halfoverlap(f, keys, width) if step is None else W.overlap_add(f, keys, step)
     return A.mean_center(out, keys) if center else out
 
 
@@ -93,7 +100,7 @@ def dct_compress(signal: DataFrame, keys: list[str], n: int, size: int = 128, ov
 
 def dct_uncompress(coefs: DataFrame, keys: list[str], n: int, size: int = 128, overlapped: bool = False) -> DataFrame:
     f = coefs.withColumn("values", S.project(F.col("coef"), S.cosine_basis(size)[:, :n].T))
-    return W.overlap_add(f, keys, size // 2 if overlapped else size)
+    return W.invert_halfoverlap(f, keys, size) if overlapped else W.overlap_add(f, keys, size)
 
 
 def mdct(signal: DataFrame, keys: list[str], half: int = 128) -> DataFrame:
@@ -105,7 +112,7 @@ def mdct(signal: DataFrame, keys: list[str], half: int = 128) -> DataFrame:
 def imdct(coefs: DataFrame, keys: list[str], half: int = 128) -> DataFrame:
     basis = (S.sine(2 * half)[:, None] * S.lapped_basis(half)).T / (half / 2)
     f = coefs.withColumn("values", S.project(F.col("coef"), basis))
-    return W.overlap_add(f, keys, half)
+    return W.invert_halfoverlap(f, keys, 2 * half)
 
 
 def gain_control(signal: DataFrame, keys: list[str], rate: int, size: int, n_bands: int = 20, t_scale: float = 0.5, width: float = 2.0) -> DataFrame:
