@@ -236,12 +236,12 @@ def mel_spectrogram(spark, folder):
 
 
 @query("signal_log_power", f"""
-{SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, frame, bin::INT AS bin, CASE WHEN re*re + im*im > 1e-12 THEN {r('10 * log10(re*re + im*im)', 4)} END AS v, 'u' || utt AS label FROM sp""")
+{SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, frame, bin::INT AS bin, CASE WHEN re*re + im*im > 1e-12 THEN {r('10 * log10(re*re + im*im)', 4)} ELSE -999.0 END AS v, 'u' || utt AS label FROM sp""")
 def log_power(spark, folder):
     path = F.concat(F.lit("/a/u"), F.col("utt").cast("string"), F.lit("_1.wav"))
     x = D.log_power_spectrogram(V.samples(spark, folder), U, SIZE, STEP, path)
     x = x.select("utt", "frame", "label", F.posexplode("feat").alias("bin", "v"))
-    return x.withColumn("v", F.when(F.col("v") > -120, rounded("v", 4)))
+    return x.withColumn("v", F.when(F.col("v") > -120, rounded("v", 4)).otherwise(-999.0))
 
 
 def dct_sql(n, size, source):
@@ -459,14 +459,14 @@ def nearest_timing_symbol(spark, folder):
 
 
 @query("join_repeat_to_resolution", f"""
-{SIG}, n AS (SELECT utt, count(*) AS n FROM signal GROUP BY utt), f AS (SELECT utt, pos AS frame, x AS a, x * 2 AS b FROM signal WHERE pos < 7)
-SELECT s.utt, s.pos, coalesce(f.a, 0.0) AS a, coalesce(f.b, 0.0) AS b FROM signal s JOIN n USING (utt) LEFT JOIN f ON f.utt = s.utt AND f.frame = s.pos // (n // 7) WHERE n >= 7""")
+{SIG}, n AS (SELECT utt, count(*) AS n FROM signal GROUP BY utt), f AS (SELECT utt, pos // 10 AS frame, max(x) AS a, min(x) AS b FROM signal GROUP BY ALL)
+SELECT s.utt, s.pos, coalesce(f.a, 0.0) AS a, coalesce(f.b, 0.0) AS b FROM signal s JOIN n USING (utt) LEFT JOIN f ON f.utt = s.utt AND f.frame = s.pos // (n // ((n + 9) // 10))""")
 def repeat_to_resolution(spark, folder):
     from seqprep.operators.blocks import with_totals
 
     s = V.samples(spark, folder)
-    x = with_totals(s, U, {"n": F.count("*")}).where("n >= 7").select("utt", "pos", "n", F.lit(7).cast("long").alias("n_frames"))
-    f = s.where("pos < 7").select("utt", F.col("pos").alias("frame"), F.array(F.col("x"), F.col("x") * 2).alias("feat"))
+    x = with_totals(s, U, {"n": F.count("*")}).select("utt", "pos", "n", F.expr("(n + 9) div 10").alias("n_frames"))
+    f = s.groupBy("utt", F.expr("pos div 10").alias("frame")).agg(F.array(F.max("x"), F.min("x")).alias("feat"))
     out = J.repeat_to_resolution(x, f, "utt")
     return out.select("utt", "pos", F.col("feat")[0].alias("a"), F.col("feat")[1].alias("b"))
 

@@ -152,14 +152,17 @@ def strip_stress(spark, folder):
     return x.groupBy("token").agg(F.count("*").alias("n")).select("token", S.strip_stress(F.col("token")).alias("phone"), "n")
 
 
-@query("text_reinsert_punctuation", Q.chain(DOC, [], """
-SELECT doc_id, array_to_string(list_transform(list_zip(string_split(p, ' '), string_split(w, ' ')), lambda z:
-  CASE WHEN instr('!,:?', z[2][1]) > 0 AND z[2] <> '' THEN z[2][1] || z[1]
-       WHEN instr('!,:?', z[2][-1]) > 0 AND z[2] <> '' THEN z[1] || z[2][-1] ELSE z[1] END), ' ') AS marked
-FROM (SELECT doc_id, regexp_replace(t, '[!,:?]', '', 'g') AS p, t AS w FROM done
-      WHERE NOT regexp_matches(t, '[!,:?][^ ]*[!,:?]'))"""))
+def _marked_sql():
+    out = "z[1]"
+    for m in "!,:?":
+        out = f"CASE WHEN left(z[2], 1) = '{m}' THEN '{m}' || {out} WHEN right(z[2], 1) = '{m}' THEN {out} || '{m}' ELSE {out} END"
+    return out
+
+
+@query("text_reinsert_punctuation", f"""
+SELECT doc_id, array_to_string(list_transform(list_zip(string_split(regexp_replace(text, '[!,:?]', '', 'g'), ' '), string_split(text, ' ')), lambda z: {_marked_sql()}), ' ') AS marked FROM documents""")
 def reinsert_punctuation(spark, folder):
-    x = V.documents(spark, folder, "text").where(~F.col("text").rlike("[!,:?][^ ]*[!,:?]"))
+    x = V.documents(spark, folder, "text")
     return x.select("doc_id", T.reinsert_punctuation(F.regexp_replace("text", "[!,:?]", ""), F.col("text")).alias("marked"))
 
 

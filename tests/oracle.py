@@ -7,6 +7,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,7 +25,7 @@ def rows_of(frame) -> tuple[list[str], list[tuple]]:
     columns = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "NULL"
         if hasattr(v, "item"):
             v = v.item()
