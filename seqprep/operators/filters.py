@@ -32,7 +32,7 @@ def alignment_case_filter(records: DataFrame) -> DataFrame:
         lambda done, w: F.concat(
             done,
             F.array(
-                F.coalesce(F.element_at(done, -1), F.lit(-1))
+                F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1))
                 + F.when(w["case"] == "not-found-in-transcript", 0).otherwise(1)
             ),
         ),
