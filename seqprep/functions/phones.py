@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.operators.blocks import lookup_join
+from seqprep.operators.blocks import lookup_join, with_row
 
 # Letter classes used by the context symbols of the rules.
 VOWELS = "AEIOUY"
@@ -165,7 +165,7 @@ def hyphenate(words: DataFrame, patterns: DataFrame, exceptions: DataFrame | Non
     longest = patterns.agg(F.max(F.length("letters")).alias("longest"))
     dotted = vocabulary.where(F.length(word) > 4).select(word, F.concat(F.lit("."), w, F.lit(".")).alias("_d"))
     pieces = (
-        dotted.crossJoin(F.broadcast(longest))
+        with_row(dotted, longest)
         .withColumn("_i", F.explode(F.expr("sequence(0, length(_d) - 1)")))
         .withColumn("_n", F.explode(F.expr("sequence(1, least(longest, length(_d) - _i))")))
         .select(word, "_i", F.substring("_d", F.col("_i") + 1, F.col("_n")).alias("letters"))
@@ -176,7 +176,7 @@ def hyphenate(words: DataFrame, patterns: DataFrame, exceptions: DataFrame | Non
         .agg(F.max("value").alias("value"))
         .where("value % 2 = 1")
         .groupBy(word)
-        .agg(F.array_sort(F.collect_list("_p")).alias("_breaks"))
+        .agg(F.sort_array(F.collect_list("_p")).alias("_breaks"))
     )
     # point p of ".word." stands before letter p of the word; the ends carry no break
     out = vocabulary.join(points, word, "left").withColumn(

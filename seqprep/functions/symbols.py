@@ -55,10 +55,9 @@ def symbol_ids(symbols: Column, kind: str) -> Column:
 
 
 def char_ids(text: Column) -> Column:
-    """Character ids without the end id; one ``locate`` per character instead of a map probe."""
-    known = F.regexp_replace(text, "[^a-z!',\\-.:? ]", "")
-    letters = F.filter(F.split(known, ""), lambda c: c != "")
-    return F.transform(letters, lambda c: F.instr(F.lit(CHARS), c).cast("int") + 1)
+    """Character ids without the end id, unknown characters dropped; a position in a string instead of a map probe."""
+    ids = F.filter(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(CHARS), c) + 1), lambda i: i > 1)
+    return F.when(text == "", F.array().cast("array<int>")).otherwise(ids)
 
 
 def text_to_ids(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions import symbols as S
-from seqprep.operators.blocks import BLOCK, position, with_totals
+from seqprep.operators.blocks import BLOCK, position, with_row, with_totals
 
 
 def masked_mean_std(frames: DataFrame, feat: str = "feat", mask: str | None = None) -> DataFrame:
@@ -39,18 +39,18 @@ def merge_mean_var(*states: DataFrame) -> DataFrame:
 
 def stats_vector(stats: DataFrame) -> DataFrame:
     """One row of aligned arrays (mean, std) from per-dimension statistics; its size is the number of dimensions."""
-    rows = F.array_sort(F.collect_list(F.struct("dim", "mean", "std")))
+    rows = F.sort_array(F.collect_list(F.struct("dim", "mean", "std")))
     return stats.agg(rows.alias("s")).select(F.col("s.mean").alias("_mean"), F.col("s.std").alias("_std"))
 
 
 def normalize(frames: DataFrame, stats: DataFrame, feat: str = "feat") -> DataFrame:
     z = F.zip_with(F.zip_with(F.col(feat).cast("array<double>"), "_mean", lambda x, m: x - m), "_std", lambda x, s: x / s)
-    return frames.crossJoin(F.broadcast(stats_vector(stats))).withColumn(feat, z).drop("_mean", "_std")
+    return with_row(frames, stats_vector(stats)).withColumn(feat, z).drop("_mean", "_std")
 
 
 def denormalize(frames: DataFrame, stats: DataFrame, feat: str = "feat") -> DataFrame:
     z = F.zip_with(F.zip_with(feat, "_std", lambda x, s: x * s), "_mean", lambda x, m: x + m)
-    return frames.crossJoin(F.broadcast(stats_vector(stats))).withColumn(feat, z).drop("_mean", "_std")
+    return with_row(frames, stats_vector(stats)).withColumn(feat, z).drop("_mean", "_std")
 
 
 def charset_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def group_rows(df: DataFrame, key: str, row_id: str, piece: int = 10_000) -> Dat
     """key, piece, ids (ordered): the rows of each key in arrays of at most ``piece`` ids."""
     ranked = position(df.select(key, row_id), [key], [row_id], "_r")
     return ranked.groupBy(key, F.expr(f"_r div {piece}").alias("piece")).agg(
-        F.array_sort(F.collect_list(row_id)).alias("ids")
+        F.sort_array(F.collect_list(row_id)).alias("ids")
     )
 
 

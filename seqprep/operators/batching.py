@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqprep.functions import arrays as A
 from seqprep.functions import symbols as S
-from seqprep.operators.blocks import BLOCK, position, running, with_totals
+from seqprep.operators.blocks import BLOCK, position, running, spread, with_row, with_totals
 from seqprep.operators.sampling import grouped_shuffle, sample_batches
 
 
@@ -40,7 +40,7 @@ def assign_lanes(sequences: DataFrame, order: list[str], lanes: int, chunks: str
     x = position(sequences, [], order, "_rank").withColumn("lane", (F.col("_rank") % lanes).cast("int"))
     x = x.withColumn("_seq", F.expr(f"_rank div {lanes}"))
     x = running(x, ["lane"], {"_first": ("sum", F.col(chunks))}, order=("_seq",), inclusive=False, block=block)
-    x = x.withColumn("chunk", F.explode(F.expr(f"sequence(0, {chunks} - 1)"))).withColumn(
+    x = spread(x.withColumn("_top", F.col(chunks) - 1).where("_top >= 0"), "_top", "chunk").drop("_top").withColumn(
         "batch", (F.coalesce("_first", F.lit(0)) + F.col("chunk")).cast("long")
     )
     fresh = (F.col("chunk") == 0) & (F.col("_seq") > 0)
@@ -67,7 +67,7 @@ def char_lanes(lines: DataFrame, order: list[str], lanes: int, steps: int, text:
     """
     x = position(lines, [], order, "_line")
     total = x.agg(F.count("*").alias("_total"))
-    x = x.crossJoin(F.broadcast(total)).withColumn("_gap", F.expr(f"_total div {lanes}")).where(f"_line < _gap * {lanes}")
+    x = with_row(x, total).withColumn("_gap", F.expr(f"_total div {lanes}")).where(f"_line < _gap * {lanes}")
     x = x.withColumn("lane", F.expr("_line div _gap").cast("int"))
     chars = F.filter(F.split(F.concat(F.col(text), F.lit("\n")), ""), lambda c: c != "")
     x = x.withColumn("_chars", chars)

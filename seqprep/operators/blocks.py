@@ -132,13 +132,27 @@ def running(
     return y.drop("_blk", *[f"_v_{n}" for n in columns], *[f"_c_{n}" for n in columns])
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery that runs once before the main plan."""
+    value = row.select(F.struct("*")).scalar()
+    return df.withColumn("_row", value).select("*", "_row.*").drop("_row")
+
+
+def spread(df: DataFrame, last: str, out: str = "_blk", stride: int = 8192) -> DataFrame:
+    """One row per number 0 … ``last``, in two steps so that no array holds more than ``stride`` numbers per step."""
+    step = F.explode(F.expr(f"sequence(0L, {last} div {stride})"))
+    x = df.withColumn("_high", step)
+    inner = F.expr(f"sequence(_high * {stride}, least(_high * {stride} + {stride - 1}, {last}))")
+    return x.withColumn(out, F.explode(inner)).drop("_high")
+
+
 def with_totals(
     df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], pos: str = "pos", block: int = BLOCK
 ) -> DataFrame:
     """Join per-key aggregates back to the rows on (key, block of the dense position)."""
     totals = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()], F.max(pos).alias("_last"))
-    spread = totals.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"_last div {block}")))).drop("_last")
-    return df.withColumn("_blk", block_of(block, pos)).join(spread, [*keys, "_blk"]).drop("_blk")
+    blocks = spread(totals.withColumn("_last", F.expr(f"_last div {block}")), "_last").drop("_last")
+    return df.withColumn("_blk", block_of(block, pos)).join(blocks, [*keys, "_blk"]).drop("_blk")
 
 
 def salted_join(

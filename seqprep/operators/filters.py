@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions import symbols as S
-from seqprep.operators.blocks import BLOCK, with_totals
+from seqprep.operators.blocks import BLOCK, lookup_join, spread, with_totals
 
 
 def min_length_filter(df: DataFrame, keys: list[str], length: int, pos: str = "pos") -> DataFrame:
@@ -68,10 +68,9 @@ def equal_voice_filter(notes: DataFrame, voices: int, pos: str = "idx", block: i
     """Pieces with exactly ``voices`` voices; the join back goes by (piece, voice, block), not by piece alone."""
     per_voice = notes.groupBy("piece", "voice").agg(F.max(pos).alias("_last"))
     kept = per_voice.groupBy("piece").agg(F.count("*").alias("_n")).where(F.col("_n") == voices).select("piece")
-    spread = per_voice.join(kept, "piece", "left_semi").select(
-        "piece", "voice", F.explode(F.expr(f"sequence(0L, _last div {block})")).alias("_blk")
-    )
-    return notes.withColumn("_blk", F.expr(f"{pos} div {block}")).join(spread, ["piece", "voice", "_blk"], "left_semi").drop("_blk")
+    kept_voices = per_voice.join(kept, "piece", "left_semi").withColumn("_last", F.expr(f"_last div {block}"))
+    blocks = spread(kept_voices, "_last").drop("_last")
+    return notes.withColumn("_blk", F.expr(f"{pos} div {block}")).join(blocks, ["piece", "voice", "_blk"], "left_semi").drop("_blk")
 
 
 def chord_only_part_filter(elements: DataFrame) -> DataFrame:
@@ -89,4 +88,4 @@ def lone_point_filter(points: DataFrame, keys: list[str]) -> DataFrame:
     size = points.groupBy(*keys, "segment").agg(F.count("*").alias("_n"))
     several = size.groupBy(*keys).agg((F.count("*") > 1).alias("_several"))
     lone = size.where("_n = 1").join(several.where("_several"), keys, "left_semi").select(*keys, "segment")
-    return points.join(lone, [*keys, "segment"], "left_anti")
+    return lookup_join(points, lone, [*keys, "segment"], "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.operators.blocks import BLOCK, local_window, running, with_totals
+from seqprep.operators.blocks import BLOCK, local_window, running, spread, with_totals
 
 
 def rolling_mean(signal: DataFrame, keys: list[str], size: int, block: int = BLOCK) -> DataFrame:
@@ -59,7 +59,7 @@ def frame(signal: DataFrame, keys: list[str], size: int, step: int | None = None
         F.explode(F.expr(f"sequence(greatest((pos - {size} + {step}) div {step}, 0L), pos div {step})")),
     ).where(F.expr(f"pos - frame * {step} < {size}"))
     place = F.struct((F.col("pos") - F.col("frame") * step).alias("i"), "x")
-    out = held.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(place)).alias("_v"))
+    out = held.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(place)).alias("_v"))
     return out.where(F.size("_v") == size).select(*keys, "frame", F.col("_v.x").alias("values"))
 
 
@@ -133,9 +133,9 @@ def voice_activity(
     noise = noise_spectrum(spectrum, keys, head)
     enveloped = long_term_envelope(spectrum, keys, order, block)
     last = spectrum.groupBy(*keys).agg(F.max("frame").alias("_last"))
-    # the noise table is spread over the frame blocks of its bin: a long signal joins on many keys
-    spread = noise.join(last, keys).withColumn("_blk", F.explode(F.expr(f"sequence(0L, _last div {block})")))
-    x = enveloped.withColumn("_blk", F.expr(f"frame div {block}")).join(spread, [*bins, "_blk"])
+    # the noise levels are spread over the frame blocks of its bin: a long signal joins on many keys
+    levels = spread(noise.join(last, keys).withColumn("_top", F.expr(f"_last div {block}")), "_top").drop("_top")
+    x = enveloped.withColumn("_blk", F.expr(f"frame div {block}")).join(levels, [*bins, "_blk"])
     twice = F.when(F.col("bin").isin(0, size // 2), 1.0).otherwise(2.0)
     level = 10.0 * F.log10(F.sum(twice * F.col("envelope") * F.col("envelope") / F.col("power")) / float(size))
     ratio = F.when((F.col("frame") < order) | (F.col("frame") + order > F.max("_last")), 0.0).otherwise(level)
@@ -198,5 +198,5 @@ def downsample(signal: DataFrame, keys: list[str], m: int, taps: list[float]) ->
     x = signal.select(*keys, "pos", "x", F.explode(reach).alias("h"))
     out = x.groupBy(*keys, F.expr(f"(pos + h.i) div {m}").alias("pos")).agg(F.sum(F.col("x") * F.col("h.t")).alias("x"))
     extra = -(-len(taps) // m)
-    places = ends.select(*keys, F.explode(F.expr(f"sequence(0L, (_n + {m} - 1) div {m} + {extra} - 1)")).alias("pos"))
+    places = spread(ends.withColumn("_top", F.expr(f"(_n + {m} - 1) div {m} + {extra} - 1")), "_top", "pos").drop("_n", "_top")
     return places.join(out, [*keys, "pos"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqprep.functions import arrays as A
 from seqprep.functions import symbols as S
+from seqprep.operators.blocks import lookup_join, with_row
 
 
 def stem_table(files: DataFrame, path: str = "path") -> DataFrame:
@@ -23,7 +24,8 @@ def pair_by_stem(wav: DataFrame, txt: DataFrame) -> DataFrame:
 
 
 def prune(df: DataFrame, flagged: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(flagged.select(*keys), keys, "left_anti")
+    """Rows whose key is not flagged; the flagged keys are broadcast when few, else salted against frequent keys."""
+    return lookup_join(df, flagged.select(*keys).distinct(), keys, "left_anti")
 
 
 def symbol_lookup(symbols: Column, kind: str) -> Column:
@@ -49,8 +51,8 @@ def repeat_to_resolution(samples: DataFrame, frames: DataFrame, key: str) -> Dat
     """
     x = samples.withColumn("frame", F.expr("pos div (n div n_frames)"))
     zero = F.transform("_any", lambda v: F.lit(0.0))
-    width = frames.select("feat").limit(1).select(F.col("feat").alias("_any"))
-    out = x.join(frames.select(key, "frame", "feat"), [key, "frame"], "left").crossJoin(F.broadcast(width))
+    width = frames.agg(F.first("feat").alias("_any"))
+    out = with_row(x.join(frames.select(key, "frame", "feat"), [key, "frame"], "left"), width)
     return out.withColumn("feat", F.coalesce("feat", zero)).drop("_any")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seqprep.functions import phones as P
 from seqprep.functions import symbols as S
 from seqprep.functions import text as T
+from seqprep.scratch import written
 
 MARKS = "!?.,;:"
 MODES = ("chars_only", "phones_only", "blended_pref", "blended", "both")
@@ -20,26 +21,37 @@ MODES = ("chars_only", "phones_only", "blended_pref", "blended", "both")
 
 def text_words(df: DataFrame, key: str, clean: str, raw: str | None = None) -> DataFrame:
     """(key, idx, word, bare, raw_word): words split at spaces, ``bare`` without marks."""
-    raw_words = F.get(F.split(raw, " "), F.col("idx")) if raw else F.col("word")
-    x = df.select(key, *([raw] if raw else []), F.posexplode(F.split(clean, " ")).alias("idx", "word"))
-    return x.select(key, "idx", "word", F.translate("word", MARKS, "").alias("bare"), raw_words.alias("raw_word"))
+    words = F.split(clean, " ")
+    pairs = F.zip_with(words, F.split(raw, " ") if raw else words, lambda w, r: F.struct(w.alias("word"), r.alias("raw_word")))
+    x = df.select(key, F.posexplode(pairs).alias("idx", "_p")).where("_p.word is not null")
+    return x.select(key, "idx", "_p.word", F.translate("_p.word", MARKS, "").alias("bare"), "_p.raw_word")
+
+
+def phone_ids_of(phones: Column) -> Column:
+    """Phone ids of ``@p@q``."""
+    return S.symbol_ids(F.slice(F.split(phones, "@"), 2, 10_000), "phone")
 
 
 def word_chunks(words: DataFrame, lexicon: DataFrame, key: str, rules: DataFrame | None = None) -> DataFrame:
     """(key, idx, word, chars, phones): character ids and phone ids of each word, end symbols stripped.
 
-    Words the lexicon lacks get letter-rule phones when ``rules`` is given, else an empty list.
+    Words the lexicon lacks get letter-rule phones when ``rules`` is given, else an empty list. Phones are encoded once
+    per lexicon entry and per distinct unknown word; only a closing mark is added per word.
     """
-    x = P.lookup_pronunciation(words, lexicon, "raw_word", "bare")
+    lex = P.first_pronunciation(lexicon).withColumn("_ids", phone_ids_of(F.col("phones"))).drop("phones")
+    by_raw = lex.select(F.col("word").alias("raw_word"), F.col("_ids").alias("_raw"))
+    by_bare = lex.select(F.col("word").alias("bare"), F.col("_ids").alias("_bare"))
+    x = P.lookup_join(P.lookup_join(words, by_raw, ["raw_word"]), by_bare, ["bare"])
+    x = x.withColumn("_ids", F.coalesce("_raw", "_bare")).drop("_raw", "_bare")
     if rules is not None:
-        missing = x.where("phones is null").select(F.col("bare").alias("word"))
-        spelled = P.rule_g2p(missing, rules).select(F.col("word").alias("bare"), rule_phones(F.col("phones")).alias("_rule"))
-        x = P.lookup_join(x, spelled, ["bare"]).withColumn("phones", F.coalesce("phones", "_rule")).drop("_rule")
-    mark = F.when(F.substring("word", -1, 1).isin(*MARKS), F.substring("word", -1, 1)).otherwise("")
-    ids = S.symbol_ids(S.phone_symbols(F.concat("phones", mark)), "phone")
+        missing = x.where("_ids is null").select(F.col("bare").alias("word"))
+        spelled = P.rule_g2p(missing, rules).select(F.col("word").alias("bare"), phone_ids_of(rule_phones(F.col("phones"))).alias("_rule"))
+        spelled = written(spelled, "spelled")
+        x = P.lookup_join(x, spelled, ["bare"]).withColumn("_ids", F.coalesce("_ids", "_rule")).drop("_rule")
+    last = F.substring("word", -1, 1)
+    mark = F.when(last.isin(*"!,:?"), F.array(F.instr(F.lit("".join(S.PHONE_MARKS)), last) + (S.VOCABULARY["phone"].index("!") - 1)))
     none = F.array().cast("array<int>")
-    # the closing space of the word is stripped
-    phones = F.when(F.col("phones").isNull(), none).otherwise(F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0))))
+    phones = F.when(F.col("_ids").isNull(), none).when(mark.isNull(), F.col("_ids")).otherwise(F.concat("_ids", mark))
     return x.select(key, "idx", "word", S.char_ids(F.col("word")).alias("chars"), phones.alias("phones"))
 
 
@@ -53,7 +65,7 @@ def rule_phones(lists: Column) -> Column:
 def blend_flags(n: Column, seed: object, key: Column) -> Column:
     """First n of a shuffled list of n zeros and n ones; the shuffle orders slots by md5(seed:key:slot)."""
     slot = lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string")).cast("binary")), i.alias("i"))
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), 2 * n - 1), slot))
+    order = F.sort_array(F.transform(F.sequence(F.lit(0), 2 * n - 1), slot))
     return F.transform(F.slice(order, F.lit(1), n), lambda s: (s["i"] >= n).cast("int"))
 
 
@@ -61,7 +73,7 @@ def mix_representations(chunks: DataFrame, key: str, mode: str = "blended", seed
     """(key, ids, mask) from word_chunks; mask 0 is a character id, 1 a phone id. ``both`` gives (key, ids, phone_ids)."""
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "chars", "phones"))).alias("_w"))
+    rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "chars", "phones"))).alias("_w"))
     space = S.VOCABULARY["char"].index(" ")
     phone_space = S.VOCABULARY["phone"].index(" ")
     none = F.array().cast("array<int>")
@@ -114,11 +126,12 @@ def pronounce(
     if rules is not None:
         missing = found.where("phones is null").select(F.col("bare").alias("word"))
         spelled = P.rule_g2p(missing, rules).select(F.col("word").alias("bare"), rule_phones(F.col("phones")).alias("_rule"))
+        spelled = written(spelled, "spelled")
         found = P.lookup_join(found, spelled, ["bare"]).withColumn("phones", F.coalesce("phones", "_rule"))
     found = found.where("phones is not null")
     mark = F.coalesce(*[F.when(F.col("word").contains(m), F.lit(" " if pause_marks else m)) for m in marks], F.lit(" "))
     rows = found.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "phones", mark.alias("mark")))).alias("_w"),
+        F.sort_array(F.collect_list(F.struct("idx", "phones", mark.alias("mark")))).alias("_w"),
         F.first("_end").alias("_end"), F.first("_any").alias("_any"),
     )
     n = F.size("_w")

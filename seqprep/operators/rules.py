@@ -161,10 +161,13 @@ RULE_SETS: dict[str, list[str]] = {
 }
 
 
-def with_mode(context: DataFrame, notes: DataFrame) -> DataFrame:
-    """mode on the first event only, where the start rule looks; an equal join on (piece, idx)."""
+def with_mode(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """mode on the first event only, where the start rule looks.
+
+    The join is equal on (piece, idx), the keys by which the voices were paired, so paired rows are not moved again.
+    """
     first = estimate_mode(notes).withColumn("idx", F.lit(0).cast("long"))
-    return context.join(first, ["piece", "idx"], "left")
+    return pairs.join(first, ["piece", "idx"], "left")
 
 
 def verdicts(context: DataFrame, rules: list[str], relaxed: bool = False, ignored: tuple = ()) -> DataFrame:
@@ -181,7 +184,7 @@ def verdicts(context: DataFrame, rules: list[str], relaxed: bool = False, ignore
 def check_species(notes: DataFrame, species: str = "species1", ignored: tuple = ()) -> DataFrame:
     """Verdicts of a named rule set; three-voice sets relax the rules, skip no voice and judge all three pairs."""
     three = species.startswith("three_voice")
-    context = with_mode(with_context(pair_voices(notes, 3 if three else 2)), notes)
+    context = with_context(with_mode(pair_voices(notes, 3 if three else 2), notes))
     return verdicts(context, RULE_SETS[species], relaxed=three, ignored=() if three else ignored)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqprep.operators.blocks import position
+from seqprep.operators.blocks import position, with_row
 
 
 def hash_order(seed: object, *parts: str | Column) -> Column:
@@ -29,7 +29,7 @@ def shuffle_split(df: DataFrame, ids: list[str], start: float | int, stop: float
     """
     ranked = shuffle_rank(df, ids, seed)
     total = ranked.agg(F.count("*").alias("_total"))
-    x = ranked.crossJoin(F.broadcast(total)).where(F.col("rank") >= _cut(F.col("_total"), start))
+    x = with_row(ranked, total).where(F.col("rank") >= _cut(F.col("_total"), start))
     if stop is not None:
         x = x.where(F.col("rank") < _cut(F.col("_total"), stop))
     return x.drop("_total")
@@ -45,7 +45,7 @@ def train_test_split(df: DataFrame, ids: list[str], test_size: float | int, seed
     """split: ``test`` for the first fraction or count of the permutation, else ``train``."""
     ranked = shuffle_rank(df, ids, seed)
     total = ranked.agg(F.count("*").alias("_total"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn(
+    return with_row(ranked, total).withColumn(
         "split", F.when(F.col("rank") < _cut(F.col("_total"), test_size), "test").otherwise("train")
     ).drop("_total")
 
@@ -86,7 +86,7 @@ def similar_length_order(
     total = total.withColumn("_size", F.greatest(size, F.lit(1)).cast("long")).withColumn(
         "_full", F.expr(f"if(_total < {batch}, 0, _total div _size * _size)")
     )
-    x = ranked.crossJoin(F.broadcast(total)).withColumn("_tail", F.col("_rank") >= F.col("_full"))
+    x = with_row(ranked, total).withColumn("_tail", F.col("_rank") >= F.col("_full"))
     x = x.withColumn("_group", F.expr("_rank div _size")).withColumn("_h", hash_order(seed, *ids))
     w = Window.partitionBy("_group", "_tail").orderBy("_h", *ids)
     x = x.withColumn("_in", F.expr("_group * _size") + F.row_number().over(w) - 1)
@@ -107,7 +107,7 @@ def grouped_shuffle(df: DataFrame, key: str, ids: list[str], batch: int, seed: o
     """place: groups permuted, members together in id order, cut to whole batches."""
     ranked = position(df.withColumn("_h", hash_order(seed, key)), [], ["_h", key, *ids], "place").drop("_h")
     total = ranked.agg(F.count("*").alias("_total"))
-    return ranked.crossJoin(F.broadcast(total)).where(F.expr(f"place < _total - _total % {batch}")).drop("_total")
+    return with_row(ranked, total).where(F.expr(f"place < _total - _total % {batch}")).drop("_total")
 
 
 def random_crop(length: Column, max_steps: int, hop: int, seed: object, *ids: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions import music as M
-from seqprep.operators.blocks import BLOCK, local_window, running
+from seqprep.operators.blocks import BLOCK, local_window, running, spread
 
 # Compared voice pairs, by number of voices.
 VOICE_PAIRS = {2: [(0, 1)], 3: [(0, 2), (1, 2), (0, 1)]}
@@ -125,7 +125,9 @@ def align_voices(notes: DataFrame, block_beats: float = 65536.0) -> DataFrame:
     ).where("_next is not null")
     gaps = gaps.select("piece", "idx", "onset", nearest(F.round(F.col("_next") - F.col("onset"), 4), snap_gaps()).alias("dur"))
 
-    grid = gaps.join(voices, "piece").join(
+    # every block of a piece's onsets meets its voices, so a long piece is many join keys
+    per_block = spread(voices.join(tail.select("piece", F.expr(f"idx div {BLOCK}").alias("_top")), "piece"), "_top", "_b").drop("_top")
+    grid = gaps.withColumn("_b", F.expr(f"idx div {BLOCK}")).join(per_block, ["piece", "_b"]).drop("_b").join(
         timed.select("piece", "voice", "onset", F.col("pitch").alias("_p")), ["piece", "voice", "onset"], "left"
     )
     return running(grid, ["piece", "voice"], {"pitch": ("last", F.col("_p"))}, order=("idx",)).select(
@@ -141,7 +143,7 @@ def quantize(notes: DataFrame, step: float = 0.25, hold: bool = True, block: int
     cells = x.select(
         "piece", "voice", "fermata", (F.col("_end") - F.size("_grid")).alias("_start"), F.posexplode("_grid").alias("_i", "symbol")
     ).select("piece", "voice", (F.col("_start") + F.col("_i")).cast("long").alias("step"), "symbol", "fermata")
-    lengths = shortest.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_len - 1) div {block})")))
+    lengths = spread(shortest.withColumn("_top", F.expr(f"(_len - 1) div {block}")), "_top", "_b").drop("_top")
     return (
         cells.withColumn("_b", F.expr(f"step div {block}")).join(lengths, ["piece", "_b"]).where("step < _len").drop("_b", "_len")
     )

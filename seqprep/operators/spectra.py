@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqprep.functions import signal as S
 from seqprep.operators import aggregates as A
 from seqprep.operators import frames as W
-from seqprep.operators.blocks import with_totals
+from seqprep.operators.blocks import BLOCK, spread, with_totals
 
 
 def spectrum(signal: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True) -> DataFrame:
@@ -88,7 +88,7 @@ def log_power_spectrogram(signal: DataFrame, keys: list[str], size: int, step: i
 def blocks_of(signal: DataFrame, keys: list[str], size: int) -> DataFrame:
     """(keys, frame, values): blocks without overlap, the last one padded with zeros."""
     place = F.struct((F.col("pos") % size).cast("int").alias("i"), "x")
-    x = signal.groupBy(*keys, F.expr(f"pos div {size}").alias("frame")).agg(F.array_sort(F.collect_list(place)).alias("_v"))
+    x = signal.groupBy(*keys, F.expr(f"pos div {size}").alias("frame")).agg(F.sort_array(F.collect_list(place)).alias("_v"))
     return x.select(*keys, "frame", F.concat("_v.x", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("_v"))).alias("values"))
 
 
@@ -127,7 +127,7 @@ def gain_control(signal: DataFrame, keys: list[str], rate: int, size: int, n_ban
     bands = spec.select(*keys, "frame", S.project(magnitudes(spec), weights.T).alias("_b"))
     rows = bands.select(*keys, "frame", F.posexplode("_b").alias("band", "x"))
     state = W.decaying_max(rows, [*keys, "band"], alpha, pos="frame")
-    held = state.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(F.struct("band", "state"))).alias("_s"))
+    held = state.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(F.struct("band", "state"))).alias("_s"))
     total = weights.sum(axis=0)
     spread = weights / (total + (total == 0))
     energy = held.select(*keys, "frame", S.project(F.col("_s.state"), spread).alias("_e"))
@@ -165,13 +165,13 @@ def utterance_features(
         "frame", F.explode(F.expr(f"sequence(greatest((pos - {size} + {hop}) div {hop}, 0L), pos div {hop})"))
     ).where(F.expr(f"pos - frame * {hop} < {size}"))
     place = F.struct((F.col("pos") - F.col("frame") * hop).alias("i"), "x")
-    frames = held.groupBy(*keys, "frame").agg(F.array_sort(F.collect_list(place)).alias("_v")).where(F.size("_v") == size)
+    frames = held.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(place)).alias("_v")).where(F.size("_v") == size)
     weights = S.mel_weights(size // 2 + 1, rate, low, high, n_filters)
     spec = frames.withColumn("_f", S.fourier(F.col("_v.x"), S.hann(size))).select(*keys, "frame", "_f.re", "_f.im")
     mel = spec.select(*keys, "frame", S.project(magnitudes(spec), weights).alias("_m")).select(
         *keys, "frame", F.transform("_m", lambda v: S.level_normalize(S.amp_to_db(v) - 20.0)).alias("feat")
     )
     manifest = pad.select(*keys, (F.col("n_frames") * hop).alias("timesteps"), "n_frames")
-    limit = manifest.select(*keys, F.explode(F.expr("sequence(0L, n_frames - 1)")).alias("frame"))
-    codes = padded.withColumn("frame", F.expr(f"pos div {hop}")).join(limit, [*keys, "frame"], "left_semi")
+    limit = spread(manifest.withColumn("_top", F.expr(f"(n_frames * {hop} - 1) div {BLOCK}")), "_top").select(*keys, "_blk", "timesteps")
+    codes = padded.withColumn("_blk", F.expr(f"pos div {BLOCK}")).join(limit, [*keys, "_blk"]).where("pos < timesteps")
     return {"codes": codes.select(*keys, "pos", "code"), "mel": mel, "manifest": manifest}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.operators.blocks import BLOCK, local_window, position, running, with_totals
+from seqprep.operators.blocks import BLOCK, local_window, position, running, with_row, with_totals
 
 
 def _gap(a: str, b: str) -> Column:
@@ -59,7 +59,7 @@ def line_normalize(points: DataFrame, keys: list[str], block: int = BLOCK) -> Da
     x = with_totals(points, keys, {"_x": F.min("x"), "_y": F.avg("y")}, "idx", block)
     x = x.withColumn("x", F.col("x") - F.col("_x")).withColumn("y", F.col("y") - F.col("_y")).drop("_x", "_y")
     std = x.agg(F.stddev_pop("y").alias("_std"))
-    return x.crossJoin(F.broadcast(std)).withColumn("x", F.col("x") / F.col("_std")).withColumn("y", F.col("y") / F.col("_std")).drop("_std")
+    return with_row(x, std).withColumn("x", F.col("x") / F.col("_std")).withColumn("y", F.col("y") / F.col("_std")).drop("_std")
 
 
 def offsets(points: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

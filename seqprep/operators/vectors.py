@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqprep.functions.phones import bounded_rows
+from seqprep.operators.blocks import with_row
 
 MAX_CODES = 65_536
 
@@ -50,11 +51,11 @@ def nearest_codeword(rows: DataFrame, codebook: DataFrame, vec: str = "vec", blo
 
 def nearest_codeword_columns(rows: DataFrame, codebook: DataFrame, vec: str = "vec", max_codes: int = 64) -> DataFrame:
     """As ``nearest_codeword`` for small books, as one expression over the broadcast array of codewords: exact ties."""
-    entry = F.array_sort(F.collect_list(F.struct("code_id", F.col("vec").alias("v"))))
+    entry = F.sort_array(F.collect_list(F.struct("code_id", F.col("vec").alias("v"))))
     if codebook.limit(max_codes + 1).count() > max_codes:
         raise ValueError(f"the codebook holds more than {max_codes} codewords")
     book = codebook.agg(entry.alias("_book"))
-    x = rows.crossJoin(F.broadcast(book))
+    x = with_row(rows, book)
     square = lambda c: F.aggregate(
         F.zip_with(F.col(vec).cast("array<double>"), c["v"].cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
     )
@@ -82,7 +83,7 @@ def kmeans(rows: DataFrame, k: int, epochs: int = 10, seed: int = 0, vec: str =
 def stack_frames(frames: DataFrame, keys: list[str], k: int, feat: str = "feat") -> DataFrame:
     """(keys, frame, feat): k neighbouring frames in one vector; an incomplete last stack is dropped."""
     x = frames.groupBy(*keys, F.expr(f"frame div {k}").alias("_s")).agg(
-        F.array_sort(F.collect_list(F.struct("frame", feat))).alias("_f")
+        F.sort_array(F.collect_list(F.struct("frame", feat))).alias("_f")
     )
     return x.where(F.size("_f") == k).select(*keys, F.col("_s").alias("frame"), F.flatten(F.col(f"_f.{feat}")).alias(feat))
 

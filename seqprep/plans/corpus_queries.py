@@ -162,8 +162,8 @@ def charset_union(spark, folder):
 @query("filter_speaker", "SELECT doc_id, n_chars FROM documents WHERE source = (SELECT min(source) FROM documents)")
 def speaker_filter(spark, folder):
     d = V.table(spark, folder, "documents").select("doc_id", "n_chars", "source")
-    first = V.table(spark, folder, "documents").agg(F.min("source").alias("_s"))
-    return FL.speaker_filter(d.crossJoin(F.broadcast(first)).withColumn("_s", F.col("source") == F.col("_s")), True, "_s").drop("source")
+    first = V.table(spark, folder, "documents").agg(F.min("source")).scalar()
+    return FL.speaker_filter(d, first, "source")
 
 
 # -- statistics -------------------------------------------------------------------------------------------------------
@@ -219,7 +219,7 @@ BOOK = f"{DIMS}, b AS (SELECT label AS code_id, dim, avg(v) AS v FROM e GROUP BY
 
 def codebook(spark, folder):
     means = V.frames(spark, folder).select("label", F.posexplode("feat").alias("dim", "v")).groupBy("label", "dim").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("_v"))
+    rows = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_v"))
     return rows.select(F.col("label").cast("long").alias("code_id"), F.col("_v.v").alias("vec"))
 
 

@@ -119,7 +119,7 @@ def rule_query(name, rule, ignored=()):
     @query(name, f"{verdict_sql([rule], ignored=ignored)} SELECT piece, pair, idx, rule, coalesce(ok::VARCHAR, 'none') AS verdict FROM v")
     def run(spark, folder):
         n = V.notes(spark, folder)
-        ctx = RU.with_mode(SC.with_context(SC.pair_voices(n)), n)
+        ctx = SC.with_context(RU.with_mode(SC.pair_voices(n), n))
         return named(RU.verdicts(ctx, [rule], ignored=ignored))
 
 

@@ -440,7 +440,7 @@ SELECT utt, chunk, i::INT AS step, CASE WHEN i <= coalesce(last, -1) THEN 1 ELSE
 def trailing_zero_mask(spark, folder):
     v = F.when(F.col("x") > 40, F.col("x")).otherwise(0.0)
     x = V.samples(spark, folder).select("utt", F.expr("pos div 8").alias("chunk"), F.struct("pos", v.alias("v")).alias("s"))
-    x = x.groupBy("utt", "chunk").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    x = x.groupBy("utt", "chunk").agg(F.sort_array(F.collect_list("s")).alias("s"))
     return x.select("utt", "chunk", F.posexplode(AR.trailing_zero_mask(F.col("s.v"))).alias("step", "mask"))
 
 

@@ -76,7 +76,7 @@ def parse_lexicon(lines: DataFrame, keep_ambiguous: bool = True) -> DataFrame:
     )
     valid = F.array(*map(F.lit, VALID_PHONES))
     x = x.where(F.forall("pron", lambda p: F.array_contains(valid, p)))
-    out = x.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("line_no", "pron"))).alias("_p")).select(
+    out = x.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("line_no", "pron"))).alias("_p")).select(
         "word", F.col("_p.pron").alias("prons")
     )
     return out if keep_ambiguous else out.where(F.size("prons") == 1)

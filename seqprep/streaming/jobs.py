@@ -31,12 +31,12 @@ class _Chunker(StatefulProcessor):
         chunk, xs = self.tail.get() if self.tail.exists() else (0, [])
         arrived = pd.concat(rows).sort_values("pos")
         xs = list(xs) + arrived["x"].tolist()
-        out = []
-        while len(xs) > self.length:
-            for step, x in enumerate(xs[: self.length + 1]):
+        out, at = [], 0
+        while len(xs) - at > self.length:
+            for step, x in enumerate(xs[at : at + self.length + 1]):
                 out.append((key[0], chunk, step, float(x), 0 if chunk == 0 else 1))
-            xs, chunk = xs[self.length :], chunk + 1
-        self.tail.update((chunk, xs))
+            at, chunk = at + self.length, chunk + 1
+        self.tail.update((chunk, xs[at:]))
         yield pd.DataFrame(out, columns=["utt", "chunk", "step", "x", "reset"])
 
     def close(self) -> None:

@@ -13,7 +13,7 @@ def notes(spark, voices, durs=None):
 
 def steps(spark, voices, rule, ignored=(), durs=None, relaxed=False):
     n = notes(spark, voices, durs)
-    ctx = R.with_mode(S.with_context(S.pair_voices(n)), n)
+    ctx = S.with_context(R.with_mode(S.pair_voices(n), n))
     return [r.ok for r in R.verdicts(ctx, [rule], relaxed, ignored).orderBy("idx").collect()]
 
 
