@@ -355,8 +355,8 @@ def letter_rules(spark):
 LEX = "lex AS (SELECT * FROM (VALUES " + ", ".join(
     f"({Q.lit(w)}, {Q.lit(''.join('@' + x.rstrip('012').lower() for x in p))})" for w, p in LEXICON.items()) + ") AS v(word, phones))"
 WORDS = (
-    "w AS (SELECT doc_id, i - 1 AS idx, ws[i] AS word, translate(ws[i], '!?.,;:', '') AS bare, rs[i] AS raw FROM (SELECT doc_id, ws, rs, unnest(generate_series(1, len(ws))) AS i "
-    "FROM (SELECT doc_id, string_split(t, ' ') AS ws, string_split(text, ' ') AS rs FROM done)))"
+    "w AS (SELECT doc_id, u[3] AS idx, u[1] AS word, translate(u[1], '!?.,;:', '') AS bare, u[2] AS raw FROM (SELECT doc_id, "
+    "unnest(list_zip(string_split(t, ' '), string_split(text, ' '), range(0, len(string_split(t, ' '))))) AS u FROM done) WHERE u[1] IS NOT NULL)"
 )
 LOOKED = f"{LEX}, x AS (SELECT w.*, coalesce(a.phones, b.phones) AS phones FROM w LEFT JOIN lex a ON a.word = w.raw LEFT JOIN lex b ON b.word = w.bare)"
 PHONE_IDS = Q.ids_of(Q.phone_symbols("(phones || CASE WHEN instr('!?.,;:', word[-1]) > 0 AND word <> '' THEN word[-1] ELSE '' END)"), "phone")
@@ -435,23 +435,6 @@ def unmix(spark, folder):
     return m.select("doc_id", S.unmix(F.col("ids"), F.col("mask")).alias("text"))
 
 
-@query("phones_rule_g2p")
-def rule_g2p(spark, folder):
-    w = V.documents(spark, folder, "text").select(F.explode(F.split(T.english_cleaners(F.col("text")), " ")).alias("word")).where("word <> ''")
-    return PH.rule_g2p(w, letter_rules(spark)).select("word", F.array_join("phones", " ").alias("phones"))
-
-
-@query("phones_rulebased_text")
-def rulebased_text(spark, folder):
-    d = V.documents(spark, folder, "text").withColumn("ascii", T.convert_to_ascii(F.col("text")))
-    return PH.rulebased_g2p(d, "doc_id", "ascii", letter_rules(spark)).select("doc_id", "phones")
-
-
-@query("phones_pronounce")
-def pronounce(spark, folder):
-    return MX.pronounce(V.documents(spark, folder, "text"), "doc_id", "text", lexicon(spark), letter_rules(spark))
-
-
 PATTERNS = [".ab1o", "1ti", "2io", "e1r", "n1d", "4s.", "a1b", "1ca", "o2n", "en3t", "1la", "i1e", "r1t", "2st1r", "u1n"]
 
 

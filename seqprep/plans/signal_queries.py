@@ -329,9 +329,47 @@ def downsample(spark, folder):
 
 
 
-@query("signal_gain_control")
+def wide_weights(n_fft, rate, n, width):
+    """The filters on the linear-then-log scale again, as SQL over ranges: wt(bin, filter, w)."""
+    top = f"(15.0 + ln({rate // 2} / 1000.0) / (ln(6.4) / 27))"
+    m = lambda k: f"(({k}) / {n + 1}.0 * {top})"
+    hz = lambda k: f"(CASE WHEN {m(k)} < 15.0 THEN {m(k)} * 200 / 3.0 ELSE 1000 * exp(ln(6.4) / 27 * ({m(k)} - 15.0)) END)"
+    f = f"(bin * {rate}.0 / {n_fft})"
+    return (
+        f"ed AS (SELECT filter, {hz('filter')} AS a, {hz('filter + 1')} AS b, {hz('filter + 2')} AS c FROM (SELECT unnest(range(0, {n})) AS filter)), "
+        f"wt AS (SELECT bin, filter, greatest(0.0, least(({f} - (b + {width} * (a - b))) / ({width} * (b - a)), ((b + {width} * (c - b)) - {f}) / ({width} * (c - b)))) * 2.0 / (c - a) AS w "
+        f"FROM ed, (SELECT unnest(range(0, {n_fft // 2})) AS bin))"
+    )
+
+
+GAIN = f"""
+{SIG}, {spectrum_sql(source='signal')}, {wide_weights(SIZE, 16000, 3, 2.0)},
+bd AS (SELECT utt, frame, filter, sum(sqrt(re * re + im * im) * w) AS v FROM sp JOIN wt USING (bin) GROUP BY ALL),
+st AS (SELECT a.utt, a.frame, a.filter, max(b.v * exp(-(a.frame - b.frame) / 2000.0 / 0.5)) AS s FROM bd a JOIN bd b ON a.utt = b.utt AND a.filter = b.filter AND b.frame <= a.frame GROUP BY ALL),
+tw AS (SELECT bin, sum(w) AS t FROM wt GROUP BY bin),
+en0 AS (SELECT st.utt, st.frame, wt.bin, sum(st.s * wt.w / CASE WHEN t = 0 THEN 1 ELSE t END) AS e FROM st JOIN wt USING (filter) JOIN tw ON tw.bin = wt.bin GROUP BY ALL),
+en AS (SELECT utt, frame, bin, e FROM en0 UNION ALL SELECT utt, frame, {SIZE // 2}, 0.0 FROM (SELECT DISTINCT utt, frame FROM en0)),
+mn AS (SELECT utt, min(e) AS least FROM en WHERE e > 0 GROUP BY utt),
+gs AS (SELECT sp.utt, sp.frame, sp.bin, re / CASE WHEN e > 0 THEN e ELSE least END AS re, im / CASE WHEN e > 0 THEN e ELSE least END AS im FROM sp JOIN en USING (utt, frame, bin) JOIN mn USING (utt)),
+iv AS (SELECT utt, frame, i, sum(re * cos(2 * pi() * bin * i / {SIZE + 2}) - im * sin(2 * pi() * bin * i / {SIZE + 2})) / {SIZE + 2}.0 AS x FROM gs, (SELECT unnest(range(0, {SIZE + 2})) AS i) GROUP BY ALL),
+fn AS (SELECT utt, max(frame) + 1 AS n FROM iv GROUP BY utt),
+z AS (SELECT utt, unnest(range((n // 2 + 1) * {SIZE + 2} - {SIZE // 2 + 1}, (n // 2 + 1) * {SIZE + 2})) AS pos, 0.0 AS x FROM fn WHERE n % 2 = 0)
+SELECT utt, pos, {r('sum(x)', 4)} AS x FROM (SELECT utt, frame * {SIZE // 2 + 1} + i AS pos, x FROM iv UNION ALL SELECT * FROM z) GROUP BY ALL"""
+
+
+@query("signal_gain_control", GAIN)
 def gain_control(spark, folder):
-    return D.gain_control(V.samples(spark, folder), U, 16000, SIZE, 3).withColumn("x", rounded("x", 5))
+    return D.gain_control(V.samples(spark, folder), U, 16000, SIZE, 3).withColumn("x", rounded("x", 4))
+
+
+@query("signal_mel_weights_wide", f"""
+WITH {wide_weights(128, 16000, 20, 1.0)}, e AS (SELECT vec_id, i - 1 AS bin, abs(embedding[i]::DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+SELECT vec_id, filter::INT AS filter, {r('sum(v * w)', 8)} AS v FROM e JOIN wt USING (bin) WHERE w > 0 GROUP BY ALL""")
+def mel_weights_wide(spark, folder):
+    w = S.mel_weight_table(spark, S.mel_weights_wide(128, 16000, 20).T)
+    e = V.frames(spark, folder).select("vec_id", F.posexplode("feat").alias("bin", "v"))
+    x = e.join(F.broadcast(w), "bin").groupBy("vec_id", "filter").agg(F.sum(F.abs(F.col("v").cast("double")) * F.col("w")).alias("v"))
+    return x.withColumn("v", rounded("v", 8))
 
 
 @query("signal_utterance_features", f"""

@@ -43,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
     """Pipe-separated columns without quoting; a missing fifth column gives a NULL speaker."""
-    return spark.read.schema(schema).option("sep", "|").option("quote", "").option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("sep", "|").option("quote", "").option("escape", "\u0000").option("mode", "PERMISSIVE").csv(path)
 
 
 def list_media(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
