@@ -8,7 +8,7 @@ Hyphenation is relational: substrings of each distinct word joined with the patt
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,14 +65,16 @@ def letter_rule_phones(word: Column, rules: DataFrame) -> Column:
     ]
 
     @F.pandas_udf("array<string>")
-    def kernel(words: pd.Series) -> pd.Series:
-        return words.map({w: _walk(w, by_letter(tuple(table))) for w in words.dropna().unique()})
+    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        families = by_letter(table)
+        for words in batches:
+            yield words.map({w: _walk(w, families) for w in words.dropna().unique()})
 
     return kernel(word)
 
 
-@lru_cache(maxsize=4)
-def by_letter(table: tuple) -> dict:
+def by_letter(table: list) -> dict:
+    """Compiled rules by the first letter of their center; built once per task."""
     families: dict[str, list] = {}
     for before, center, after, phones in table:
         loose = any(c in CONTEXT for c in before + center + after)
@@ -130,16 +132,11 @@ def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str
     ]
 
     @F.pandas_udf("array<array<string>>")
-    def kernel(lists: pd.Series) -> pd.Series:
-        families, known = by_letter(tuple(table)), {}
-
-        def one(words):
-            for w in words:
-                if w not in known:
-                    known[w] = _walk(w, families)
-            return [known[w] for w in words if known[w] is not None]
-
-        return lists.map(one)
+    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        families = by_letter(table)
+        for lists in batches:
+            known = {w: _walk(w, families) for w in set().union(*lists)}
+            yield lists.map(lambda words: [known[w] for w in words if known[w] is not None])
 
     spelled = kernel(rule_line_words(F.col(text)))
     return df.select("*", F.lower(F.array_join(F.transform(spelled, lambda p: F.array_join(p, "&")), "^")).alias(out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqprep.functions import symbols as S
@@ -24,27 +24,19 @@ def alignment_case_filter(records: DataFrame) -> DataFrame:
 
     records(id, words array<struct<word, case, alignedWord, phones>>, clean string). A word not found in the transcript
     is dropped and moves later words one place back; a word not found in the audio is dropped but keeps its place.
-    The words of one record are one array of the input, so the shift is a fold over it and needs no shuffle.
+    The window runs over the words of one record, which came from one row.
     """
-    placed = F.aggregate(
-        "words",
-        F.expr("cast(array() as array<int>)"),
-        lambda done, w: F.concat(
-            done,
-            F.array(
-                F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1))
-                + F.when(w["case"] == "not-found-in-transcript", 0).otherwise(1)
-            ),
-        ),
+    w = Window.partitionBy("id").orderBy("idx")
+    words = records.select("id", F.posexplode("words").alias("idx", "w"))
+    counted = F.when(F.col("w.case") == "not-found-in-transcript", 0).otherwise(1)
+    placed = words.withColumn("place", (F.sum(counted).over(w) - 1).cast("int")).where(
+        ~F.col("w.case").isin("not-found-in-transcript", "not-found-in-audio")
     )
-    x = records.select(
-        "id", F.split("clean", " ").alias("_t"), F.explode(F.arrays_zip(F.col("words"), placed.alias("place"))).alias("z")
+    transcript = records.select("id", F.posexplode(F.split("clean", " ")).alias("place", "transcript_word"))
+    return placed.join(transcript, ["id", "place"]).select(
+        "id", "place", F.col("w.word").alias("word"), "transcript_word",
+        F.transform("w.phones", lambda p: F.substring_index(p["phone"], "_", 1)).alias("phones"),
     )
-    w = F.col("z.words")
-    return x.where(
-        (w["case"] != "not-found-in-transcript") & (w["case"] != "not-found-in-audio") & (F.col("z.place") < F.size("_t"))
-    ).select("id", F.col("z.place").alias("place"), w["word"].alias("word"), F.get("_t", F.col("z.place")).alias("transcript_word"),
-             F.transform(w["phones"], lambda p: F.substring_index(p["phone"], "_", 1)).alias("phones"))
 
 
 def speaker_filter(manifest: DataFrame, speaker: object, column: str = "speaker_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.operators.blocks import BLOCK, local_window, running, spread, with_totals
+from seqprep.scratch import written
 
 
 def rolling_mean(signal: DataFrame, keys: list[str], size: int, block: int = BLOCK) -> DataFrame:
@@ -39,7 +40,9 @@ def unwindow(windows: DataFrame, keys: list[str], step: int) -> DataFrame:
     )
 
 
-def frame(signal: DataFrame, keys: list[str], size: int, step: int | None = None, pad: bool = True) -> DataFrame:
+def frame(
+    signal: DataFrame, keys: list[str], size: int, step: int | None = None, pad: bool = True, lengths: DataFrame | None = None
+) -> DataFrame:
     """(keys, frame, values): overlapping frames; ``step=None`` is half the size.
 
     The tail gets ``size - n mod size`` zeros, a whole extra frame of them when the length divides; ``pad=False`` keeps
@@ -48,7 +51,8 @@ def frame(signal: DataFrame, keys: list[str], size: int, step: int | None = None
     if size % 2:
         raise ValueError("the frame size must be even")
     step = step or size // 2
-    ends = signal.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
+    # lengths may come from a cheaper table with the same positions, such as the signal before centering
+    ends = (signal if lengths is None else lengths).groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
     zeros = ends.select(
         *keys, F.explode(F.expr(f"sequence(_n, _n + {size} - _n % {size} - 1)")).alias("pos"), F.lit(0.0).alias("x")
     )
@@ -130,6 +134,8 @@ def voice_activity(
     twice, as they stand for both halves of the full spectrum.
     """
     bins = [*keys, "bin"]
+    # read three times: written once
+    spectrum = written(spectrum, "bins")
     noise = noise_spectrum(spectrum, keys, head)
     enveloped = long_term_envelope(spectrum, keys, order, block)
     last = spectrum.groupBy(*keys).agg(F.max("frame").alias("_last"))

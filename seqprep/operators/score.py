@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqprep.functions import music as M
 from seqprep.operators.blocks import BLOCK, local_window, running, spread
+from seqprep.scratch import written
 
 # Compared voice pairs, by number of voices.
 VOICE_PAIRS = {2: [(0, 1)], 3: [(0, 2), (1, 2), (0, 1)]}
@@ -109,7 +110,8 @@ def align_voices(notes: DataFrame, block_beats: float = 65536.0) -> DataFrame:
     because durations have a least value.
     """
     timed = running(notes, ["piece", "voice"], {"end_time": ("sum", F.col("dur"))}, order=("idx",))
-    timed = timed.withColumn("onset", F.col("end_time") - F.col("dur"))
+    # timed notes, onsets and the grid are each read several times below: written once
+    timed = written(timed.select("piece", "voice", "pitch", "end_time", (F.col("end_time") - F.col("dur")).alias("onset")), "timed")
     ends = timed.groupBy("piece", "voice").agg(F.max("end_time").alias("end_time"))
     voices = ends.select("piece", "voice")
     last = ends.groupBy("piece").agg(F.max("end_time").alias("onset"))
@@ -117,9 +119,8 @@ def align_voices(notes: DataFrame, block_beats: float = 65536.0) -> DataFrame:
 
     marks = timed.select("piece", "onset").distinct()
     steps = running(marks, ["piece"], {"_n": ("sum", F.lit(1))}, order=("onset",), blk=blk)
-    steps = steps.withColumn("idx", (F.col("_n") - 1).cast("long")).drop("_n")
-    closing = last.select("piece", "onset", F.lit(None).cast("long").alias("idx"))
-    tail = steps.groupBy("piece").agg((F.max("idx") + 1).alias("idx")).join(closing.drop("idx"), "piece")
+    steps = written(steps.withColumn("idx", (F.col("_n") - 1).cast("long")).drop("_n"), "onsets")
+    tail = steps.groupBy("piece").agg((F.max("idx") + 1).alias("idx")).join(last, "piece")
     gaps = local_window(
         steps.unionByName(tail), ["piece"], 0, 1, {"_next": lambda w: F.lead("onset").over(w)}, pos="idx"
     ).where("_next is not null")
@@ -130,6 +131,7 @@ def align_voices(notes: DataFrame, block_beats: float = 65536.0) -> DataFrame:
     grid = gaps.withColumn("_b", F.expr(f"idx div {BLOCK}")).join(per_block, ["piece", "_b"]).drop("_b").join(
         timed.select("piece", "voice", "onset", F.col("pitch").alias("_p")), ["piece", "voice", "onset"], "left"
     )
+    grid = written(grid.select("piece", "voice", "idx", "dur", "_p"), "grid")
     return running(grid, ["piece", "voice"], {"pitch": ("last", F.col("_p"))}, order=("idx",)).select(
         "piece", "voice", "idx", "pitch", "dur"
     )
@@ -139,6 +141,7 @@ def quantize(notes: DataFrame, step: float = 0.25, hold: bool = True, block: int
     """roll(piece, voice, step, symbol, fermata): notes on a grid, voices cut to the shortest."""
     x = notes.withColumn("_grid", M.quantize_note(F.col("pitch"), F.col("dur"), step, hold)).where(F.size("_grid") > 0)
     x = running(x, ["piece", "voice"], {"_end": ("sum", F.size("_grid"))}, order=("idx",), block=block)
+    x = written(x.select("piece", "voice", "fermata", "_end", "_grid"), "quantized")
     shortest = x.groupBy("piece", "voice").agg(F.max("_end").alias("_len")).groupBy("piece").agg(F.min("_len").alias("_len"))
     cells = x.select(
         "piece", "voice", "fermata", (F.col("_end") - F.size("_grid")).alias("_start"), F.posexplode("_grid").alias("_i", "symbol")
@@ -174,7 +177,7 @@ def quantize_warnings(notes: DataFrame, step: float = 0.25) -> DataFrame:
 
 def run_lengths(roll: DataFrame, keys: list[str], bin_size: float = 0.25, max_hold: int = 4, block: int = BLOCK) -> DataFrame:
     """(keys, idx, pitch, dur): equal neighbours compressed; a run longer than ``max_hold`` steps is broken."""
-    x = local_window(roll, keys, 1, 0, {"_prev": lambda w: F.lag("symbol").over(w)}, pos="step", block=block)
+    x = local_window(roll.select(*keys, "step", "symbol"), keys, 1, 0, {"_prev": lambda w: F.lag("symbol").over(w)}, pos="step", block=block)
     start = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("symbol")), F.col("step"))
     x = running(x, keys, {"_start": ("last", start)}, order=("step",), block=block)
     x = x.withColumn("_piece", F.expr(f"(step - _start) div {max_hold}"))
@@ -188,7 +191,7 @@ def quantized_corpus(notes: DataFrame, chords: DataFrame, voices: int, step: flo
     from seqprep.operators.filters import equal_voice_filter
 
     kept = equal_voice_filter(notes, voices)
-    held, plain = quantize(kept, step, True), quantize(kept, step, False)
+    held, plain = written(quantize(kept, step, True), "roll"), quantize(kept, step, False)
     grid = held.select("piece", "voice", "step", F.col("symbol").alias("pitch_hold")).join(
         plain.select("piece", "voice", "step", F.col("symbol").alias("pitch")), ["piece", "voice", "step"]
     )

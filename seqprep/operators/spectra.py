@@ -14,12 +14,13 @@ from seqprep.functions import signal as S
 from seqprep.operators import aggregates as A
 from seqprep.operators import frames as W
 from seqprep.operators.blocks import BLOCK, spread, with_totals
+from seqprep.scratch import written
 
 
 def spectrum(signal: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True) -> DataFrame:
     """(keys, frame, re, im): mean-centered, framed, Hann-windowed one-sided transform."""
     x = A.mean_center(signal, keys) if center else signal
-    f = W.frame(x, keys, size, step).withColumn("_f", S.fourier(F.col("values"), S.hann(size)))
+    f = W.frame(x, keys, size, step, lengths=signal).withColumn("_f", S.fourier(F.col("values"), S.hann(size)))
     return f.select(*keys, "frame", F.col("_f.re").alias("re"), F.col("_f.im").alias("im"))
 
 
@@ -123,7 +124,7 @@ def gain_control(signal: DataFrame, keys: list[str], rate: int, size: int, n_ban
     cut = size // 2 + 1
     weights = S.mel_weights_wide(size, rate, n_bands, width)[:, :cut]
     alpha = float(np.exp(-(1.0 / (rate / (size // 2))) / t_scale))
-    spec = spectrum(signal, keys, size, center=False)
+    spec = written(spectrum(signal, keys, size, center=False), "spectrum")
     bands = spec.select(*keys, "frame", S.project(magnitudes(spec), weights.T).alias("_b"))
     rows = bands.select(*keys, "frame", F.posexplode("_b").alias("band", "x"))
     state = W.decaying_max(rows, [*keys, "band"], alpha, pos="frame")
@@ -132,7 +133,7 @@ def gain_control(signal: DataFrame, keys: list[str], rate: int, size: int, n_ban
     spread = weights / (total + (total == 0))
     energy = held.select(*keys, "frame", S.project(F.col("_s.state"), spread).alias("_e"))
     least = F.min(F.array_min(F.filter("_e", lambda v: v > 0)))
-    energy = with_totals(energy, keys, {"_least": least}, "frame")
+    energy = with_totals(written(energy, "energy"), keys, {"_least": least}, "frame")
     x = spec.join(energy, [*keys, "frame"])
     safe = F.transform("_e", lambda v: F.when(v > 0, v).otherwise(F.col("_least")))
     x = x.withColumn("_g", safe).select(
@@ -151,7 +152,7 @@ def utterance_features(
     padded frames of the mel part start ``size - hop`` zeros before the signal, so frame f is aligned with code f*hop.
     """
     x = A.peak_rescale(signal, keys).withColumn("code", S.mulaw_quantize(F.col("x"), channels))
-    x = W.trim_edges(x, keys, threshold)
+    x = written(W.trim_edges(x, keys, threshold).select(*keys, "pos", "x", "code"), "trimmed")
     ends = x.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
     pad = ends.select(*keys, "_n", S.lws_pad(F.col("_n"), size, hop).alias("_p"), S.lws_num_frames(F.col("_n"), size, hop).alias("n_frames"))
     left = size - hop
