@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqprep.functions import arrays as A
 from seqprep.functions import symbols as S
 from seqprep.operators.blocks import lookup_join, with_row
+from seqprep.operators.frames import trim_edges
 
 
 def stem_table(files: DataFrame, path: str = "path") -> DataFrame:
@@ -43,17 +44,19 @@ def assert_disjoint(train: DataFrame, valid: DataFrame, ids: list[str]) -> None:
         raise ValueError(f"the splits share {both[0]}")
 
 
-def repeat_to_resolution(samples: DataFrame, frames: DataFrame, key: str) -> DataFrame:
-    """samples(key, pos, n, …) with the frame of each sample: frames(key, frame, n_frames, feat).
+def repeat_to_resolution(samples: DataFrame, frames: DataFrame, key: str, threshold: int | None = None) -> DataFrame:
+    """samples(key, pos, n, n_frames, …) with the frame of each sample: frames(key, frame, feat).
 
     Every frame is held ``n div n_frames`` samples and the tail has zeros. ``n`` and ``n_frames`` come with the rows, so
-    the join is an equal join on (key, frame) and a long signal is spread over its frames.
+    the join is an equal join on (key, frame) and a long signal is spread over its frames. With a ``threshold`` the
+    silent ends (by the column ``code``) are trimmed afterwards.
     """
     x = samples.withColumn("frame", F.expr("pos div (n div n_frames)"))
     zero = F.transform("_any", lambda v: F.lit(0.0))
     width = frames.agg(F.first("feat").alias("_any"))
     out = with_row(x.join(frames.select(key, "frame", "feat"), [key, "frame"], "left"), width)
-    return out.withColumn("feat", F.coalesce("feat", zero)).drop("_any")
+    out = out.withColumn("feat", F.coalesce("feat", zero)).drop("_any", "frame")
+    return out if threshold is None else trim_edges(out, [key], threshold)
 
 
 def concat_parts(*parts: DataFrame) -> DataFrame:

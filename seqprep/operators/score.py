@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions import music as M
-from seqprep.operators.blocks import BLOCK, local_window, running, spread
+from seqprep.operators.blocks import BLOCK, local_window, lookup_join, running, spread
 from seqprep.scratch import written
 
 # Compared voice pairs, by number of voices.
 VOICE_PAIRS = {2: [(0, 1)], 3: [(0, 2), (1, 2), (0, 1)]}
-# Onset gaps that aligned voices snap to, in this order.
-EXACT_GAPS = [0.0, 0.0625, 0.125]
+# The short onset gaps that aligned voices snap to, and the beats whose sums of three are the longer ones.
+SHORT_GAPS = [0.0, 0.0625, 0.125]
+BEATS = [0.25, 0.5, 1.0, 2.0, 4.0]
 
 
 def snap_gaps() -> list[float]:
-    beats = [0.25, 0.5, 1.0, 2.0, 4.0]
-    return EXACT_GAPS + sorted({a + b + c for a in beats for b in beats for c in beats})
+    """In the order that settles ties: the first of two equally near gaps wins."""
+    return SHORT_GAPS + list(dict.fromkeys(a + b + c for a in BEATS for b in BEATS for c in BEATS))
 
 
 def nearest(value: Column, centers: list[float], symbols: list | None = None) -> Column:
@@ -137,6 +138,16 @@ def align_voices(notes: DataFrame, block_beats: float = 65536.0) -> DataFrame:
     )
 
 
+def fixup_parts(notes: DataFrame) -> DataFrame:
+    """Align the voices of the pieces whose first two voices have unequal numbers of notes; others pass unchanged."""
+    per_voice = notes.where(F.col("voice") < 2).groupBy("piece", "voice").agg(F.count("*").alias("_n"))
+    uneven = per_voice.groupBy("piece").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b")).where("_a <> _b").select("piece")
+    columns = ["piece", "voice", "idx", "pitch", "dur"]
+    even = lookup_join(notes.select(*columns), uneven, ["piece"], "left_anti")
+    odd = lookup_join(notes, uneven, ["piece"], "left_semi")
+    return even.unionByName(align_voices(odd).select(*columns))
+
+
 def quantize(notes: DataFrame, step: float = 0.25, hold: bool = True, block: int = BLOCK) -> DataFrame:
     """roll(piece, voice, step, symbol, fermata): notes on a grid, voices cut to the shortest."""
     x = notes.withColumn("_grid", M.quantize_note(F.col("pitch"), F.col("dur"), step, hold)).where(F.size("_grid") > 0)

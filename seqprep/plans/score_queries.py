@@ -213,6 +213,12 @@ def align_voices(spark, folder):
     return SC.align_voices(V.notes(spark, folder))
 
 
+@query("score_fixup_parts", f"""{ALIGNED}, cnt AS (SELECT piece FROM (SELECT piece, voice, count(*) AS n FROM note GROUP BY ALL) GROUP BY piece HAVING min(n) <> max(n))
+SELECT piece, voice, idx, pitch, dur FROM al WHERE piece IN (SELECT piece FROM cnt) UNION ALL SELECT piece, voice, idx, pitch, dur FROM note WHERE piece NOT IN (SELECT piece FROM cnt)""")
+def fixup_parts(spark, folder):
+    return SC.fixup_parts(V.notes(spark, folder))
+
+
 GRID = f"""{NOTE}, q AS (SELECT *, greatest(floor(dur / 0.25)::INT, 1) AS n FROM note), s AS (SELECT *, sum(n) OVER (PARTITION BY piece, voice ORDER BY idx) - n AS a FROM q),
 cell AS (SELECT piece, voice, (a + i)::BIGINT AS step, CASE WHEN i > 0 THEN 1 WHEN pitch = 0 THEN 0 ELSE pitch + 1 END AS symbol, pitch, fermata FROM (SELECT *, unnest(range(0, n)) AS i FROM s)),
 len AS (SELECT piece, min(m) AS m FROM (SELECT piece, voice, max(step) + 1 AS m FROM cell GROUP BY ALL) GROUP BY piece),
