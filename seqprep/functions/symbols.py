@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqprep.functions.text import let
+
 # The symbol lists; the position in a list is the id.
 PAD = "_"
 END = "~"
@@ -56,8 +58,12 @@ def symbol_ids(symbols: Column, kind: str) -> Column:
 
 def char_ids(text: Column) -> Column:
     """Character ids without the end id, unknown characters dropped; a position in a string instead of a map probe."""
-    ids = F.filter(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(CHARS), c) + 1), lambda i: i > 1)
-    return F.when(text == "", F.array().cast("array<int>")).otherwise(ids)
+
+    def encode(t: Column) -> Column:
+        ids = F.filter(F.transform(F.split(t, ""), lambda c: F.instr(F.lit(CHARS), c) + 1), lambda i: i > 1)
+        return F.when(t == "", F.array().cast("array<int>")).otherwise(ids)
+
+    return let(text, encode)
 
 
 def text_to_ids(text: Column) -> Column:

@@ -242,9 +242,12 @@ def strip_punctuation_for_lookup(text: Column) -> Column:
 
 
 def interior_period_to_comma(line: Column) -> Column:
-    n = F.length(line)
-    body = F.replace(F.substring(line, F.lit(1), F.greatest(n - 1, F.lit(0))), F.lit("."), F.lit(","))
-    return F.concat(body, F.substring(line, -1, 1))
+
+    def change(t: Column) -> Column:
+        body = F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0)))
+        return F.concat(F.replace(body, F.lit("."), F.lit(",")), F.substring(t, -1, 1))
+
+    return let(line, change)
 
 
 def quote_and_dash_fix(text: Column) -> Column:
