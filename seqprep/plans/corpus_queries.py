@@ -333,14 +333,16 @@ LEXICON = {
     "as": ["AE1", "Z"], "it": ["IH1", "T"], "at": ["AE1", "T"], "no": ["N", "OW1"], "de": ["D", "IY1"], "la": ["L", "AA1"],
     "in-": ["IH0", "N"], "one": ["W", "AH1", "N"], "two": ["T", "UW1"], "mister": ["M", "IH1", "S", "T", "ER0"], "The": ["DH", "IY0"],
 }
-# A few letter rules: enough to spell every letter, with one rule of each kind.
-RULES = ["[TH]=/TH/", "[CH]^=/K/", "[CH]=/CH/", "#[S]=/Z/", "[A]^%=/EY/", "[E]+:=/IY/", "[OU]=/AW/", "[QU]=/K W/", ":[Y]#=/Y/", "[ING]=/IH NG/"] + [
-    f"[{a}]=/{p}/" for a, p in zip(
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ-'",
-        "AE B K D EH F G HH IH JH K L M N OW P K R S T AH V W K~S IH Z <->  ".replace("~", " ").replace("K S", "K_S").split(" "),
-        strict=False)
+# A few made-up letter rules: one of each kind, then one per letter.
+LETTERS = {
+    "A": "AE", "B": "B", "C": "K", "D": "D", "E": "EH", "F": "F", "G": "G", "H": "HH", "I": "IH", "J": "JH", "K": "K", "L": "L", "M": "M",
+    "N": "N", "O": "OW", "P": "P", "Q": "K", "R": "R", "S": "S", "T": "T", "U": "AH", "V": "V", "W": "W", "X": "K S", "Y": "IH", "Z": "Z",
+    "-": "<->", "'": "",
+}
+RULES = [
+    "[TH]=/TH/", "[CH]^=/K/", "[CH]=/CH/", "#[S]=/Z/", "[A]^%=/EY/", "[E]+:=/IY/", "[OU]=/AW/", "[QU]=/K W/", ":[Y]#=/Y/", "[ING]=/IH NG/",
+    *[f"[{letter}]=/{phones}/" for letter, phones in LETTERS.items()],
 ]
-RULES = [x.replace("K_S", "K S") for x in RULES] + ["[']=/ /"]
 
 
 def lexicon(spark):
