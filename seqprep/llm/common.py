@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqprep.scratch import written
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 __all__ = ["written", "remainder", "slices", "Texts", "mix64", "table"]
 
@@ -86,6 +86,8 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Po
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -93,10 +95,10 @@ LOWER[65:91] += 32
 class Texts:
     """The texts of an Arrow column as one byte buffer, with the spans of their words and lines.
 
-    Words are runs of bytes other than space and 0x09-0x0D; lines end at a line feed. A null is an empty text.
+    ``strip`` removes up to that many ASCII punctuation characters from either end of a word. Words are runs of bytes other than space and 0x09-0x0D; lines end at a line feed. A null is an empty text.
     """
 
-    def __init__(self, column: pa.Array, powers: Powers, lower: bool = False):
+    def __init__(self, column: pa.Array, powers: Powers, lower: bool = False, strip: int = 0):
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -109,6 +111,12 @@ class Texts:
         first = np.zeros(size + 1, bool)
         first[self.off] = True
         self.first = first
+        if strip and size:
+            self.data = self.data.copy()
+            for _ in range(strip):
+                gap = SPACE[self.data]
+                edge = first[1:] | np.append(gap[1:], True) | first[:-1] | np.insert(gap[:-1], 0, True)
+                self.data[edge & PUNCTUATION[self.data]] = 0x20
         self.space = SPACE[self.data]
         solid = ~self.space
         before = np.ones(size, bool)

@@ -13,6 +13,20 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _judged(scores, modulus: int, held: int):
+    return scores.select(
+        "doc_id", (remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op1_line_crf(spark, sf):
+    from seqprep.llm import line_crf
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = line_crf.fit(docs, labels, usable=remainder(F.col("doc_id"), 5) != 0)
+    return _judged(line_crf.score(docs, "doc_id", "text", model), 5, 0)
+
+
 def op2_line_frequency(spark, sf):
     from seqprep.llm.line_rules import line_rules
 
@@ -31,5 +45,13 @@ def op7_bpe(spark, sf):
     return round_trip(table(spark, sf, "documents"), "doc_id", "text", tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_line_frequency, op5_best_fit, op7_bpe)}
+def op8_subword_toxicity(spark, sf):
+    from seqprep.llm import toxicity
+
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels, usable=remainder(F.col("doc_id"), 4) != 2)
+    return _judged(toxicity.score(docs, "doc_id", "text", model), 4, 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op5_best_fit, op7_bpe, op8_subword_toxicity)}
 ORACLES: dict[str, str] = {}
