@@ -33,12 +33,25 @@ def op2_line_frequency(spark, sf):
     return line_rules(table(spark, sf, "documents")).drop("removed_lines")
 
 
+def op4_simhash_bk(spark, sf):
+    from seqprep.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op5_best_fit(spark, sf):
     from seqprep.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf, "documents"), "doc_id", "text", tokenizer())
 
 
+def op6_permutation_index(spark, sf):
+    from seqprep.llm.permutation_index import nearest
+
+    return nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+
+
 def op7_bpe(spark, sf):
     from seqprep.llm.bpe import round_trip
 
@@ -53,5 +66,5 @@ def op8_subword_toxicity(spark, sf):
     return _judged(toxicity.score(docs, "doc_id", "text", model), 4, 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op5_best_fit, op7_bpe, op8_subword_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity)}
 ORACLES: dict[str, str] = {}
