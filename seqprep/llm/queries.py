@@ -66,5 +66,11 @@ def op8_subword_toxicity(spark, sf):
     return _judged(toxicity.score(docs, "doc_id", "text", model), 4, 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity)}
+def op9_style_tree(spark, sf):
+    from seqprep.llm.style_tree import main_text
+
+    return main_text(table(spark, sf, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity, op9_style_tree)}
 ORACLES: dict[str, str] = {}
