@@ -72,5 +72,13 @@ def op9_style_tree(spark, sf):
     return main_text(table(spark, sf, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity, op9_style_tree)}
+def op10_hmm(spark, sf):
+    from seqprep.llm.hmm_lm import score_documents
+
+    held = remainder(F.col("doc_id"), 7) == 2
+    scored = score_documents(table(spark, sf, "documents"), "doc_id", "text", ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity, op9_style_tree, op10_hmm)}
 ORACLES: dict[str, str] = {}
