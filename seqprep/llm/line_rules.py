@@ -113,3 +113,38 @@ def line_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str
         F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"),
         (~failed & (F.col("n_words") - gone >= min_left * F.col("n_words"))).alias("kept"),
     )
+
+
+def clean_documents(df: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """The rows of ``df`` that the rules keep, without their boilerplate lines; all columns stay.
+
+    A verdict depends on host and text only, so it is joined back by two hashes of both, and equal rows fare alike.
+    """
+    marks = [F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.col(text), F.lit(i)).alias(f"_mark{i}") for i in (0, 1)]
+    marked = df.select("*", *marks)
+    keyed = marked.select(F.struct("_mark0", "_mark1").alias("_key"), F.col(host).alias("_from"), F.col(text).alias("_body"))
+    verdict = line_rules(keyed, "_key", "_body", "_from", **limits).where("kept")
+    gone = verdict.groupBy("_key._mark0", "_key._mark1").agg(F.max("removed_lines").alias("_gone"))
+    columns, at = df.columns, df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in slices(batches, text):
+            gone = batch.column(len(columns)).to_pylist()
+            t = Texts(batch.column(at), powers)
+            start, end, owner = t.lines()
+            first, last = np.searchsorted(t.word_start, start), np.searchsorted(t.word_start, end)
+            normal = span_hash(t.word_hash(LOWER[t.data]), first, last, powers).view(np.int64)
+            begin = np.searchsorted(owner, np.arange(t.n + 1))
+            texts = batch.column(at).to_pylist()
+            for i, lines in enumerate(gone):
+                if lines:
+                    out = set(lines)
+                    rows = range(begin[i], begin[i + 1])
+                    keep = [t.data[start[r] : end[r]].tobytes() for r in rows if last[r] == first[r] or int(normal[r]) not in out]
+                    texts[i] = b"\n".join(keep).decode()
+            arrays = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    joined = marked.join(gone, ["_mark0", "_mark1"]).select(*[F.col(f"`{c}`") for c in columns], "_gone")
+    return joined.mapInArrow(run, df.schema)

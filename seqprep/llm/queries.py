@@ -33,6 +33,12 @@ def op2_line_frequency(spark, sf):
     return line_rules(table(spark, sf, "documents")).drop("removed_lines")
 
 
+def op3_compact_windows(spark, sf):
+    from seqprep.llm.compact_windows import duplicate_passages
+
+    return duplicate_passages(table(spark, sf, "documents")).withColumnRenamed("source", "source_doc_id")
+
+
 def op4_simhash_bk(spark, sf):
     from seqprep.llm.simhash import near_duplicates
 
@@ -80,5 +86,5 @@ def op10_hmm(spark, sf):
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity, op9_style_tree, op10_hmm)}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_line_frequency, op3_compact_windows, op4_simhash_bk, op5_best_fit, op6_permutation_index, op7_bpe, op8_subword_toxicity, op9_style_tree, op10_hmm)}
 ORACLES: dict[str, str] = {}

@@ -174,3 +174,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     smallest = rooted.groupBy("_root").agg(F.min("_key").alias("component"))
     named = rooted.join(smallest, "_root").select("fp", "component")
     return rows.join(named, "fp").select(key, "fp", "component")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stand for their component: the smallest (key, text hash), and of equal rows one."""
+    marked = df.withColumn("_one", F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.col(text)).alias("h")))
+    groups = near_duplicates(marked.select("_one", F.col(text).alias("_body")), "_one", "_body", **options)
+    first = groups.where(F.col("_one") == F.col("component")).select("_one.i", "_one.h").distinct()
+    rows = marked.withColumns({"_i": F.col("_one.i"), "_h": F.col("_one.h")}).drop("_one")
+    kept = rows.join(first, (F.col("_i") == F.col("i")) & (F.col("_h") == F.col("h"))).drop("i", "h")
+    return kept.dropDuplicates(["_i", "_h"]).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -201,3 +201,20 @@ def score(df: DataFrame, key: str, text: str, model: dict) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, usable: Column | None = None) -> dict:
     return train(labelled_sample(docs, labels, key, text, label, per_class, usable))
+
+
+def keep_clean(df: DataFrame, text: str, model: dict, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` whose text scores below the threshold, in one pass over whole rows."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, m = Powers(), shared.value
+        for batch in slices(batches, text):
+            raw = worst(_texts_of(batch.column(text), powers), m) * m["slope"] + m["intercept"]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -500, 500))) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _texts_of(column: pa.Array, powers: Powers) -> Texts:
+    return Texts(column, powers, lower=True, strip=STRIP)
