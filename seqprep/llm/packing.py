@@ -110,12 +110,16 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_documents: int | None = No
         frame["sequence_id"], frame["offset"] = (frame["_shard"].to_numpy().astype(np.int64) << 32) + bins, offsets
         return frame.drop(columns="_shard")
 
-    keys = [F.col(c) for c in columns if c not in ("ids",)]
-    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int"))
+    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64(*map(F.col, columns)), F.lit(shards)).cast("int"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint"
     return spread.groupBy("_shard").applyInPandas(place, schema)
 
 
 def pack_documents(df: DataFrame, key: str, text: str, path: str, capacity: int = 1024, end_id: int = 2, keep_ids: bool = False, **options) -> DataFrame:
     """Cut, then pack: (key, piece, start, length, ids_crc32, [ids,] sequence_id, offset)."""
-    return pack(written(cut_pieces(df, key, text, path, capacity, end_id, keep_ids), "pieces"), capacity, **options)
+    # the ids, if asked for, wait in the written table while lengths alone are packed
+    pieces = written(cut_pieces(df, key, text, path, capacity, end_id, keep_ids).withColumn("_at", F.monotonically_increasing_id()), "pieces")
+    placed = pack(pieces.drop("ids"), capacity, **options)
+    if keep_ids:
+        placed = placed.join(pieces.select("_at", "ids"), "_at")
+    return placed.drop("_at")
