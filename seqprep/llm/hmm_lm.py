@@ -79,14 +79,14 @@ def token_blocks(df: DataFrame, key: str, text: str, train: Column) -> DataFrame
             keys = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
             flags = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.array(learn))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), keys, flags, pa.array([squeeze(lengths)]), pa.array([squeeze(ids)]), words, sums],
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), keys, flags, pa.array([squeeze(lengths)]), pa.array([squeeze(ids)]), words, sums],
                 names=["_block", "_keys", "_train", "_lengths", "_ids", "_words", "_counts"],
             )
 
     narrow = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), train.alias("_learn"))
     kind = df.select(key).schema[0].dataType.simpleString()
     return narrow.mapInArrow(
-        run, f"_block string, _keys array<{kind}>, _train array<boolean>, _lengths binary, _ids binary, _words array<string>, _counts array<bigint>"
+        run, f"_block bigint, _keys array<{kind}>, _train array<boolean>, _lengths binary, _ids binary, _words array<string>, _counts array<bigint>"
     )
 
 
