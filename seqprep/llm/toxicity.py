@@ -23,7 +23,7 @@ from seqprep.llm.bpe import _field
 from seqprep.llm.common import Powers, Texts, mix64, slices
 from seqprep.llm.sampling import labelled_sample
 
-BUCKETS, DIM, SIZES, STRIP, PER_CLASS = 1 << 18, 8, (3, 4, 5, 6, 8), 4, 4_000
+BUCKETS, DIM, SIZES, STRIP, PER_CLASS = 1 << 18, 8, (3, 4, 5, 6, 8), 4, 3_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,7 +109,7 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-def train(sample: list[tuple[str, int]], epochs: int = 8, batch: int = 128, rate: float = 0.3, seed: int = 7) -> dict:
+def train(sample: list[tuple[str, int]], epochs: int = 7, batch: int = 128, rate: float = 0.3, seed: int = 7) -> dict:
     """Value of each bucket (its vector times the softmax difference) and the calibration.
 
     Every fourth text calibrates, the others train; the vectors and the softmax learn jointly by Adagrad.
@@ -131,8 +131,9 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, batch: int = 128, rate
                 continue
             # distinct words of each text
             _, kept = np.unique(mix64(t.word_hash() ^ mix64(t.word_doc().astype(np.uint64))), return_index=True)
-            # half of a toxic text's words are left out each time, so that each toxic word must be found by itself
-            kept = kept[(y[t.word_doc()[kept]] == 0) | (rng.random(len(kept)) < 0.5)]
+            # half of the words are left out each time, so that each toxic word must be found by itself; those of clean
+            # texts that stay count twice
+            kept = kept[rng.random(len(kept)) < 0.5]
             if not len(kept):
                 continue
             name, first, inverse = np.unique(t.word_hash()[kept], return_index=True, return_inverse=True)
@@ -154,7 +155,7 @@ def train(sample: list[tuple[str, int]], epochs: int = 8, batch: int = 128, rate
             logits = mean @ softmax + bias
             z = (logits[:, 1] - logits[:, 0])[inverse]
             total = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(y))
-            push = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-6)), 1.0)
+            push = np.where(y == 1, -1 / np.expm1(np.maximum(total, 1e-6)), 2.0)
             dz = np.bincount(inverse, weights=push[doc] / (1 + np.exp(-z)), minlength=len(types)) / len(y) * 8
             both = np.stack([-dz, dz], 1)
             g_softmax, g_bias = mean.T @ both + 1e-4 * softmax, both.sum(0)
