@@ -15,13 +15,24 @@ from seqprep.scratch import written
 
 SLICE_BYTES = 2 << 20
 
-__all__ = ["written", "remainder", "slices", "Texts", "mix64", "table"]
+__all__ = ["written", "free_names", "remainder", "slices", "Texts", "mix64", "table"]
 
 
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have (whatever their case), made from the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))

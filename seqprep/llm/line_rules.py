@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import _field
-from seqprep.llm.common import LOWER, Powers, Texts, mix64, ngram_hash, slices, span_hash, written
+from seqprep.llm.common import LOWER, Powers, Texts, free_names, mix64, ngram_hash, slices, span_hash, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -120,11 +120,12 @@ def clean_documents(df: DataFrame, text: str = "text", host: str = "source", **l
 
     A verdict depends on host and text only, so it is joined back by two hashes of both, and equal rows fare alike.
     """
-    marks = [F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.col(text), F.lit(i)).alias(f"_mark{i}") for i in (0, 1)]
+    one, two, out = free_names(df, "_mark0", "_mark1", "_gone")
+    marks = [F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit("\x00")), F.col(text), F.lit(i)).alias(name) for i, name in enumerate((one, two))]
     marked = df.select("*", *marks)
-    keyed = marked.select(F.struct("_mark0", "_mark1").alias("_key"), F.col(host).alias("_from"), F.col(text).alias("_body"))
+    keyed = marked.select(F.struct(F.col(one).alias("a"), F.col(two).alias("b")).alias("_key"), F.col(host).alias("_from"), F.col(text).alias("_body"))
     verdict = line_rules(keyed, "_key", "_body", "_from", **limits).where("kept")
-    gone = verdict.groupBy("_key._mark0", "_key._mark1").agg(F.max("removed_lines").alias("_gone"))
+    gone = verdict.groupBy(F.col("_key.a").alias(one), F.col("_key.b").alias(two)).agg(F.max("removed_lines").alias(out))
     columns, at = df.columns, df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +147,5 @@ def clean_documents(df: DataFrame, text: str = "text", host: str = "source", **l
             arrays = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    joined = marked.join(gone, ["_mark0", "_mark1"]).select(*[F.col(f"`{c}`") for c in columns], "_gone")
+    joined = marked.join(gone, [one, two]).select(*[F.col(f"`{c}`") for c in columns], out)
     return joined.mapInArrow(run, df.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import _field
-from seqprep.llm.common import written
+from seqprep.llm.common import free_names, written
 from seqprep.llm.graph import components
 
 SHARD = 2048
@@ -178,9 +178,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stand for their component: the smallest (key, text hash), and of equal rows one."""
-    marked = df.withColumn("_one", F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.col(text)).alias("h")))
-    groups = near_duplicates(marked.select("_one", F.col(text).alias("_body")), "_one", "_body", **options)
-    first = groups.where(F.col("_one") == F.col("component")).select("_one.i", "_one.h").distinct()
-    rows = marked.withColumns({"_i": F.col("_one.i"), "_h": F.col("_one.h")}).drop("_one")
-    kept = rows.join(first, (F.col("_i") == F.col("i")) & (F.col("_h") == F.col("h"))).drop("i", "h")
-    return kept.dropDuplicates(["_i", "_h"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    one, i, h = free_names(df, "_one", "_i", "_h")
+    marked = df.withColumn(one, F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(F.col(text)).alias("h")))
+    groups = near_duplicates(marked.select(F.col(one).alias("_one"), F.col(text).alias("_body")), "_one", "_body", **options)
+    first = groups.where(F.col("_one") == F.col("component")).select(F.col("_one.i").alias(i), F.col("_one.h").alias(h)).distinct()
+    rows = marked.withColumns({i: F.col(f"{one}.i"), h: F.col(f"{one}.h")}).drop(one)
+    return rows.join(first, [i, h]).dropDuplicates([i, h]).select(*[F.col(f"`{c}`") for c in df.columns])
