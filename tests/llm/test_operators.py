@@ -205,8 +205,8 @@ def test_permutation_index(spark):
 def test_toxicity_and_quality_learn(spark, docs, empty):
     r = random.Random(1)
     sample = []
-    for i in range(240):
-        words = prose(40, 3000 + i).split()
+    for i in range(800):
+        words = prose(40, 30000 + i).split()
         if i % 2:
             words[r.randrange(40)] = r.choice(["blockhead", "nitwit"])
         sample.append((" ".join(words), i % 2))
