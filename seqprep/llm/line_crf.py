@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import _field
 from seqprep.llm.common import LOWER, Powers, Texts, mix64, ngram_hash, slices, span_hash
-from seqprep.llm.sampling import labelled_sample
+from seqprep.llm.sampling import calibration_split, labelled_sample
 from seqprep.llm.toxicity import platt
 
 PER_CLASS, OWN = 1_500, 17
@@ -105,7 +105,7 @@ def marginals(unary: np.ndarray, doc: np.ndarray, n: int, trans: np.ndarray) ->
 def train(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> dict:
     """Weights of the field by Adam on the whole sample, each text's gradient divided by its lines; then calibration."""
     powers = Powers()
-    fit, rest = [s for i, s in enumerate(sample) if i % 4], sample[::4]
+    fit, rest = calibration_split(sample)
     weight, trans = np.zeros((3 * OWN, 2)), np.zeros((2, 2))
     if fit:
         x, doc, _ = features(Texts(pa.array([s for s, _ in fit], pa.large_string()), powers))

@@ -25,3 +25,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     # at most 2 * per_class rows of a key and a number
     rows = texts.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"]).orderBy(F.md5(F.col("_key").cast("string"))).select("_text", "_label")
     return [(r[0], r[1]) for r in rows.collect()]
+
+
+def calibration_split(sample: list[tuple[str, int]]) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+    """The sample without every fourth text of each label, and those."""
+    fit, rest, seen = [], [], {}
+    for row in sample:
+        seen[row[1]] = seen.get(row[1], -1) + 1
+        (fit if seen[row[1]] % 4 else rest).append(row)
+    return fit, rest

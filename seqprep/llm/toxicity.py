@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import _field
 from seqprep.llm.common import Powers, Texts, mix64, slices
-from seqprep.llm.sampling import labelled_sample
+from seqprep.llm.sampling import calibration_split, labelled_sample
 
 BUCKETS, DIM, SIZES, STRIP, PER_CLASS = 1 << 18, 8, (3, 4, 5, 6, 8), 4, 3_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -112,13 +112,13 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]
 def train(sample: list[tuple[str, int]], epochs: int = 7, batch: int = 128, rate: float = 0.3, seed: int = 7) -> dict:
     """Value of each bucket (its vector times the softmax difference) and the calibration.
 
-    Every fourth text calibrates, the others train; the vectors and the softmax learn jointly by Adagrad.
+    Every fourth text of a label calibrates, the others train; the vectors and the softmax learn jointly by Adagrad.
     """
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
     softmax, bias = rng.normal(0, 0.5, (DIM, 2)), np.array([5.0, 0.0])
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
-    fit, rest = [s for i, s in enumerate(sample) if i % 4], sample[::4]
+    fit, rest = calibration_split(sample)
     powers = Powers()
     for _ in range(epochs if fit else 0):
         order = rng.permutation(len(fit))
