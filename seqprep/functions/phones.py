@@ -125,6 +125,7 @@ def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str
     """Letter-rule phones of every word joined by ``&``, words joined by ``^``, lower case.
 
     The words of a text stay together as an array: no shuffle, and a frequent word is spelled once per Arrow batch.
+    A null text has null phones.
     """
     table = [
         (r["before"], r["center"], r["after"], r["phones"])
@@ -135,8 +136,8 @@ def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str
     def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         families = by_letter(table)
         for lists in batches:
-            known = {w: _walk(w, families) for w in set().union(*lists)}
-            yield lists.map(lambda words: [known[w] for w in words if known[w] is not None])
+            known = {w: _walk(w, families) for w in set().union(*lists.dropna())}
+            yield lists.map(lambda words: [known[w] for w in words if known[w] is not None], na_action="ignore")
 
     spelled = kernel(rule_line_words(F.col(text)))
     return df.select("*", F.lower(F.array_join(F.transform(spelled, lambda p: F.array_join(p, "&")), "^")).alias(out))

@@ -62,6 +62,16 @@ def mel_weights_wide(n_fft: int, rate: int, n_filters: int, width: float = 1.0)
     return out
 
 
+def mel_bank(n_bins: int, rate: float, low: float, high: float, n_filters: int) -> np.ndarray:
+    """(n_bins, n_filters) triangles of area one between frequencies evenly spaced on the linear-then-log scale."""
+    knee = LINEAR_TOP / LINEAR_STEP
+    ends = [hz / LINEAR_STEP if hz < LINEAR_TOP else knee + math.log(hz / LINEAR_TOP) / LOG_STEP for hz in (low, high)]
+    corners = [m * LINEAR_STEP if m < knee else LINEAR_TOP * math.exp(LOG_STEP * (m - knee)) for m in np.linspace(*ends, n_filters + 2)]
+    grid = np.linspace(0.0, rate / 2.0, n_bins)
+    triangles = zip(corners, corners[1:], corners[2:])
+    return np.stack([np.interp(grid, abc, [0.0, 2.0 / (abc[2] - abc[0]), 0.0], 0.0, 0.0) for abc in triangles], axis=1)
+
+
 def mel_weight_table(spark, weights: np.ndarray):
     """weight(bin, filter, w): the non-zero weights; its size depends on parameters only."""
     at = np.argwhere(weights > 0)

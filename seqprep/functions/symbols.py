@@ -74,7 +74,7 @@ def _bare_phone(phone: Column) -> Column:
     return F.regexp_replace(phone, "([a-z])[!,:?.;]+", "$1")
 
 
-def _after_first(parts: Column) -> Column:
+def after_first(parts: Column) -> Column:
     return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
@@ -84,7 +84,7 @@ def phone_symbols(text: Column) -> Column:
     def word(w: Column) -> Column:
         head, tail = F.substring(w, 1, 1), F.substring(w, -1, 1)
         lead, trail = head.isin(*"!,:?"), tail.isin(*"!,:?") & (F.length(w) > 1)
-        phones = F.transform(_after_first(F.split(F.trim(w), "@")), _bare_phone)
+        phones = F.transform(after_first(F.split(F.trim(w), "@")), _bare_phone)
         return F.concat(
             F.when(lead, F.array(head)).otherwise(F.array().cast("array<string>")),
             phones,
@@ -108,7 +108,7 @@ def pause_symbols(text: Column) -> Column:
         return F.concat(F.array(F.regexp_replace(p, "[1-4]", "")), F.when(mark.isNotNull(), F.array(mark)).otherwise(none))
 
     def word(w: Column) -> Column:
-        phones = F.flatten(F.transform(_after_first(F.split(F.trim(w), "@")), phone))
+        phones = F.flatten(F.transform(after_first(F.split(F.trim(w), "@")), phone))
         return F.concat(phones, F.when(w.rlike("[1-4]"), none).otherwise(F.array(F.lit(" "))))
 
     return F.flatten(F.transform(F.split(text, " "), word))
@@ -153,7 +153,7 @@ def braced_phones(text: Column) -> Column:
 
     def phones(hit: Column) -> Column:
         parts = F.split(F.regexp_replace(hit, "[{}]", ""), " ")
-        return symbol_ids(F.transform(parts, lambda p: F.substring(strip_stress(p), 2, 10)), "phone")
+        return symbol_ids(F.transform(parts, lambda p: F.substr(strip_stress(p), F.lit(2))), "phone")
 
     pieces = F.zip_with(
         outside,

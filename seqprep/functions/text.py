@@ -119,21 +119,32 @@ def expand_pounds(text: Column) -> Column:
 
 
 def expand_dollars(text: Column) -> Column:
+    """Commas of the whole part are left out; an amount whose whole part cannot be read stays as it is."""
+
+    def number(part: Column) -> Column:
+        return part.try_cast("decimal(38,0)")
+
+    def amounts(parts: Column) -> Column:
+        whole = F.when(parts[0] == "", F.lit(0)).otherwise(number(F.replace(parts[0], F.lit(","), F.lit(""))))
+        rest = F.get(parts, F.lit(1))
+        cents = F.coalesce(F.when(rest != "", number(rest)), F.lit(0))
+        return F.struct(F.size(parts).alias("n"), whole.alias("whole"), cents.alias("cents"))
+
     def spell(hit: Column) -> Column:
-        amount = F.substring(hit, 2, 1_000_000)
-        parts = F.split(amount, "\\.", -1)
-        whole = F.when(parts[0] == "", F.lit(0)).otherwise(parts[0].try_cast("decimal(38,0)"))
-        cents = F.coalesce(F.when(F.get(parts, F.lit(1)) != "", F.get(parts, F.lit(1)).try_cast("decimal(38,0)")), F.lit(0))
-        d = F.concat(whole.cast("string"), F.when(whole == 1, " dollar").otherwise(" dollars"))
-        c = F.concat(cents.cast("string"), F.when(cents == 1, " cent").otherwise(" cents"))
-        spelled = (
-            F.when(F.size(parts) > 2, F.concat(amount, F.lit(" dollars")))
-            .when((whole > 0) & (cents > 0), F.concat(d, F.lit(", "), c))
-            .when(whole > 0, d)
-            .when(cents > 0, c)
-            .when(whole.isNotNull(), F.lit("zero dollars"))
-        )
-        return F.coalesce(spelled, hit)
+        def written(a: Column) -> Column:
+            whole, cents = a["whole"], a["cents"]
+            d = F.concat(whole.cast("string"), F.when(whole == 1, " dollar").otherwise(" dollars"))
+            c = F.concat(cents.cast("string"), F.when(cents == 1, " cent").otherwise(" cents"))
+            spelled = (
+                F.when(a["n"] > 2, F.concat(F.substr(hit, F.lit(2)), F.lit(" dollars")))
+                .when((whole > 0) & (cents > 0), F.concat(d, F.lit(", "), c))
+                .when(whole > 0, d)
+                .when((whole == 0) & (cents > 0), c)
+                .when(whole.isNotNull(), F.lit("zero dollars"))
+            )
+            return F.coalesce(spelled, hit)
+
+        return let(let(F.split(F.substr(hit, F.lit(2)), "\\.", -1), amounts), written)
 
     return replace_hits(text, "\\$[0-9.,]*[0-9]+", spell)
 

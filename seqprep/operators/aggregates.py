@@ -44,7 +44,8 @@ def stats_vector(stats: DataFrame) -> DataFrame:
 
 
 def normalize(frames: DataFrame, stats: DataFrame, feat: str = "feat") -> DataFrame:
-    z = F.zip_with(F.zip_with(F.col(feat).cast("array<double>"), "_mean", lambda x, m: x - m), "_std", lambda x, s: x / s)
+    """Centered and divided by the deviation; a constant dimension is centered only."""
+    z = F.zip_with(F.zip_with(F.col(feat).cast("array<double>"), "_mean", lambda x, m: x - m), "_std", lambda x, s: F.when(s == 0, x).otherwise(x / s))
     return with_row(frames, stats_vector(stats)).withColumn(feat, z).drop("_mean", "_std")
 
 
@@ -65,14 +66,15 @@ def charset_vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def peak_rescale(signal: DataFrame, keys: list[str], value: str = "x", top: float = 0.999, block: int = BLOCK) -> DataFrame:
+    """Largest magnitude to ``top``; a silent signal stays zero."""
     x = with_totals(signal, keys, {"_peak": F.max(F.abs(value))}, block=block)
-    return x.withColumn(value, F.col(value) / F.col("_peak") * top).drop("_peak")
+    return x.withColumn(value, F.when(F.col("_peak") == 0, F.lit(0.0)).otherwise(F.col(value) / F.col("_peak") * top)).drop("_peak")
 
 
 def minmax_rescale(signal: DataFrame, keys: list[str], value: str = "x", gain: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """To [-1, 1], times the gain, as 16-bit integers (cut towards zero)."""
+    """To [-1, 1], times the gain, as 16-bit integers (cut towards zero); a constant signal becomes zero."""
     x = with_totals(signal, keys, {"_lo": F.min(value), "_hi": F.max(value)}, block=block)
-    unit = 2 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - 1
+    unit = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.0)).otherwise(2 * (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) - 1)
     return x.withColumn(value, (unit * gain * 32768.0).cast("short")).drop("_lo", "_hi")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions import arrays as A
@@ -80,10 +80,27 @@ def char_lanes(lines: DataFrame, order: list[str], lanes: int, steps: int, text:
     )
 
 
-def fixed_batches(rows: DataFrame, ids: list[str], batch: int, seed: object, batches: int, **sizes: int) -> DataFrame:
-    """Seeded batches of distinct rows; ``sizes`` names array columns and the size every row must have (others leave)."""
+def _fits(sizes: dict[str, int]) -> Column:
+    fits = F.lit(True)
     for column, n in sizes.items():
-        rows = rows.where(F.size(column) == n)
+        fits = fits & F.coalesce(F.size(column) == n, F.lit(False))
+    return fits
+
+
+def ragged_rows(rows: DataFrame, **sizes: int) -> DataFrame:
+    """Rows with a named array that is null or not of the wanted size."""
+    return rows.where(~_fits(sizes))
+
+
+def fixed_batches(rows: DataFrame, ids: list[str], batch: int, seed: object, batches: int, ragged: str = "raise", **sizes: int) -> DataFrame:
+    """Seeded batches of distinct rows; ``sizes`` names array columns and the size every row must have.
+
+    Rows of another size fail the job, or are left out with ``ragged="leave"`` (``ragged_rows`` returns them).
+    """
+    if ragged not in ("raise", "leave"):
+        raise ValueError(f"unknown treatment of ragged rows: {ragged}")
+    fits = _fits(sizes)
+    rows = rows.where(fits if ragged == "leave" else F.when(fits, True).otherwise(F.raise_error("a row has another size").cast("boolean")))
     return sample_batches(rows, ids, batch, seed, batches)
 
 

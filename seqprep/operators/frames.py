@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqprep.functions.text import let
 from seqprep.operators.blocks import BLOCK, local_window, running, spread, with_totals
 from seqprep.scratch import written
 
+FRAME_RUN = 1 << 13
+
 
 def rolling_mean(signal: DataFrame, keys: list[str], size: int, block: int = BLOCK) -> DataFrame:
     """Mean over full windows only; row k is the window that ends at pos k + size - 1."""
@@ -46,7 +49,8 @@ def frame(
     """(keys, frame, values): overlapping frames; ``step=None`` is half the size.
 
     The tail gets ``size - n mod size`` zeros, a whole extra frame of them when the length divides; ``pad=False`` keeps
-    only the frames inside the signal. Each sample goes to the frames that contain it and only complete frames stay, so a shuffle group is one frame.
+    only the frames inside the signal. A step beyond the size skips samples. A shuffle group is a run of frames of about
+    ``FRAME_RUN`` samples: only the samples that two runs share are copied, and the frames are slices of the sorted run.
     """
     if size % 2:
         raise ValueError("the frame size must be even")
@@ -58,13 +62,18 @@ def frame(
     )
     plain = signal.select(*keys, "pos", F.col("x").cast("double").alias("x"))
     padded = plain.unionByName(zeros) if pad else plain
-    held = padded.withColumn(
-        "frame",
-        F.explode(F.expr(f"sequence(greatest((pos - {size} + {step}) div {step}, 0L), pos div {step})")),
-    ).where(F.expr(f"pos - frame * {step} < {size}"))
-    place = F.struct((F.col("pos") - F.col("frame") * step).alias("i"), "x")
-    out = held.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(place)).alias("_v"))
-    return out.where(F.size("_v") == size).select(*keys, "frame", F.col("_v.x").alias("values"))
+    # overlapping frames lie in runs of samples without a gap; frames with gaps between them are runs of their own
+    run = 1 if step > size else max(1, FRAME_RUN // step)
+    held = padded.withColumn("_lo", F.expr(f"greatest((pos - {size} + {step}) div {step}, 0L)")).withColumn("_hi", F.expr(f"pos div {step}"))
+    held = held.where("_lo <= _hi").withColumn("_run", F.explode(F.expr(f"sequence(_lo div {run}, _hi div {run})")))
+    place = F.struct((F.col("pos") - F.col("_run") * (run * step)).cast("int").alias("i"), "x")
+    runs = held.groupBy(*keys, "_run").agg(F.sort_array(F.collect_list(place)).alias("_v")).where(F.size("_v") >= size)
+    # the last frame of a run belongs to it, the samples after its start may reach into the next one
+    last = F.least(F.floor((F.size("_v") - size) / step).cast("int"), F.lit(run - 1))
+    cut = let(F.col("_v.x"), lambda v: F.transform(F.sequence(F.lit(0), last), lambda f: F.slice(v, f * step + 1, F.lit(size))))
+    return runs.select(*keys, "_run", F.posexplode(cut).alias("_f", "values")).select(
+        *keys, (F.col("_run") * run + F.col("_f")).alias("frame"), "values"
+    )
 
 
 def overlap_add(frames: DataFrame, keys: list[str], step: int, value: str = "values") -> DataFrame:
@@ -131,7 +140,7 @@ def voice_activity(
 
     The noise level of a bin is its mean magnitude over the first ``head`` frames; the envelope is the maximum over
     ``order`` frames on either side; the ratio is in decibels and 0 within ``order`` frames of an edge. Inner bins count
-    twice, as they stand for both halves of the full spectrum.
+    twice, as they stand for both halves of the full spectrum. Bins without noise are left out; without any the ratio is 0.
     """
     bins = [*keys, "bin"]
     # read three times: written once
@@ -143,8 +152,8 @@ def voice_activity(
     levels = spread(noise.join(last, keys).withColumn("_top", F.expr(f"_last div {block}")), "_top").drop("_top")
     x = enveloped.withColumn("_blk", F.expr(f"frame div {block}")).join(levels, [*bins, "_blk"])
     twice = F.when(F.col("bin").isin(0, size // 2), 1.0).otherwise(2.0)
-    level = 10.0 * F.log10(F.sum(twice * F.col("envelope") * F.col("envelope") / F.col("power")) / float(size))
-    ratio = F.when((F.col("frame") < order) | (F.col("frame") + order > F.max("_last")), 0.0).otherwise(level)
+    level = 10.0 * F.log10(F.sum(F.try_divide(twice * F.col("envelope") * F.col("envelope"), F.col("power"))) / float(size))
+    ratio = F.when((F.col("frame") < order) | (F.col("frame") + order > F.max("_last")), 0.0).otherwise(F.coalesce(level, F.lit(0.0)))
     return x.groupBy(*keys, "frame").agg(ratio.alias("ratio")).withColumn("voiced", F.col("ratio") >= threshold)
 
 

@@ -47,11 +47,11 @@ def assert_disjoint(train: DataFrame, valid: DataFrame, ids: list[str]) -> None:
 def repeat_to_resolution(samples: DataFrame, frames: DataFrame, key: str, threshold: int | None = None) -> DataFrame:
     """samples(key, pos, n, n_frames, …) with the frame of each sample: frames(key, frame, feat).
 
-    Every frame is held ``n div n_frames`` samples and the tail has zeros. ``n`` and ``n_frames`` come with the rows, so
+    Every frame is held ``n div n_frames`` samples and the tail has zeros, as has all of a signal with fewer samples than frames. ``n`` and ``n_frames`` come with the rows, so
     the join is an equal join on (key, frame) and a long signal is spread over its frames. With a ``threshold`` the
     silent ends (by the column ``code``) are trimmed afterwards.
     """
-    x = samples.withColumn("frame", F.expr("pos div (n div n_frames)"))
+    x = samples.withColumn("frame", F.expr("CASE WHEN n_frames > 0 AND n >= n_frames THEN pos div (n div n_frames) END"))
     zero = F.transform("_any", lambda v: F.lit(0.0))
     width = frames.agg(F.first("feat").alias("_any"))
     out = with_row(x.join(frames.select(key, "frame", "feat"), [key, "frame"], "left"), width)

@@ -29,7 +29,7 @@ def text_words(df: DataFrame, key: str, clean: str, raw: str | None = None) -> D
 
 def phone_ids_of(phones: Column) -> Column:
     """Phone ids of ``@p@q``."""
-    return S.symbol_ids(F.slice(F.split(phones, "@"), 2, 10_000), "phone")
+    return S.symbol_ids(S.after_first(F.split(phones, "@")), "phone")
 
 
 def word_chunks(words: DataFrame, lexicon: DataFrame, key: str, rules: DataFrame | None = None) -> DataFrame:

@@ -63,12 +63,10 @@ def sample_batch(df: DataFrame, ids: list[str], n: int, seed: object, batch: int
 
 
 def sample_batches(df: DataFrame, ids: list[str], n: int, seed: object, batches: int) -> DataFrame:
-    """(batch, …): several ``sample_batch`` results in one plan."""
-    out = None
-    for b in range(batches):
-        one = sample_batch(df, ids, n, seed, b).withColumn("batch", F.lit(b))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(batch, …): several ``sample_batch`` results from one scan; each task keeps its first n of a batch before the shuffle."""
+    x = df.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).withColumn("_h", hash_order(seed, "batch", *ids))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("_h"))
+    return x.withColumn("_n", place).where(F.col("_n") <= n).drop("_h", "_n")
 
 
 def similar_length_order(

@@ -17,17 +17,17 @@ from seqprep.operators.blocks import BLOCK, spread, with_totals
 from seqprep.scratch import written
 
 
-def spectrum(signal: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True) -> DataFrame:
+def spectrum(signal: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True, pad: bool = True) -> DataFrame:
     """(keys, frame, re, im): mean-centered, framed, Hann-windowed one-sided transform."""
     x = A.mean_center(signal, keys) if center else signal
-    f = W.frame(x, keys, size, step, lengths=signal).withColumn("_f", S.fourier(F.col("values"), S.hann(size)))
+    f = W.frame(x, keys, size, step, pad, lengths=signal).withColumn("_f", S.fourier(F.col("values"), S.hann(size)))
     return f.select(*keys, "frame", F.col("_f.re").alias("re"), F.col("_f.im").alias("im"))
 
 
 def activity_bins(signal: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, frame, bin, mag) for voice activity: values scaled to 0 … 2^15 and cut to integers, frames inside the signal."""
+    """(keys, frame, bin, mag) for voice activity: values scaled to 0 … 2^15 (a constant signal: 0) and cut to integers, frames inside the signal."""
     x = with_totals(signal, keys, {"_lo": F.min("x"), "_hi": F.max("x")})
-    x = x.withColumn("x", ((F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 32768.0).cast("int").cast("double"))
+    x = x.withColumn("x", ((F.col("x") - F.col("_lo")) / F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo")) * 32768.0).cast("int").cast("double"))
     f = W.frame(x, keys, size, pad=False).withColumn("_f", S.fourier(F.col("values"), np.hanning(size)))
     return bins(f.select(*keys, "frame", "_f.re", "_f.im"), keys)
 
@@ -69,20 +69,43 @@ def mel_spectrogram(
     signal: DataFrame, keys: list[str], size: int, step: int, rate: float, low: float = 125.0, high: float = 7600.0,
     n_filters: int = 80, ref_db: float = 20.0, floor_db: float = -100.0,
 ) -> DataFrame:
-    """(keys, frame, feat): mel magnitudes in decibels below the reference level, normalized to [0, 1]."""
-    spec = spectrum(signal, keys, size, step, center=False)
-    weights = S.mel_weights(size // 2 + 1, rate, low, high, n_filters)
-    mel = spec.select(*keys, "frame", S.project(magnitudes(spec), weights).alias("_m"))
+    """(keys, frame, feat): mel magnitudes in decibels below the reference level, normalized to [0, 1].
+
+    The signal is padded by ``size - step`` zeros before it and to whole frames after it.
+    """
+    padded, _ = pad_for_frames(signal.withColumn("x", F.col("x").cast("double")), keys, size, step, x=F.lit(0.0))
+    return mel_levels(spectrum(padded, keys, size, step, center=False, pad=False), keys, size, rate, low, high, n_filters, ref_db, floor_db)
+
+
+def pad_for_frames(signal: DataFrame, keys: list[str], size: int, hop: int, **fill: Column) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``fill`` after ``size - hop`` filled places, filled up at the end to whole frames; and (keys, _n, n_frames)."""
+    left = size - hop
+    n = F.col("_n")
+    pad = signal.groupBy(*keys).agg((F.max("pos") + 1).alias("_n")).select(
+        *keys, "_n", S.lws_num_frames(n, size, hop).alias("n_frames"), S.lws_pad(n, size, hop)["right"].alias("_right")
+    )
+    none = "cast(array() as array<bigint>)"
+    before = f"sequence(0L, {left - 1}L)" if left else none
+    after = f"if(_right > 0, sequence(_n + {left}, _n + {left - 1} + _right), {none})"
+    places = pad.select(*keys, F.explode(F.expr(f"concat({before}, {after})")).alias("pos"), *[v.alias(c) for c, v in fill.items()])
+    moved = signal.select(*keys, (F.col("pos") + left).alias("pos"), *fill)
+    return moved.unionByName(places), pad.drop("_right")
+
+
+def mel_levels(
+    spec: DataFrame, keys: list[str], size: int, rate: float, low: float, high: float, n_filters: int, ref_db: float = 20.0, floor_db: float = -100.0
+) -> DataFrame:
+    mel = spec.select(*keys, "frame", S.project(magnitudes(spec), S.mel_bank(size // 2 + 1, rate, low, high, n_filters)).alias("_m"))
     level = F.transform("_m", lambda v: S.level_normalize(S.amp_to_db(v, floor_db) - ref_db, floor_db))
     return mel.select(*keys, "frame", level.alias("feat"))
 
 
-def log_power_spectrogram(signal: DataFrame, keys: list[str], size: int, step: int, path: Column | None = None) -> DataFrame:
-    """(keys, frame, feat): 20 log10 of the magnitudes; ``label`` is the first part of the file name if a path is given."""
+def log_power_spectrogram(signal: DataFrame, keys: list[str], size: int, step: int, path: Column | None = None, floor_db: float = -100.0) -> DataFrame:
+    """(keys, frame, feat): 20 log10 of the magnitudes, at least the floor; ``label`` is the first part of the file name if a path is given."""
     from seqprep.functions.arrays import speaker_from_name
 
     spec = spectrum(signal, keys, size, step)
-    out = spec.select(*keys, "frame", F.transform(magnitudes(spec), lambda v: 20.0 * F.log10(v)).alias("feat"))
+    out = spec.select(*keys, "frame", F.transform(magnitudes(spec), lambda v: S.amp_to_db(v, floor_db)).alias("feat"))
     return out.withColumn("label", speaker_from_name(path)) if path is not None else out
 
 
@@ -153,25 +176,9 @@ def utterance_features(
     """
     x = A.peak_rescale(signal, keys).withColumn("code", S.mulaw_quantize(F.col("x"), channels))
     x = written(W.trim_edges(x, keys, threshold).select(*keys, "pos", "x", "code"), "trimmed")
-    ends = x.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
-    pad = ends.select(*keys, "_n", S.lws_pad(F.col("_n"), size, hop).alias("_p"), S.lws_num_frames(F.col("_n"), size, hop).alias("n_frames"))
-    left = size - hop
     silent = int((0 + 1.0) / 2.0 * (channels - 1) + 0.5)
-    zeros = pad.select(
-        *keys, F.explode(F.expr(f"concat(sequence(0L, {left} - 1L), sequence({left} + _n, {left} + _n + _p.right - 1))")).alias("pos"),
-        F.lit(0.0).alias("x"), F.lit(silent).alias("code"),
-    )
-    padded = x.select(*keys, (F.col("pos") + left).alias("pos"), "x", "code").unionByName(zeros)
-    held = padded.withColumn(
-        "frame", F.explode(F.expr(f"sequence(greatest((pos - {size} + {hop}) div {hop}, 0L), pos div {hop})"))
-    ).where(F.expr(f"pos - frame * {hop} < {size}"))
-    place = F.struct((F.col("pos") - F.col("frame") * hop).alias("i"), "x")
-    frames = held.groupBy(*keys, "frame").agg(F.sort_array(F.collect_list(place)).alias("_v")).where(F.size("_v") == size)
-    weights = S.mel_weights(size // 2 + 1, rate, low, high, n_filters)
-    spec = frames.withColumn("_f", S.fourier(F.col("_v.x"), S.hann(size))).select(*keys, "frame", "_f.re", "_f.im")
-    mel = spec.select(*keys, "frame", S.project(magnitudes(spec), weights).alias("_m")).select(
-        *keys, "frame", F.transform("_m", lambda v: S.level_normalize(S.amp_to_db(v) - 20.0)).alias("feat")
-    )
+    padded, pad = pad_for_frames(x, keys, size, hop, x=F.lit(0.0), code=F.lit(silent))
+    mel = mel_levels(spectrum(padded, keys, size, hop, center=False, pad=False), keys, size, rate, low, high, n_filters)
     manifest = pad.select(*keys, (F.col("n_frames") * hop).alias("timesteps"), "n_frames")
     limit = spread(manifest.withColumn("_top", F.expr(f"(n_frames * {hop} - 1) div {BLOCK}")), "_top").select(*keys, "_blk", "timesteps")
     codes = padded.withColumn("_blk", F.expr(f"pos div {BLOCK}")).join(limit, [*keys, "_blk"]).where("pos < timesteps")

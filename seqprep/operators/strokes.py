@@ -55,10 +55,10 @@ def largest_gaps(strokes: DataFrame, keys: list[str], k: Column | int, block: in
 
 
 def line_normalize(points: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
-    """Per line x minus its least x and y minus its mean, then both over the deviation of all y."""
+    """Per line x minus its least x and y minus its mean, then both over the deviation of all y (as they are if that is zero)."""
     x = with_totals(points, keys, {"_x": F.min("x"), "_y": F.avg("y")}, "idx", block)
     x = x.withColumn("x", F.col("x") - F.col("_x")).withColumn("y", F.col("y") - F.col("_y")).drop("_x", "_y")
-    std = x.agg(F.stddev_pop("y").alias("_std"))
+    std = x.agg(F.stddev_pop("y").alias("_std")).select(F.when(F.col("_std") == 0, F.lit(1.0)).otherwise(F.col("_std")).alias("_std"))
     return with_row(x, std).withColumn("x", F.col("x") / F.col("_std")).withColumn("y", F.col("y") / F.col("_std")).drop("_std")
 
 

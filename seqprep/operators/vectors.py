@@ -21,7 +21,10 @@ MAX_CODES = 65_536
 
 
 def nearest_codeword(rows: DataFrame, codebook: DataFrame, vec: str = "vec", block: int = 1024) -> DataFrame:
-    """Adds code_id, distance (squared) and codeword: the nearest, lowest id on ties. codebook(code_id, vec)."""
+    """Adds code_id, distance (squared) and codeword: the nearest, lowest id on ties. codebook(code_id, vec).
+
+    A null vector gets nulls.
+    """
     book = sorted(bounded_rows(codebook.select("code_id", "vec"), MAX_CODES), key=lambda r: r["code_id"])
     ids = np.array([r["code_id"] for r in book])
     codes = np.array([r["vec"] for r in book], dtype=float)
@@ -36,15 +39,18 @@ def nearest_codeword(rows: DataFrame, codebook: DataFrame, vec: str = "vec", blo
         half = (codes**2).sum(axis=1)
         for pdf in batches:
             best, dist = [], []
-            x = np.stack(pdf[vec].to_numpy()).astype(float) if len(pdf) else np.zeros((0, codes.shape[1]))
+            have = np.flatnonzero(pdf[vec].notna())
+            x = np.stack(pdf[vec].to_numpy()[have]).astype(float) if len(have) else np.zeros((0, codes.shape[1]))
             for a in range(0, len(x), block):
                 at = (half - 2.0 * (x[a : a + block] @ codes.T)).argmin(axis=1)
                 best.append(at)
                 dist.append(((x[a : a + block] - codes[at]) ** 2).sum(axis=1))
             at = np.concatenate(best) if best else np.zeros(0, dtype=int)
-            yield pdf.assign(
-                code_id=ids[at], distance=np.concatenate(dist) if dist else np.zeros(0), codeword=list(codes[at])
-            )
+            found = pd.DataFrame({
+                "code_id": pd.array(ids[at], dtype="Int64"), "distance": np.concatenate(dist) if dist else np.zeros(0), "codeword": list(codes[at]),
+            }, index=have).reindex(np.arange(len(pdf)))
+            found["codeword"] = found["codeword"].astype(object).where(found["codeword"].notna(), None)
+            yield pdf.assign(**{c: found[c].to_numpy(dtype=object) if c == "codeword" else found[c].array for c in found})
 
     return rows.mapInPandas(assign, schema)
 
@@ -60,7 +66,7 @@ def nearest_codeword_columns(rows: DataFrame, codebook: DataFrame, vec: str = "v
         F.zip_with(F.col(vec).cast("array<double>"), c["v"].cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
     )
     best = F.array_min(F.transform("_book", lambda c: F.struct(square(c).alias("d"), c["code_id"].alias("i"), c["v"].alias("v"))))
-    return x.withColumn("_n", best).select(
+    return x.withColumn("_n", F.when(F.col(vec).isNotNull(), best)).select(
         *rows.columns, F.col("_n.i").cast("long").alias("code_id"), F.col("_n.d").alias("distance"),
         F.col("_n.v").cast("array<double>").alias("codeword"),
     )

@@ -136,6 +136,11 @@ def shared_ids(spark, folder):
     return J.shared_ids(train, valid, ["doc_id"])
 
 
+@query("join_shared_ids_overlap", "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def shared_ids_overlap(spark, folder):
+    return J.shared_ids(V.table(spark, folder, "documents").where("lang = 'en'"), V.table(spark, folder, "labels").where("quality = 1"), ["doc_id"])
+
+
 @query("join_symbol_lookup", f"""
 SELECT doc_id, {Q.csv(Q.ids_of("string_split(lower(source), '')", 'char'))} AS ids, array_to_string(list_filter(string_split(lower(source), ''), lambda c: c <> '' AND instr({Q.lit(S.CHARS)}, c) > 0), '') AS back FROM documents""")
 def symbol_lookup(spark, folder):
@@ -322,7 +327,7 @@ def char_lanes(spark, folder):
 @query("batch_fixed", """
 SELECT vec_id, b::INT AS batch FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY b ORDER BY md5('4:' || b || ':' || vec_id)) AS n FROM embeddings, (SELECT unnest(range(0, 2)) AS b) WHERE len(embedding) = 64) WHERE n <= 32""")
 def fixed_batches(spark, folder):
-    return B.fixed_batches(V.table(spark, folder, "embeddings"), ["vec_id"], 32, 4, 2, embedding=64).select("vec_id", "batch")
+    return B.fixed_batches(V.table(spark, folder, "embeddings"), ["vec_id"], 32, 4, 2, "leave", embedding=64).select("vec_id", "batch")
 
 
 # -- pronunciation and mixed representations --------------------------------------------------------------------------

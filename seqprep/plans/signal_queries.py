@@ -40,9 +40,19 @@ def frames_sql(size=SIZE, step=STEP, source="signal", keys="utt"):
 CENTERED = "cen AS (SELECT utt, pos, x - avg(x) OVER (PARTITION BY utt) AS x FROM signal)"
 
 
-def spectrum_sql(size=SIZE, step=STEP, source="cen"):
+def padded_frames_sql(size=SIZE, step=STEP, source="signal"):
+    """Frames of the signal behind size - step zeros, with zeros after it."""
+    m = f"(n + {2 * (size - step)} - {size}) // {step} + CASE WHEN n % {step} = 0 THEN 1 ELSE 2 END"
     return (
-        f"{frames_sql(size, step, source)}, sp AS (SELECT utt, frame, bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * i / {size})) * cos(2 * pi() * bin * i / {size})) AS re, "
+        f"cnt AS (SELECT utt, count(*) AS n FROM {source} GROUP BY ALL), "
+        f"fr AS (SELECT g.utt, g.frame, g.i, coalesce(s.x, 0.0) AS x FROM (SELECT utt, frame, unnest(range(0, {size})) AS i FROM "
+        f"(SELECT utt, unnest(range(0, {m})) AS frame FROM cnt)) g LEFT JOIN {source} s ON s.utt = g.utt AND s.pos = g.frame * {step} + g.i - {size - step})"
+    )
+
+
+def spectrum_sql(size=SIZE, step=STEP, source="cen", frames=frames_sql):
+    return (
+        f"{frames(size, step, source)}, sp AS (SELECT utt, frame, bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * i / {size})) * cos(2 * pi() * bin * i / {size})) AS re, "
         f"-sum(x * (0.5 - 0.5 * cos(2 * pi() * i / {size})) * sin(2 * pi() * bin * i / {size})) AS im "
         f"FROM fr, (SELECT unnest(range(0, {size // 2 + 1})) AS bin) GROUP BY ALL)"
     )
@@ -65,6 +75,24 @@ def mel_formula(n_bins, rate, low, high, n):
     )
 
 
+def bank_formula(n_bins, rate, low, high, n):
+    """Triangles of area one on the linear-then-log scale, as SQL over ranges."""
+    mel = lambda hz: f"(CASE WHEN {hz} < 1000 THEN {hz} * 3 / 200.0 ELSE 15.0 + 27 * ln({hz} / 1000.0) / ln(6.4) END)"
+    return (
+        f"mels AS (SELECT k, {mel(low)} + ({mel(high)} - {mel(low)}) * k / {n + 1}.0 AS m FROM (SELECT unnest(range(0, {n + 2})) AS k)), "
+        "corner AS (SELECT k, CASE WHEN m < 15 THEN m * 200 / 3.0 ELSE 1000 * exp(ln(6.4) * (m - 15) / 27) END AS hz FROM mels), "
+        "wt AS (SELECT bin, a.k AS filter, greatest(0.0, least((g - a.hz) / (b.hz - a.hz), (c.hz - g) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w "
+        f"FROM (SELECT bin, bin * {rate} / 2.0 / {n_bins - 1} AS g FROM (SELECT unnest(range(0, {n_bins})) AS bin)), "
+        "corner a JOIN corner b ON b.k = a.k + 1 JOIN corner c ON c.k = a.k + 2)"
+    )
+
+
+LEVELS = (
+    "m AS (SELECT utt, frame, filter, sum(sqrt(re*re + im*im) * w) AS v FROM sp JOIN wt USING (bin) GROUP BY ALL) SELECT utt, frame, filter::INT AS filter, "
+    + r("greatest(0.0, least(1.0, (20 * log10(greatest(1e-5, v)) - 20.0 + 100.0) / 100.0))", 5) + " AS v FROM m"
+)
+
+
 @query("blocks_position", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events")
 def blocks_position(spark, folder):
     from seqprep.operators.blocks import position
@@ -105,6 +133,13 @@ def frame(spark, folder):
     return W.frame(V.samples(spark, folder), U, SIZE, STEP).select("utt", "frame", F.posexplode("values").alias("i", "x"))
 
 
+@query("window_frame_gaps", f"""
+{SIG}, n AS (SELECT utt, count(*) + 4 - count(*) % 4 AS n FROM signal GROUP BY utt), g AS (SELECT utt, unnest(range(0, (n - 4) // 10 + 1)) AS frame FROM n),
+h AS (SELECT utt, frame, unnest(range(0, 4)) AS i FROM g) SELECT h.utt, frame, i::INT AS i, coalesce(x, 0.0) AS x FROM h LEFT JOIN signal s ON s.utt = h.utt AND s.pos = frame * 10 + i""")
+def frame_gaps(spark, folder):
+    return W.frame(V.samples(spark, folder), U, 4, 10).select("utt", "frame", F.posexplode("values").alias("i", "x"))
+
+
 @query("agg_overlap_add", f"{SIG}, {frames_sql()} SELECT utt, frame * {STEP} + i AS pos, {r('sum(x)')} AS x FROM fr GROUP BY ALL")
 def overlap_add(spark, folder):
     f = W.frame(V.samples(spark, folder), U, SIZE, STEP)
@@ -228,20 +263,19 @@ def log_mel(spark, folder):
 
 
 @query("signal_mel_spectrogram", f"""
-{SIG}, {spectrum_sql(source='signal')}, {mel_formula(SIZE // 2 + 1, RATE, 125.0, 7600.0, BANDS)}, m AS (SELECT utt, frame, filter, sum(sqrt(re*re + im*im) * w) AS v FROM sp JOIN wt USING (bin) GROUP BY ALL)
-SELECT utt, frame, filter::INT AS filter, {r('greatest(0.0, least(1.0, (20 * log10(greatest(1e-5, v)) - 20.0 + 100.0) / 100.0))', 5)} AS v FROM m""")
+{SIG}, {spectrum_sql(source='signal', frames=padded_frames_sql)}, {bank_formula(SIZE // 2 + 1, RATE, 125.0, 7600.0, BANDS)}, {LEVELS}""")
 def mel_spectrogram(spark, folder):
     m = D.mel_spectrogram(V.samples(spark, folder), U, SIZE, STEP, RATE, 125.0, 7600.0, BANDS)
     return m.select("utt", "frame", F.posexplode("feat").alias("filter", "v")).withColumn("v", rounded("v", 5))
 
 
 @query("signal_log_power", f"""
-{SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, frame, bin::INT AS bin, CASE WHEN re*re + im*im > 1e-12 THEN {r('10 * log10(re*re + im*im)', 4)} ELSE -999.0 END AS v, 'u' || utt AS label FROM sp""")
+{SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, frame, bin::INT AS bin, {r('10 * log10(greatest(1e-10, re*re + im*im))', 4)} AS v, 'u' || utt AS label FROM sp""")
 def log_power(spark, folder):
     path = F.concat(F.lit("/a/u"), F.col("utt").cast("string"), F.lit("_1.wav"))
     x = D.log_power_spectrogram(V.samples(spark, folder), U, SIZE, STEP, path)
     x = x.select("utt", "frame", "label", F.posexplode("feat").alias("bin", "v"))
-    return x.withColumn("v", F.when(F.col("v") > -120, rounded("v", 4)).otherwise(-999.0))
+    return x.withColumn("v", rounded("v", 4))
 
 
 def dct_sql(n, size, source):
@@ -380,6 +414,17 @@ def utterance_features(spark, folder):
     return D.utterance_features(V.samples(spark, folder), U, 8, 4, RATE, BANDS)["manifest"]
 
 
+@query("signal_utterance_mel", f"""
+{SIG}, p AS (SELECT utt, pos, x / max(abs(x)) OVER (PARTITION BY utt) * 0.999 AS x FROM signal),
+c0 AS (SELECT utt, pos, x, floor((sign(x) * ln(1 + 255.0 * abs(x)) / ln(256.0) + 1) / 2 * 255.0 + 0.5)::INT AS code FROM p),
+e AS (SELECT utt, min(pos) AS a, max(pos) AS b FROM c0 WHERE abs(code - 127) > 2 GROUP BY utt),
+trimmed AS (SELECT c0.utt, c0.pos - a AS pos, c0.x FROM c0 JOIN e USING (utt) WHERE c0.pos >= a AND c0.pos < b),
+{spectrum_sql(8, 4, 'trimmed', padded_frames_sql)}, {bank_formula(5, RATE, 125.0, 7600.0, BANDS)}, {LEVELS}""")
+def utterance_mel(spark, folder):
+    m = D.utterance_features(V.samples(spark, folder), U, 8, 4, RATE, BANDS)["mel"]
+    return m.select("utt", "frame", F.posexplode("feat").alias("filter", "v")).withColumn("v", rounded("v", 5))
+
+
 @query("signal_utterance_codes", f"""
 {SIG}, c0 AS (SELECT utt, pos, floor((sign(x) * ln(1 + 255.0 * abs(x / max(abs(x)) OVER (PARTITION BY utt) * 0.999)) / ln(256.0) + 1) / 2 * 255.0 + 0.5)::INT AS code FROM signal),
 e AS (SELECT utt, min(pos) AS a, max(pos) - min(pos) AS n FROM c0 WHERE abs(code - 127) > 2 GROUP BY utt HAVING max(pos) > min(pos)),

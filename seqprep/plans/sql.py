@@ -76,11 +76,11 @@ POINT = [every("([0-9]+)\\.([0-9]+)", "\\1 point \\2")]
 
 def _dollars() -> list[str]:
     unit = lambda n, one: f"({n})::VARCHAR || CASE WHEN ({n}) = 1 THEN ' {one}' ELSE ' {one}s' END"
-    d = "CASE WHEN p[1] = '' THEN 0 ELSE try_cast(p[1] AS HUGEINT) END"
+    d = "CASE WHEN p[1] = '' THEN 0 ELSE try_cast(replace(p[1], ',', '') AS HUGEINT) END"
     c = "coalesce(CASE WHEN len(p) > 1 AND p[2] <> '' THEN try_cast(p[2] AS HUGEINT) END, 0)"
     spell = (
         f"CASE WHEN len(p) > 2 THEN array_to_string(p, '.') || ' dollars' WHEN ({d}) > 0 AND ({c}) > 0 THEN {unit(d, 'dollar')} || ', ' || {unit(c, 'cent')} "
-        f"WHEN ({d}) > 0 THEN {unit(d, 'dollar')} WHEN ({c}) > 0 THEN {unit(c, 'cent')} WHEN ({d}) IS NOT NULL THEN 'zero dollars' END"
+        f"WHEN ({d}) > 0 THEN {unit(d, 'dollar')} WHEN ({d}) = 0 AND ({c}) > 0 THEN {unit(c, 'cent')} WHEN ({d}) IS NOT NULL THEN 'zero dollars' END"
     )
     return [hits("\\$[0-9.,]*[0-9]+", f"coalesce(list_transform([string_split(h[2:], '.')], lambda p: {spell})[1], h)")]
 

@@ -293,12 +293,13 @@ def path_stem(spark, folder):
 
 
 @query("array_sequence_mask", """
-SELECT doc_id, array_to_string(list_transform(generate_series(1, 64), lambda i: CASE WHEN i <= n THEN 1 ELSE 0 END), '') AS mask
+SELECT doc_id, repeat('1', n) || repeat('0', max(n) OVER (PARTITION BY doc_id // 64) - n) AS mask
 FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)""")
 def sequence_mask(spark, folder):
-    n = F.size(F.split("text", " "))
-    return V.documents(spark, folder, "text").select(
-        "doc_id", F.array_join(AR.sequence_mask(n, F.lit(64)).cast("array<string>"), "").alias("mask"))
+    """Masks as long as the longest text of a batch of 64 ids."""
+    d = V.documents(spark, folder, "text").select("doc_id", F.expr("doc_id div 64").alias("batch"), F.size(F.split("text", " ")).alias("n"))
+    d = d.join(d.groupBy("batch").agg(F.max("n").alias("longest")), "batch")
+    return d.select("doc_id", F.array_join(AR.sequence_mask(F.col("n"), F.col("longest")).cast("array<string>"), "").alias("mask"))
 
 
 @query("corpus_encode_english", Q.chain(
