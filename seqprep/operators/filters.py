@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqprep.functions import symbols as S
 from seqprep.operators.blocks import BLOCK, lookup_join, spread, with_totals
+from seqprep.scratch import written
 
 
 def min_length_filter(df: DataFrame, keys: list[str], length: int, pos: str = "pos") -> DataFrame:
@@ -77,7 +78,8 @@ def keep_symbol(symbols: Column, kind: str = "char") -> Column:
 
 def lone_point_filter(points: DataFrame, keys: list[str]) -> DataFrame:
     """Where a stroke splits into several segments, drop one-point segments: points(keys, segment, …)."""
-    size = points.groupBy(*keys, "segment").agg(F.count("*").alias("_n"))
+    # read for the count of segments, for the lone ones and by the join: written once
+    size = written(points.groupBy(*keys, "segment").agg(F.count("*").alias("_n")), "segments")
     several = size.groupBy(*keys).agg((F.count("*") > 1).alias("_several"))
     lone = size.where("_n = 1").join(several.where("_several"), keys, "left_semi").select(*keys, "segment")
     return lookup_join(points, lone, [*keys, "segment"], "left_anti")

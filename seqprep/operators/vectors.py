@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from seqprep.functions.phones import bounded_rows
 from seqprep.operators.blocks import with_row
+from seqprep.scratch import written
 
 MAX_CODES = 65_536
 
@@ -76,8 +77,24 @@ def quantization_error(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum("distance").alias("error"), F.count("*").alias("n"))
 
 
+def lloyd(rows: DataFrame, start: DataFrame, epochs: int, vec: str = "vec") -> DataFrame:
+    """codebook(code_id, vec) after so many Lloyd steps from the codebook ``start``; a center without rows stays.
+
+    A step is one pass: rows are assigned inside the tasks and sums shuffle per (center, dimension). Null vectors are left out.
+    """
+    book = written(start.select("code_id", F.col("vec").cast("array<double>").alias("vec")), "centers")
+    rows = rows.where(F.col(vec).isNotNull()).select(F.col(vec).alias("_x"))
+    for _ in range(epochs):
+        parts = nearest_codeword(rows, book, "_x").select("code_id", F.posexplode("_x").alias("dim", "v"))
+        means = parts.groupBy("code_id", "dim").agg(F.avg("v").alias("v")).groupBy("code_id").agg(
+            F.sort_array(F.collect_list(F.struct("dim", "v")))["v"].alias("_mean")
+        )
+        book = written(book.join(means, "code_id", "left").select("code_id", F.coalesce("_mean", "vec").alias("vec")), "centers")
+    return book
+
+
 def kmeans(rows: DataFrame, k: int, epochs: int = 10, seed: int = 0, vec: str = "vec") -> DataFrame:
-    """codebook(code_id, vec) by Lloyd iterations of the ML library; the centers are k rows."""
+    """codebook(code_id, vec) by Lloyd iterations of the ML library, which picks the start; the centers are k rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

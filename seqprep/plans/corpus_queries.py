@@ -248,11 +248,27 @@ def quantization_error(spark, folder):
     return VQ.quantization_error(VQ.nearest_codeword(rows, codebook(spark, folder))).withColumn("error", rounded("error"))
 
 
-@query("vector_kmeans")
+def lloyd_sql(steps: int) -> str:
+    """Assignments and centers of the steps, one after the other."""
+    parts = [
+        "f AS (SELECT vec_id, i - 1 AS dim, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))",
+        "c0 AS (SELECT code_id, dim, v FROM (SELECT vec_id, row_number() OVER (ORDER BY md5('1:' || vec_id)) - 1 AS code_id FROM embeddings) JOIN f USING (vec_id) WHERE code_id < 8)",
+    ]
+    for s in range(steps + 1):
+        parts.append(f"d{s} AS MATERIALIZED (SELECT vec_id, code_id, sum((f.v - c{s}.v) * (f.v - c{s}.v)) AS d FROM f JOIN c{s} USING (dim) GROUP BY ALL)")
+        parts.append(f"a{s} AS MATERIALIZED (SELECT vec_id, code_id, d FROM d{s} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, code_id) = 1)")
+        means = f"SELECT code_id, dim, avg(v) AS mean FROM a{s} JOIN f USING (vec_id) GROUP BY ALL"
+        parts.append(f"c{s + 1} AS MATERIALIZED (SELECT code_id, dim, coalesce(mean, v) AS v FROM c{s} LEFT JOIN ({means}) USING (code_id, dim))")
+    return "WITH " + ",\n".join(parts)
+
+
+@query("vector_kmeans", f"{lloyd_sql(3)} SELECT code_id, count(*)::BIGINT AS n, {r('sum(d)', 4)} AS cost FROM a3 GROUP BY code_id")
 def kmeans(spark, folder):
+    """Three Lloyd steps from the eight vectors with the smallest md5."""
     rows = V.frames(spark, folder).select("vec_id", F.col("feat").cast("array<double>").alias("vec"))
-    book = VQ.kmeans(rows, 8, 10, 1)
-    return VQ.nearest_codeword(rows, book).groupBy("code_id").agg(F.count("*").alias("n"), F.sum("distance").alias("cost"))
+    first = K.shuffle_rank(rows, ["vec_id"], 1).where("rank < 8").select(F.col("rank").alias("code_id"), "vec")
+    book = VQ.lloyd(rows, first, 3)
+    return VQ.nearest_codeword(rows, book).groupBy("code_id").agg(F.count("*").alias("n"), rounded(F.sum("distance"), 4).alias("cost"))
 
 
 @query("vector_roundtrip", """
