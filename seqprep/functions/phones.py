@@ -8,7 +8,7 @@ Hyphenation is relational: substrings of each distinct word joined with the patt
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,10 +122,15 @@ def rule_line_words(text: Column) -> Column:
 
 
 def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "phones") -> DataFrame:
-    """Letter-rule phones of every word joined by ``&``, words joined by ``^``, lower case.
+    """The rows with the letter-rule phones of ``text`` (``rulebased_cleaner``)."""
+    return df.select("*", rulebased_cleaner(rules)(F.col(text)).alias(out))
+
+
+def rulebased_cleaner(rules: DataFrame) -> Callable[[Column], Column]:
+    """A cleaner: letter-rule phones of every word joined by ``&``, words joined by ``^``, lower case.
 
     The words of a text stay together as an array: no shuffle, and a frequent word is spelled once per Arrow batch.
-    A null text has null phones.
+    A null text has null phones. Pass it to ``text.clean`` by name: ``more={"rulebased_g2p_cleaners": rulebased_cleaner(rules)}``.
     """
     table = [
         (r["before"], r["center"], r["after"], r["phones"])
@@ -139,8 +144,7 @@ def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str
             known = {w: _walk(w, families) for w in set().union(*lists.dropna())}
             yield lists.map(lambda words: [known[w] for w in words if known[w] is not None], na_action="ignore")
 
-    spelled = kernel(rule_line_words(F.col(text)))
-    return df.select("*", F.lower(F.array_join(F.transform(spelled, lambda p: F.array_join(p, "&")), "^")).alias(out))
+    return lambda text: F.lower(F.array_join(F.transform(kernel(rule_line_words(text)), lambda p: F.array_join(p, "&")), "^"))
 
 
 def parse_hyphen_patterns(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:

@@ -240,11 +240,13 @@ def register_cleaner(name: str, change: Callable[[Column], Column]) -> None:
     CLEANERS[name] = change
 
 
-def clean(text: Column, names: list[str]) -> Column:
+def clean(text: Column, names: list[str], more: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The named cleaners in order; ``more`` holds those that need a table or belong to one call only."""
+    known = {**CLEANERS, **(more or {})}
     for name in names:
-        if name not in CLEANERS:
+        if name not in known:
             raise ValueError(f"unknown cleaner: {name}")
-        text = CLEANERS[name](text)
+        text = known[name](text)
     return text
 
 

@@ -15,6 +15,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqprep.scratch import written
 
@@ -165,10 +166,29 @@ def salted_join(
     return l.join(r, [*keys, "_salt"], how).drop("_salt")
 
 
+def byte_size(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, its slot included."""
+    slot = F.lit(8).cast("long")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return slot + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((byte_size(value[f.name], f.dataType) for f in kind.fields), slot)
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return slot + 8 * F.coalesce(F.size(value), F.lit(0))
+        total = F.aggregate(value, F.lit(0).cast("long"), lambda n, v: n + byte_size(v, kind.elementType))
+        return slot + F.coalesce(total, F.lit(0))
+    if isinstance(kind, T.MapType):
+        return byte_size(F.map_keys(value), T.ArrayType(kind.keyType)) + byte_size(F.map_values(value), T.ArrayType(kind.valueType))
+    return slot
+
+
 def lookup_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = 500_000, salts: int = 16
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = 500_000, salts: int = 16, max_bytes: int = 256 << 20
 ) -> DataFrame:
-    """Broadcast the right side when it is counted to hold at most ``max_rows`` rows, else salt the join."""
-    if right.limit(max_rows + 1).count() <= max_rows:
+    """Broadcast the right side when it is measured to hold at most ``max_rows`` rows and ``max_bytes`` bytes, else salt the join."""
+    width = sum((byte_size(F.col(f"`{f.name}`"), f.dataType) for f in right.schema.fields), F.lit(16))
+    rows, size = right.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    if rows <= max_rows and size <= max_bytes:
         return left.join(F.broadcast(right), list(keys), how)
     return salted_join(left, right, keys, how, salts)

@@ -70,10 +70,14 @@ def blend_flags(n: Column, seed: object, key: Column) -> Column:
 
 
 def mix_representations(chunks: DataFrame, key: str, mode: str = "blended", seed: object = 0, char_space: bool = True) -> DataFrame:
-    """(key, ids, mask) from word_chunks; mask 0 is a character id, 1 a phone id. ``both`` gives (key, ids, phone_ids)."""
+    """(key, ids, mask) from word_chunks, whose words are encoded after the regroup; mask 0 is a character id, 1 a phone id. ``both`` gives (key, ids, phone_ids)."""
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "chars", "phones"))).alias("_w"))
+    word = "word" if "word" in chunks.columns else "chars"
+    rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", word, "phones"))).alias("_w"))
+    if word == "word":
+        encoded = F.transform("_w", lambda w: F.struct(w["idx"].alias("idx"), S.char_ids(w["word"]).alias("chars"), w["phones"].alias("phones")))
+        rows = rows.withColumn("_w", encoded)
     space = S.VOCABULARY["char"].index(" ")
     phone_space = S.VOCABULARY["phone"].index(" ")
     none = F.array().cast("array<int>")

@@ -30,6 +30,16 @@ def nearest(value: Column, centers: list[float], symbols: list | None = None) ->
     return F.array_min(items)["s"]
 
 
+# Pause lengths in seconds and the symbols that stand for them.
+TIMING_CENTERS = [0.0, 0.01, 0.02, 0.08, 0.25]
+TIMING_SYMBOLS = [" ", "1", "2", "3", "4"]
+
+
+def nearest_timing_symbol(seconds: Column) -> Column:
+    """The symbol of the nearest pause length; ties go to the shorter one, null stays null."""
+    return F.when(seconds.isNotNull(), nearest(seconds, TIMING_CENTERS, TIMING_SYMBOLS))
+
+
 def pair_voices(notes: DataFrame, voices: int = 2) -> DataFrame:
     """pair(piece, pair, idx, top, bottom, dur): voices of a piece side by side, equal join on (piece, idx)."""
     pairs = VOICE_PAIRS[voices]

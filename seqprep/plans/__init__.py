@@ -13,4 +13,4 @@ def all_queries():
     return QUERIES, ORACLES
 
 
-MODULES = ["text_queries", "signal_queries", "score_queries", "corpus_queries", "phone_queries", "stream_queries"]
+MODULES = ["text_queries", "signal_queries", "score_queries", "corpus_queries", "phone_queries", "stream_queries", "source_queries"]

@@ -142,9 +142,9 @@ def shared_ids_overlap(spark, folder):
 
 
 @query("join_symbol_lookup", f"""
-SELECT doc_id, {Q.csv(Q.ids_of("string_split(lower(source), '')", 'char'))} AS ids, array_to_string(list_filter(string_split(lower(source), ''), lambda c: c <> '' AND instr({Q.lit(S.CHARS)}, c) > 0), '') AS back FROM documents""")
+SELECT doc_id, {Q.csv(Q.ids_of("string_split(lower(text), '')", 'char'))} AS ids, array_to_string(list_filter(string_split(lower(text), ''), lambda c: c <> '' AND instr({Q.lit(S.CHARS)}, c) > 0), '') AS back FROM documents""")
 def symbol_lookup(spark, folder):
-    d = V.table(spark, folder, "documents").select("doc_id", J.symbol_lookup(F.split(F.lower("source"), ""), "char").alias("i"))
+    d = V.table(spark, folder, "documents").select("doc_id", J.symbol_lookup(F.split(F.lower("text"), ""), "char").alias("i"))
     return d.select("doc_id", F.array_join(F.col("i").cast("array<string>"), ",").alias("ids"), S.ids_to_text(F.col("i")).alias("back"))
 
 

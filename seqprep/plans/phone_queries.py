@@ -74,8 +74,9 @@ wd AS MATERIALIZED (SELECT DISTINCT w AS word FROM tk WHERE w <> ''), {WALK}
 SELECT d.doc_id, coalesce(x.phones, '') AS phones FROM done d LEFT JOIN (
   SELECT doc_id, lower(string_agg(array_to_string(phones, '&'), '^' ORDER BY i)) AS phones FROM tk JOIN walked ON walked.word = tk.w WHERE phones IS NOT NULL GROUP BY doc_id) x USING (doc_id)""")
 def rulebased_text(spark, folder):
-    d = V.documents(spark, folder, "text").withColumn("ascii", T.convert_to_ascii(F.col("text")))
-    return PH.rulebased_g2p(d, "doc_id", "ascii", letter_rules(spark)).select("doc_id", "phones")
+    rules = {"rulebased_g2p_cleaners": PH.rulebased_cleaner(letter_rules(spark))}
+    phones = T.clean(F.col("text"), ["convert_to_ascii", "rulebased_g2p_cleaners"], rules)
+    return V.documents(spark, folder, "text").select("doc_id", phones.alias("phones"))
 
 
 @query("phones_pronounce", recursive(Q.chain("SELECT doc_id, text, text AS t FROM documents", Q.ENGLISH, "")) + f""", {LEX},

@@ -538,7 +538,7 @@ def nearest_timing_symbol(spark, folder):
     x = position(ev, ["utt"], ["ts", "event_id"])
     x = local_window(x, U, 1, 0, {"_before": lambda w: F.lag("ts").over(w)})
     gap = F.coalesce((F.unix_micros("ts") - F.unix_micros("_before")) / 1e6 / 200000.0, F.lit(0.0))
-    return x.select("utt", "event_id", SC.nearest(gap, [0.0, 0.01, 0.02, 0.08, 0.25], [" ", "1", "2", "3", "4"]).alias("symbol"))
+    return x.select("utt", "event_id", SC.nearest_timing_symbol(gap).alias("symbol"))
 
 
 @query("join_repeat_to_resolution", f"""

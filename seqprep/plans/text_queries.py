@@ -88,8 +88,8 @@ def number_to_words(spark, folder):
 
 @query("text_register_cleaner", Q.chain(DOC, ["replace(replace(t, '\n', ' / '), 'a', 'A')"], OUT))
 def register_cleaner(spark, folder):
-    T.register_cleaner("marked_lines", lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit(" / ")), F.lit("a"), F.lit("A")))
-    return V.documents(spark, folder, "text").select("doc_id", T.clean(F.col("text"), ["marked_lines"]).alias("clean"))
+    marked = {"marked_lines": lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit(" / ")), F.lit("a"), F.lit("A"))}
+    return V.documents(spark, folder, "text").select("doc_id", T.clean(F.col("text"), ["marked_lines"], marked).alias("clean"))
 
 
 @query("text_char_ids", Q.chain(DOC, Q.ENGLISH, f"SELECT doc_id, {Q.csv(Q.char_ids('t') + ' || [1]')} AS ids, len({Q.char_ids('t')}) + 1 AS n FROM done"))
@@ -135,10 +135,12 @@ def pause_phones_to_ids(spark, folder):
 
 @query("text_braced_phones", Q.chain(
     "SELECT doc_id, lower(replace(replace(text, '{', ''), '}', '')) AS t, source FROM documents", [],
-    f"SELECT doc_id, {Q.csv(Q.char_ids('t') + ' || [17, 6, 30] || [1]')} AS ids, (len({Q.char_ids('t')}) + 4)::BIGINT AS n FROM done"))
+    f"""SELECT doc_id, {Q.csv(Q.char_ids('a') + ' || [17, 6, 30] || ' + Q.char_ids('b') + ' || [30] || [1]')} AS ids, (len({Q.char_ids('t')}) + 5)::BIGINT AS n
+    FROM (SELECT *, substr(t, 1, instr(t, ' ')) AS a, substr(t, instr(t, ' ') + 1) AS b FROM done)"""))
 def braced_phones(spark, folder):
     t = F.lower(F.translate("text", "{}", ""))
-    pairs = S.braced_phones(F.concat(t, F.lit("{HH AW1 S}")))
+    first = F.instr(t, " ")
+    pairs = S.braced_phones(F.concat(F.substring(t, F.lit(1), first), F.lit("{HH AW1 S}"), F.substring(t, first + 1, F.length(t)), F.lit("{S}")))
     x = V.documents(spark, folder, "text").select("doc_id", pairs.alias("p"))
     return x.select("doc_id", F.array_join(F.col("p.id").cast("array<string>"), ",").alias("ids"), F.size("p").cast("long").alias("n"))
 

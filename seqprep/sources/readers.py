@@ -130,6 +130,20 @@ def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("md5"))
 
 
+def read_pause_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, phones, text, seconds): one file each with the phones, ``# `` and the text, and the pauses after a lead of three characters.
+
+    A missing line gives null; a pause that is no number is a null in ``seconds``.
+    """
+    lines = F.split("value", "\\r?\\n")
+    line = lambda i: F.get(lines, F.lit(i))
+    seconds = F.transform(F.split(_strip(F.substring(line(2), F.lit(4), F.length(line(2)))), " +"), lambda s: s.try_cast("double"))
+    return spark.read.text(path, wholetext=True).select(
+        A.path_stem(F.input_file_name()).alias("id"), _strip(line(0)).alias("phones"),
+        _strip(F.substring(line(1), F.lit(3), F.length(line(1)))).alias("text"), seconds.alias("seconds"),
+    )
+
+
 def make_sinewaves(
     spark: SparkSession, n_timesteps: int, n_waves: int, base_freq: float = 3.0, offset: bool = True, use_cos: bool = False,
     harmonic: bool = False, multipliers: tuple = (1.7, 0.62), square: bool = False, thresh: float = 0.0,

@@ -9,6 +9,7 @@ from seqprep.operators import batching as B
 from seqprep.operators import filters as FL
 from seqprep.operators import joins as J
 from seqprep.operators import sampling as K
+from seqprep.operators.blocks import lookup_join
 from seqprep.sources import accessors as AC
 from seqprep.sources import readers as R
 from seqprep.sources import writers as W
@@ -195,3 +196,22 @@ def test_group_rows_in_pieces(spark):
     df = spark.range(25).select(F.lit("k").alias("k"), "id")
     rows = AG.group_rows(df, "k", "id", piece=10).orderBy("piece").collect()
     assert [len(r.ids) for r in rows] == [10, 10, 5] and rows[2].ids == [20, 21, 22, 23, 24]
+
+
+def test_pause_transcript(spark, folder):
+    put(f"{folder}/u1.txt", "hh ay\n# Hi, you.\n## 0.0 0.03 x\n")
+    put(f"{folder}/u2.txt", "hh\n")
+    a, b = R.read_pause_transcripts(spark, folder).orderBy("id").collect()
+    assert (a.id, a.phones, a.text, a.seconds) == ("u1", "hh ay", "Hi, you.", [0.0, 0.03, None])
+    assert (b.id, b.phones, b.seconds) == ("u2", "hh", None)
+
+
+def test_lookup_join_by_rows_and_bytes(spark):
+    left = spark.createDataFrame([(1,), (2,), (1,)], "k int")
+    right = spark.createDataFrame([(1, "a" * 1000, [1, 2]), (3, "b", None)], "k int, v string, xs array<int>")
+    want = [(1, 1000), (1, 1000), (2, None)]
+    for limits, broadcast in (({}, True), ({"max_rows": 1}, False), ({"max_bytes": 100}, False)):
+        out = lookup_join(left, right, ["k"], **limits)
+        assert sorted((r.k, r.v and len(r.v)) for r in out.collect()) == want
+        assert ("_salt" not in out._jdf.queryExecution().optimizedPlan().toString()) == broadcast
+    assert lookup_join(left, right.where("k > 9"), ["k"]).count() == 3
