@@ -285,3 +285,50 @@ def test_hmm_scores(docs, empty):
         assert r.n_tokens == len(w) and r.n_known == sum(x in count for x in w)
         assert np.isclose(r.base_score, sum(np.log10((count[x] + 1) / (total + types + 1)) for x in w)) and r.score < 0
     assert hmm_lm.score_documents(empty, "doc_id", "text", train, states=2, rounds=1).count() == 0
+
+
+def edited(passage, changes, seed):
+    """The passage with that many words changed."""
+    r, words = random.Random(seed), passage.split()
+    for i in r.sample(range(len(words)), changes):
+        words[i] = f"edit{seed}x{i}"
+    return " ".join(words)
+
+
+def with_source(texts):
+    """Texts (by number) of which an earlier one (by hash) has a similar passage, over all pairs."""
+    import itertools
+
+    import xxhash
+
+    from seqprep.llm.common import Powers, Texts
+    import pyarrow as pa
+
+    t = Texts(pa.array(texts), Powers(), lower=True)
+    grams, doc, _ = compact_windows._shingles(t)
+    parts = [grams[doc == i] for i in range(len(texts))]
+    rank = [xxhash.xxh64(x.encode(), 42).intdigest() for x in texts]
+    rank = [x - (1 << 64) if x >> 63 else x for x in rank]
+    out = set()
+    for i, j in itertools.permutations(range(len(texts)), 2):
+        if rank[i] < rank[j] and j not in out and compact_windows.same_passages(parts[i], parts[j], 46, 0.8):
+            out.add(j)
+    return out
+
+
+def found_rows(spark, texts, parts):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {r.doc_id for r in compact_windows.duplicate_passages(df).select("doc_id").distinct().collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_passage_of_a_third_of_the_texts_over_many_parts(spark):
+    passage = prose(52, 7000)
+    texts = [prose(30, 7100 + i) + " " + (passage + " " if i % 3 == 0 else "") + prose(30, 7400 + i) for i in range(300)]
+    assert found_rows(spark, texts, 61) == with_source(texts)
