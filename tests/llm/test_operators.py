@@ -332,3 +332,14 @@ def test_passage_of_a_third_of_the_texts_over_many_parts(spark):
     passage = prose(52, 7000)
     texts = [prose(30, 7100 + i) + " " + (passage + " " if i % 3 == 0 else "") + prose(30, 7400 + i) for i in range(300)]
     assert found_rows(spark, texts, 61) == with_source(texts)
+
+
+@pytest.mark.parametrize("group,groups,changes", [(2, 60, 1), (3, 40, 1), (150, 1, 1)])
+def test_edited_passages_against_all_pairs(spark, group, groups, changes):
+    texts = [
+        prose(25, 8000 + g * 1000 + i) + " " + edited(prose(50 + (g + i) % 11 if group < 10 else 56, 9000 + g), changes, i) + " " + prose(25, 8500 + g * 1000 + i)
+        for g in range(groups) for i in range(group)
+    ]
+    want, got = with_source(texts), found_rows(spark, texts, 8)
+    print("recall", len(got & want), len(want), got - want)
+    assert got <= want and len(got & want) >= (0.97 if group < 10 else 0.5) * len(want)
