@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency.
 
 Every line is normalised (A-Z lower-cased, words joined by one space) and hashed. Per host, a line's distinct documents
-are counted, where copies of one document count once: a document is known by the smallest hash among its other lines.
+are counted, where copies of one document count once: a document is known by a 128-bit hash of its normalised lines in order and of the words that each has in all.
 A line is boilerplate in its host when at least ``min_documents`` distinct documents, and at least the share
-``min_share`` of the host's documents, and at least ``min_spread`` of the documents that have it, differ. Such lines are
+``min_share`` of the host's distinct documents, have it. Such lines are
 removed, and a document of which less than ``min_left`` of the words remain is depleted and rejected, as is one that fails the base rules. Hosts, lines
 and copies of any size are counted by partial aggregation; the join back is an ordinary one that splits hot keys.
 
@@ -31,7 +31,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 
 def line_table(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """(key, host, counts of the base rules, line hashes and word counts of each distinct normalised line)."""
+    """(key, host, counts of the base rules, line hashes and word counts of each distinct normalised line in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -66,7 +66,7 @@ def line_table(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
             normal = span_hash(lower, first, last, powers)
             _, index, inverse = np.unique(mix64(normal ^ mix64(salt[owner])), return_index=True, return_inverse=True)
             words = np.bincount(inverse, weights=last - first).astype(np.int64)
-            order = np.argsort(owner[index], kind="stable")
+            order = np.argsort(index, kind="stable")
             per = np.bincount(owner[index], minlength=t.n)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -85,26 +85,23 @@ def line_table(df: DataFrame, key: str, text: str, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_documents: int, min_share: float, min_spread: float) -> DataFrame:
-    """(_host, _line): boilerplate lines, from rows (_row, _host, _line, _other)."""
-    per_host = lines.groupBy("_host", "_row").count().groupBy("_host").agg(F.count("*").alias("_host_docs"))
-    seen = lines.groupBy("_host", "_line", "_other").agg(F.count("*").alias("_n"))
-    counts = seen.groupBy("_host", "_line").agg(F.sum("_n").alias("_n"), F.count("*").alias("_distinct"))
-    enough = counts.where((F.col("_distinct") >= min_documents) & (F.col("_distinct") >= min_spread * F.col("_n")))
+def frequent_lines(lines: DataFrame, min_documents: int, min_share: float) -> DataFrame:
+    """(_host, _line): boilerplate lines, from rows (_row, _host, _line, _whole0, _whole1)."""
+    per_host = lines.select("_host", "_whole0", "_whole1").distinct().groupBy("_host").agg(F.count("*").alias("_host_docs"))
+    seen = lines.select("_host", "_line", "_whole0", "_whole1").distinct()
+    enough = seen.groupBy("_host", "_line").agg(F.count("*").alias("_distinct")).where(F.col("_distinct") >= min_documents)
     return enough.join(per_host, "_host").where(F.col("_distinct") >= min_share * F.col("_host_docs")).select("_host", "_line")
 
 
 def line_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_documents: int = 10,
-               min_share: float = 0.001, min_spread: float = 0.5, min_left: float = 0.3, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+               min_share: float = 0.001, min_left: float = 0.3, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """One row per input row: key, base counts, base_failed, removed_words, removed_lines (hashes), kept."""
     docs = written(line_table(df, key, text, host).withColumn("_row", F.monotonically_increasing_id()), "lines")
-    # the two smallest line hashes of a document: one of them belongs to another line than the one at hand
-    two = F.slice(F.array_sort("_lines"), 1, 2)
-    lines = docs.select("_row", "_host", two.alias("_two"), F.explode(F.arrays_zip("_lines", "_line_words")).alias("_x")).select(
-        "_row", "_host", F.col("_x._lines").alias("_line"), F.col("_x._line_words").alias("_n_words"),
-        F.coalesce(F.when(F.col("_two")[0] == F.col("_x._lines"), F.try_element_at("_two", F.lit(2))).otherwise(F.col("_two")[0]), F.lit(0)).alias("_other"),
+    whole = [F.xxhash64(F.lit(i), "_lines", "_line_words").alias(f"_whole{i}") for i in range(2)]
+    lines = docs.select("_row", "_host", *whole, F.explode(F.arrays_zip("_lines", "_line_words")).alias("_x")).select(
+        "_row", "_host", F.col("_x._lines").alias("_line"), F.col("_x._line_words").alias("_n_words"), "_whole0", "_whole1"
     )
-    hit = lines.join(frequent_lines(lines, min_documents, min_share, min_spread), ["_host", "_line"])
+    hit = lines.join(frequent_lines(lines, min_documents, min_share), ["_host", "_line"])
     removed = hit.groupBy("_row").agg(F.sum("_n_words").alias("removed_words"), F.sort_array(F.collect_list("_line")).alias("removed_lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0))

@@ -343,3 +343,12 @@ def test_edited_passages_against_all_pairs(spark, group, groups, changes):
     want, got = with_source(texts), found_rows(spark, texts, 8)
     print("recall", len(got & want), len(want), got - want)
     assert got <= want and len(got & want) >= (0.97 if group < 10 else 0.5) * len(want)
+
+
+def test_lines_that_occur_together_and_lines_of_copies(spark):
+    rows = [(i, f"Top of the page\n{prose(60, 5000 + i)}\nAll rights reserved", "h") for i in range(30)]
+    rows += [(100 + i, f"share this\n{prose(60, 5100 + i)}", "c") for i in range(20)]
+    rows += [(200 + i, f"share this\n{prose(60, 5200)}", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.line_rules(df).toPandas().set_index("doc_id")
+    assert (got.loc[0:29].removed_words == 7).all() and (got.loc[100:499].removed_words == 2).all()
