@@ -32,8 +32,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of each document's token ids placed in sequences."""
-    return packing.pack_documents(docs, "doc_id", "text", tokenizer())
+    """Pieces of each document's token ids placed in sequences."""
+    return packing.pack_documents(docs, "doc_id", "text", tokenizer(), keep_ids=True)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import PATTERN, _field, read_vocabulary, written_strings
-from seqprep.llm.common import written
+from seqprep.llm.common import slices, written
 
 SHARD_PIECES = 32_768
 WEIGHTS = (1.0, 0.001, 0.001)
@@ -35,7 +35,7 @@ def cut_pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = 10
 
         ranks, added = vocabulary.value
         coder = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        for batch in batches:
+        for batch in slices(batches, "_text"):
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
                 ids = np.append(coder.encode_to_numpy(t.as_py() or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
@@ -55,7 +55,8 @@ def cut_pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = 10
             ]
             names = [key, "piece", "start", "length", "ids_crc32"]
             if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int64())))
+                ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -352,3 +352,13 @@ def test_lines_that_occur_together_and_lines_of_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = line_rules.line_rules(df).toPandas().set_index("doc_id")
     assert (got.loc[0:29].removed_words == 7).all() and (got.loc[100:499].removed_words == 2).all()
+
+
+def test_pipeline_returns_packed_ids(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
+    assert len(got) and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 1024
