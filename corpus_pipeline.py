@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-# trained models and fingerprints are beyond SQL; tests hold the pipeline against a brute-force version
+# trained models and fingerprints are beyond SQL; a test checks the packed ids of a small run
 ORACLE_SQL = None
 
 
