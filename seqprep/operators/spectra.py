@@ -1,11 +1,13 @@
 """Frame transforms: spectra, mel features, cosine and lapped transforms, and the features of an utterance.
 
-Spark frames the signal (one shuffle by utterance and frame); the transform of a whole frame is one Arrow-batched NumPy
-call; sums over overlapping frames are again a grouped aggregate.
+Spark deals the signal out in runs (one shuffle); the frames of a run are views of it and one NumPy call transforms them;
+overlapping frames are summed before their shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,31 +16,61 @@ from seqprep.functions import signal as S
 from seqprep.operators import aggregates as A
 from seqprep.operators import frames as W
 from seqprep.operators.blocks import BLOCK, spread, with_totals
+from seqprep.operators.runs import floats, map_runs, window_rows
 from seqprep.scratch import written
 
 
 def spectrum(signal: DataFrame, keys: list[str], size: int, step: int | None = None, center: bool = True, pad: bool = True) -> DataFrame:
-    """(keys, frame, re, im): mean-centered, framed, Hann-windowed one-sided transform."""
-    x = A.mean_center(signal, keys) if center else signal
-    f = W.frame(x, keys, size, step, pad, lengths=signal).withColumn("_f", S.fourier(F.col("values"), S.hann(size)))
-    return f.select(*keys, "frame", F.col("_f.re").alias("re"), F.col("_f.im").alias("im"))
+    """(keys, frame, re, im): mean-centered, framed, Hann-windowed one-sided transform, straight from runs of samples."""
+    def transform(row: dict, frames: np.ndarray) -> tuple:
+        f = np.fft.rfft(frames * window)
+        return f.real, f.imag
+
+    window = S.hann(size)
+    stats, change = ({"_mean": F.avg("x")}, lambda x, row: x - row["_mean"]) if center else (None, None)
+    return framed(signal, keys, size, step or size // 2, pad, "re array<double>, im array<double>", transform, stats, change)
+
+
+def framed(
+    signal: DataFrame, keys: list[str], size: int, step: int, pad: bool, columns: str, transform: Callable[[dict, np.ndarray], tuple],
+    stats: dict[str, Column] | None = None, change: Callable[[np.ndarray, dict], np.ndarray] | None = None,
+) -> DataFrame:
+    """(keys, frame, columns): ``transform`` of the frames of a run as one matrix, whose rows are views of the run.
+
+    ``change`` is applied to the samples first, with the ``stats`` of their key; padding stays zero. A null sample makes
+    its frames nan.
+    """
+    if size % 2:
+        raise ValueError("the frame size must be even")
+    runs, frames_of = W.frame_runs(signal, keys, size, step, pad, stats=stats)
+
+    def cut(row: dict) -> tuple:
+        first, count = frames_of(row)
+        x = floats(row["_v"].field("v"))
+        x = change(x, row) if change and len(x) else x
+        return np.arange(first, first + count), *transform(row, window_rows(x, size, min(step, size), count))
+
+    return map_runs(runs, keys, f"frame long, {columns}", cut)
+
 
+def activity_magnitudes(signal: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, frame, mag) for voice activity: values scaled to 0 … 2^15 (a constant signal: 0) and cut to integers, frames inside the signal."""
+    def scaled(x: np.ndarray, row: dict) -> np.ndarray:
+        low, high = row["_lo"], row["_hi"]
+        return np.trunc((x - low) / (1.0 if high == low else high - low) * 32768.0)
 
-def activity_bins(signal: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, frame, bin, mag) for voice activity: values scaled to 0 … 2^15 (a constant signal: 0) and cut to integers, frames inside the signal."""
-    x = with_totals(signal, keys, {"_lo": F.min("x"), "_hi": F.max("x")})
-    x = x.withColumn("x", ((F.col("x") - F.col("_lo")) / F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo")) * 32768.0).cast("int").cast("double"))
-    f = W.frame(x, keys, size, pad=False).withColumn("_f", S.fourier(F.col("values"), np.hanning(size)))
-    return bins(f.select(*keys, "frame", "_f.re", "_f.im"), keys)
+    window = np.hanning(size)
+    stats = {"_lo": F.min(F.col("x").cast("double")), "_hi": F.max(F.col("x").cast("double"))}
+    return framed(signal, keys, size, size // 2, False, "mag array<double>", lambda row, frames: (np.abs(np.fft.rfft(frames * window)),), stats, scaled)
 
 
 def magnitudes(spec: DataFrame) -> Column:
     return F.zip_with("re", "im", lambda a, b: F.hypot(a, b))
 
 
-def bins(spec: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, frame, bin, mag)."""
-    return spec.select(*keys, "frame", F.posexplode(magnitudes(spec)).alias("bin", "mag"))
+def with_magnitudes(spec: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, mag): one array of magnitudes per frame."""
+    return spec.select(*keys, "frame", magnitudes(spec).alias("mag"))
 
 
 def inverse_spectrum(

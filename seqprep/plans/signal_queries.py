@@ -192,15 +192,16 @@ def label_trim(spark, folder):
 @query("window_long_term_envelope", f"""
 {SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, frame, bin::INT AS bin, {r('max(sqrt(re*re + im*im)) OVER (PARTITION BY utt, bin ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 5)} AS envelope FROM sp""")
 def long_term_envelope(spark, folder):
-    b = D.bins(D.spectrum(V.samples(spark, folder), U, SIZE, STEP), U)
-    return W.long_term_envelope(b, U, 2).select("utt", "frame", "bin", rounded("envelope", 5).alias("envelope"))
+    m = D.with_magnitudes(D.spectrum(V.samples(spark, folder), U, SIZE, STEP), U)
+    e = W.long_term_envelope(m, U, 2).select("utt", "frame", F.posexplode("envelope").alias("bin", "envelope"))
+    return e.withColumn("envelope", rounded("envelope", 5))
 
 
 @query("agg_noise_spectrum", f"""
 {SIG}, {CENTERED}, {spectrum_sql()} SELECT utt, bin::INT AS bin, {r('pow(avg(sqrt(re*re + im*im)), 2)', 4)} AS power FROM sp WHERE frame < 3 GROUP BY ALL""")
 def noise_spectrum(spark, folder):
-    b = D.bins(D.spectrum(V.samples(spark, folder), U, SIZE, STEP), U)
-    return W.noise_spectrum(b, U, 3).withColumn("power", rounded("power", 4))
+    m = D.with_magnitudes(D.spectrum(V.samples(spark, folder), U, SIZE, STEP), U)
+    return W.noise_spectrum(m, U, 3).select("utt", F.posexplode("power").alias("bin", "power")).withColumn("power", rounded("power", 4))
 
 
 VAD = f"""
@@ -219,7 +220,7 @@ act AS (SELECT utt, frame, CASE WHEN frame < 2 OR frame + 2 > max(last) THEN 0.0
 
 @query("window_voice_activity", f"{VAD} SELECT utt, frame, {r('ratio', 5)} AS ratio, ratio >= 6.0 AS voiced FROM act")
 def voice_activity(spark, folder):
-    a = W.voice_activity(D.activity_bins(V.samples(spark, folder), U, 8), U, 8, 6.0, 2, 6)
+    a = W.voice_activity(D.activity_magnitudes(V.samples(spark, folder), U, 8), U, 8, 6.0, 2, 6)
     return a.withColumn("ratio", rounded("ratio", 5))
 
 
@@ -229,7 +230,7 @@ seg AS (SELECT utt, k + 1 AS frame, s * k // (l - 1) - 8 AS a, s * (k + 1) // (l
 SELECT g.utt, g.pos, g.x FROM signal g JOIN seg ON seg.utt = g.utt AND g.pos >= seg.a AND g.pos < seg.b JOIN act ON act.utt = seg.utt AND act.frame = seg.frame WHERE act.ratio >= 6.0""")
 def voiced_samples(spark, folder):
     s = V.samples(spark, folder)
-    a = W.voice_activity(D.activity_bins(s, U, 8), U, 8, 6.0, 2, 6)
+    a = W.voice_activity(D.activity_magnitudes(s, U, 8), U, 8, 6.0, 2, 6)
     return W.voiced_samples(s, a, U, 8).select("utt", "pos", "x")
 
 

@@ -31,7 +31,7 @@ def test_silent_signals(two):
     silent = lambda df: {r.x for r in df.where("utt = 2").collect()}
     assert silent(AG.peak_rescale(two, ["utt"])) == {0.0}
     assert silent(AG.minmax_rescale(two, ["utt"])) == {0}
-    activity = W.voice_activity(D.activity_bins(two, ["utt"], 8), ["utt"], 8, order=1, head=3).where("utt = 2").collect()
+    activity = W.voice_activity(D.activity_magnitudes(two, ["utt"], 8), ["utt"], 8, order=1, head=3).where("utt = 2").collect()
     assert activity and not any(r.voiced for r in activity) and {r.ratio for r in activity} == {0.0}
     power = D.log_power_spectrogram(two, ["utt"], 8, 4).where("utt = 2").collect()
     assert {round(v, 6) for r in power for v in r.feat} == {-100.0}
