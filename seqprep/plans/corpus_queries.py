@@ -51,11 +51,11 @@ def train_test_split(spark, folder):
 
 
 @query("sample_index_range_split", """
-SELECT vec_id, rank, CASE WHEN rank < 300 THEN 'train' WHEN rank < 400 THEN 'valid' ELSE 'test' END AS split
-FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rank FROM embeddings) WHERE rank < 480""")
+SELECT vec_id, rank, CASE WHEN rank < floor(n * 0.625::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.8125::DOUBLE) THEN 'valid' ELSE 'test' END AS split
+FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rank, count(*) OVER () AS n FROM embeddings)""")
 def index_range_split(spark, folder):
     e = V.table(spark, folder, "embeddings").select("vec_id")
-    return K.index_range_split(e, ["vec_id"], {"train": (0, 300), "valid": (300, 400), "test": (400, 480)})
+    return K.index_range_split(e, ["vec_id"], {"train": (0, 0.625), "valid": (0.625, 0.8125), "test": (0.8125, None)})
 
 
 @query("sample_batch", """
@@ -64,6 +64,21 @@ def sample_batch(spark, folder):
     return K.sample_batches(V.table(spark, folder, "embeddings").select("vec_id"), ["vec_id"], 16, 3, 3)
 
 
+def skip_sql(n, seed, batches, where="true"):
+    """Offers of every row by drawn gaps, and the first n of each batch."""
+    u = f"(('0x' || left(md5('{seed}:gap:' || j || ':' || vec_id), 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE"
+    gap = lambda j: f"CASE WHEN p < 1 THEN floor(ln({u.replace('|| j ||', f'|| {j} ||')}) / ln(1 - p))::BIGINT ELSE 0 END"
+    return f"""
+WITH RECURSIVE rows AS (SELECT vec_id, least(1.0, ({n} + 8 * sqrt({n}) + 16) / count(*) OVER ())::DOUBLE AS p FROM embeddings WHERE {where}),
+draws AS (SELECT vec_id, p, 0 AS j, {gap('0')} AS b FROM rows UNION ALL SELECT vec_id, p, j + 1, b + 1 + {gap('(j + 1)')} FROM draws WHERE b < {batches})
+SELECT vec_id, b::INT AS batch FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY b ORDER BY md5('{seed}:' || b || ':' || vec_id), vec_id) AS k FROM draws WHERE b < {batches}) WHERE k <= {n}"""
+
+
+@query("sample_skip_batches", skip_sql(16, 7, 500))
+def skip_batches(spark, folder):
+    return K.skip_batches(V.table(spark, folder, "embeddings").select("vec_id"), ["vec_id"], 16, 7, 500)
+
+
 SIMILAR = """
 r AS (SELECT doc_id, row_number() OVER (ORDER BY len(text), doc_id) - 1 AS rk, count(*) OVER () AS total FROM documents),
 z AS (SELECT *, least(4 * 32, total) - least(4 * 32, total) % 4 AS size FROM r), g AS (SELECT *, rk >= total // size * size AS tail, rk // size AS grp FROM z),
@@ -346,6 +361,12 @@ def fixed_batches(spark, folder):
     return B.fixed_batches(V.table(spark, folder, "embeddings"), ["vec_id"], 32, 4, 2, "leave", embedding=64).select("vec_id", "batch")
 
 
+@query("batch_fixed_skip", skip_sql(8, 9, 200, "len(embedding) = 64"))
+def fixed_skip_batches(spark, folder):
+    e = V.table(spark, folder, "embeddings")
+    return B.fixed_batches(e, ["vec_id"], 8, 9, 200, "leave", skip=True, embedding=64).select("vec_id", "batch")
+
+
 # -- pronunciation and mixed representations --------------------------------------------------------------------------
 # A small made-up lexicon: short words of the texts and their letters as phones.
 LEXICON = {

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from seqprep.operators.blocks import position
 
-_positions: dict[tuple[str, str], DataFrame] = {}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,22 +22,10 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return balanced(table(spark, folder, "documents").select("doc_id", *columns))
 
 
-def forget_positions() -> None:
-    _positions.clear()
-
-
 def signal(spark: SparkSession, folder: str) -> DataFrame:
-    """signal(utt, pos, x, event_id, event_type): events per user in time order.
-
-    The numbered table is written once per session and folder, as a pipeline would store its numbered samples.
-    """
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _positions:
-        ev = table(spark, folder, "events").select(F.col("user_id").alias("utt"), "ts", "event_id", "event_type", F.col("value").alias("x"))
-        from seqprep.scratch import written
-
-        _positions[key] = written(position(ev, ["utt"], ["ts", "event_id"]), "signal")
-    return _positions[key]
+    """signal(utt, pos, x, event_id, event_type): events per user in time order."""
+    ev = table(spark, folder, "events").select(F.col("user_id").alias("utt"), "ts", "event_id", "event_type", F.col("value").alias("x"))
+    return position(ev, ["utt"], ["ts", "event_id"])
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:

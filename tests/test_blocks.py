@@ -64,6 +64,31 @@ def test_position_spreads_a_heavy_key(spark):
     assert B.position(df, ["k"], ["t"]).where("pos <> t").count() == 0
 
 
+@pytest.mark.parametrize("keys", [["k"], ["k", "z"], ["s"], ["f"]])
+def test_position_of_odd_keys(spark, keys, monkeypatch):
+    """Keys that cross many partitions, null and nan keys, nested keys, against a plain window."""
+    rng = random.Random(len(keys))
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([None, "a"]), (rng.choice([None, 1]),), rng.choice([None, float("nan"), 0.5]), i, "wide") for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, z string, s struct<v:long>, f double, t long, _in string")
+    df = df.withColumnRenamed("_in", "text").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = B.position(df, keys, ["t"], "r")
+        same(got.withColumn("f", F.col("f").cast("string")), df.withColumn("r", (F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1).cast("long")).select(*got.columns).withColumn("f", F.col("f").cast("string")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.select("r").limit(0).count() == 0 and B.position(df.limit(0), keys, ["t"]).count() == 0
+
+
+def test_position_has_one_exchange(spark):
+    df = spark.range(50_000).select((F.col("id") % 40_000).alias("k"), "id", F.lit("wide").alias("text"))
+    got = B.position(df, ["k"], ["id"])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # behind the written rows only the table of one row per partition is exchanged
+    assert plan.count("SortMergeJoin") == 0 and "BroadcastHashJoin [_part" in plan
+
+
 def test_lookup_join_both_ways(spark):
     left = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 5).alias("k"), "id")
     right = spark.createDataFrame([(1, "one"), (2, "two")], "k long, name string")
