@@ -1,20 +1,22 @@
 """Pronunciation by letter rules and hyphenation by patterns.
 
-Rule and pattern tables are inputs (DataFrames of bounded, checked size), never part of the package. Letter rules walk a
-word left to right, so their kernel is a small Arrow-batched function that sees each distinct word of a batch once.
-Hyphenation is relational: substrings of each distinct word joined with the patterns.
+Rule and pattern tables are inputs (DataFrames of any size), never part of the package. A table that is measured to fit
+is broadcast to a small Arrow-batched kernel that sees each distinct word once: letter rules under their centers, hyphen
+patterns as an automaton. A larger table is joined: rules with the places of distinct words by center, patterns with the
+substrings of distinct words. Both ways give the same result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqprep.operators.blocks import lookup_join, with_row
+from seqprep.operators.blocks import byte_size, lookup_join, salted_join, with_row
 
 # Letter classes used by the context symbols of the rules.
 VOWELS = "AEIOUY"
@@ -32,7 +34,7 @@ CONTEXT = {
     "+": "[EIY]",
     ":": f"[{CONSONANTS}]*",
 }
-MAX_RULES = 5_000
+TABLE_BYTES = 64 << 20
 
 
 def parse_letter_rules(lines: DataFrame) -> DataFrame:
@@ -45,69 +47,122 @@ def parse_letter_rules(lines: DataFrame) -> DataFrame:
     )
 
 
-def bounded_rows(table: DataFrame, max_rows: int) -> list:
-    """Rows of a lookup table for use inside tasks; refuses a table that is not small."""
-    rows = table.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"lookup table holds more than {max_rows} rows")
-    return rows
+def table_bytes(table: DataFrame) -> int:
+    """Measured size of the rows of a table."""
+    width = sum((byte_size(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(16))
+    return table.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def letter_rule_phones(word: Column, rules: DataFrame) -> Column:
-    """Phones of an upper-case word: a list with one entry per applied rule, NULL if some letter has no rule.
+def _kernel(rules: DataFrame, many: bool) -> Callable[[Column], Column]:
+    """Phones of a word, or of each word of an array, by rules broadcast to the tasks."""
+    rows = [(r["before"], r["center"], r["after"], r["phones"]) for r in sorted(rules.collect(), key=lambda r: r["rank"])]
+    shared = rules.sparkSession.sparkContext.broadcast(rows)
 
-    At each place the first matching rule is applied and the place moves by the rule's center. A rule without context
-    symbols wants the exact letters before and the exact rest after; with context symbols the pieces are patterns.
-    """
-    table = [
-        (r["before"], r["center"], r["after"], r["phones"])
-        for r in sorted(bounded_rows(rules, MAX_RULES), key=lambda r: r["rank"])
-    ]
-
-    @F.pandas_udf("array<string>")
-    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        families = by_letter(table)
-        for words in batches:
-            yield words.map({w: _walk(w, families) for w in words.dropna().unique()})
+    kind = pa.list_(pa.list_(pa.string())) if many else pa.list_(pa.string())
+
+    @F.arrow_udf("array<array<string>>" if many else "array<string>")
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        centers = by_center(shared.value)
+        for batch in batches:
+            known: dict = {None: None}
+            spell = lambda w: known[w] if w in known else known.setdefault(w, _walk(w, centers))
+            if many:
+                lists = [None if ws is None else [p for w in ws if (p := spell(w)) is not None] for ws in batch.to_pylist()]
+            else:
+                lists = [spell(w) for w in batch.to_pylist()]
+            yield pa.array(lists, kind)
 
-    return kernel(word)
+    return kernel
 
 
-def by_letter(table: list) -> dict:
-    """Compiled rules by the first letter of their center; built once per task."""
-    families: dict[str, list] = {}
-    for before, center, after, phones in table:
+def by_center(table: list) -> dict:
+    """A trie of the rules' centers: per first letter the lengths of its centers, per center its compiled rules with their ranks; built once per task."""
+    rules: dict[str, list] = {}
+    pattern = lambda s: re.compile("".join(CONTEXT.get(c, re.escape(c)) for c in s))
+    for rank, (before, center, after, phones) in enumerate(table):
         loose = any(c in CONTEXT for c in before + center + after)
-        pattern = lambda s: re.compile("".join(CONTEXT.get(c, re.escape(c)) for c in s))
-        families.setdefault(center[:1], []).append(
-            (loose, before, pattern(before), center, after, pattern(after), phones)
-        )
-    return families
+        rules.setdefault(center, []).append((rank, loose, before, pattern(before) if loose else None, after, pattern(after) if loose else None, phones))
+    sizes: dict[str, set] = {}
+    for center in rules:
+        sizes.setdefault(center[:1], set()).add(len(center))
+    return {letter: (sorted(n for n in found if n), rules) for letter, found in sizes.items() if letter}
 
 
-def _walk(word: str, families: dict) -> list | None:
+def _fits(left: str, right: str, loose: bool, before: str, before_re, after: str, after_re) -> bool:
+    left = left[max(len(left) - len(before), 0) :]
+    if loose:
+        return (not before or before_re.match(left) is not None) and (not after or after_re.match(right) is not None)
+    return (not before or left == before) and (not after or right == after)
+
+
+def _walk(word: str, centers: dict) -> list | None:
     out, at = [], 0
     while at < len(word):
-        for loose, before, before_re, center, after, after_re, phones in families.get(word[at], ()):
-            end = at + len(center)
-            if word[at:end] != center:
-                continue
-            left, right = word[max(at - len(before), 0) : at], word[end:]
-            fits = (not before or before_re.match(left)) and (not after or after_re.match(right)) if loose else (
-                (not before or left == before) and (not after or right == after)
-            )
-            if fits:
-                out.append(phones)
-                at = end
-                break
-        else:
+        sizes, rules = centers.get(word[at], ((), {}))
+        best = None
+        for n in sizes:
+            for rank, *tests, phones in rules.get(word[at : at + n], ()) if at + n <= len(word) else ():
+                if best is not None and rank > best[0]:
+                    break
+                if _fits(word[:at], word[at + n :], *tests):
+                    best = (rank, n, phones)
+                    break
+        if best is None:
             return None
+        out.append(best[2])
+        at += best[1]
     return out
 
 
-def rule_g2p(words: DataFrame, rules: DataFrame, word: str = "word") -> DataFrame:
-    """phones(array) of each distinct word."""
-    return words.select(word).distinct().withColumn("phones", letter_rule_phones(F.upper(F.col(word)), rules))
+def rule_g2p(words: DataFrame, rules: DataFrame, word: str = "word", max_bytes: int = TABLE_BYTES) -> DataFrame:
+    """phones(array) of each distinct word: one entry per applied rule, NULL if some letter has no rule.
+
+    At each place the first matching rule is applied and the place moves by the rule's center. A rule without context
+    symbols wants the exact letters before and the exact rest after; with context symbols the pieces are patterns.
+    Rules of more than ``max_bytes`` are joined with the places of the words by center.
+    """
+    distinct = words.select(word).distinct()
+    if table_bytes(rules) <= max_bytes:
+        return distinct.withColumn("phones", _kernel(rules, False)(F.upper(F.col(word))))
+    return _joined_g2p(distinct, rules, word)
+
+
+def _pattern(letters: str) -> Column:
+    """The regular expression of a rule's context."""
+    table = F.create_map(*[F.lit(v) for pair in CONTEXT.items() for v in pair])
+    chars = F.filter(F.split(letters, ""), lambda c: c != "")
+    quoted = F.transform(chars, lambda c: F.coalesce(F.element_at(table, c), F.concat(F.lit("\\Q"), c, F.lit("\\E"))))
+    return F.concat(F.lit("^(?:"), F.array_join(quoted, ""), F.lit(")"))
+
+
+def _joined_g2p(distinct: DataFrame, rules: DataFrame, word: str) -> DataFrame:
+    loose = F.concat("before", "center", "after").rlike("[" + re.escape("".join(CONTEXT)) + "]")
+    table = rules.where("center <> ''").select(
+        "rank", "center", "before", "after", "phones", loose.alias("_loose"), _pattern("before").alias("_before"), _pattern("after").alias("_after")
+    )
+    longest = table.agg(F.max(F.length("center")).alias("_longest"))
+    x = with_row(distinct.select(word, F.upper(word).alias("_w")), longest)
+    x = x.withColumn("_at", F.explode(F.expr("if(length(_w) > 0, sequence(0, length(_w) - 1), cast(array() as array<int>))")))
+    x = x.withColumn("_n", F.explode(F.expr("sequence(1, least(_longest, length(_w) - _at))"))).withColumn("center", F.expr("substring(_w, _at + 1, _n)"))
+    x = salted_join(x, table, ["center"])
+    left, right = F.expr("substring(_w, greatest(_at - length(before), 0) + 1, least(length(before), _at))"), F.expr("substring(_w, _at + _n + 1)")
+    fits = F.when(
+        F.col("_loose"), ((F.col("before") == "") | F.rlike(left, F.col("_before"))) & ((F.col("after") == "") | F.rlike(right, F.col("_after")))
+    ).otherwise(((F.col("before") == "") | (left == F.col("before"))) & ((F.col("after") == "") | (right == F.col("after"))))
+    first = x.where(fits).groupBy(word, "_at").agg(F.min(F.struct("rank", "_n", "phones")).alias("_r"))
+    steps = first.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_r"))).alias("_steps"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+
+    def move(state: Column, at: Column) -> Column:
+        step = F.element_at("_steps", at)
+        moved = F.struct((at + step["_n"]).alias("next"), F.concat(state["out"], F.array(step["phones"])).alias("out"))
+        return F.when((state["next"] == at) & step.isNotNull(), moved).otherwise(state)
+
+    size = F.length(F.upper(word))
+    walked = F.aggregate(F.sequence(F.lit(0), size - 1), start, move)
+    out = distinct.join(steps, word, "left").withColumn("_walk", F.when((size > 0) & F.col("_steps").isNotNull(), walked))
+    phones = F.when(size == 0, F.array().cast("array<string>")).when(F.col("_walk.next") == size, F.col("_walk.out"))
+    return out.select(word, phones.alias("phones"))
 
 
 def rule_line_words(text: Column) -> Column:
@@ -121,9 +176,18 @@ def rule_line_words(text: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
-def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "phones") -> DataFrame:
-    """The rows with the letter-rule phones of ``text`` (``rulebased_cleaner``)."""
-    return df.select("*", rulebased_cleaner(rules)(F.col(text)).alias(out))
+def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "phones", max_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows with the letter-rule phones of ``text`` (``rulebased_cleaner``); ``key`` identifies a row.
+
+    Rules of more than ``max_bytes`` are applied to the distinct words of all texts, which join back.
+    """
+    if table_bytes(rules) <= max_bytes:
+        return df.select("*", rulebased_cleaner(rules)(F.col(text)).alias(out))
+    words = df.select(key, F.posexplode(rule_line_words(F.col(text))).alias("_i", "word"))
+    spelled = rule_g2p(words, rules, "word", max_bytes).where("phones is not null").select("word", F.array_join("phones", "&").alias("_p"))
+    lines = lookup_join(words, spelled, ["word"], "inner").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_p")))["_p"].alias("_p"))
+    joined = F.lower(F.array_join(F.coalesce("_p", F.array().cast("array<string>")), "^"))
+    return df.join(lines, key, "left").select(*df.columns, F.when(F.col(text).isNotNull(), joined).alias(out))
 
 
 def rulebased_cleaner(rules: DataFrame) -> Callable[[Column], Column]:
@@ -131,19 +195,9 @@ def rulebased_cleaner(rules: DataFrame) -> Callable[[Column], Column]:
 
     The words of a text stay together as an array: no shuffle, and a frequent word is spelled once per Arrow batch.
     A null text has null phones. Pass it to ``text.clean`` by name: ``more={"rulebased_g2p_cleaners": rulebased_cleaner(rules)}``.
+    A cleaner is a column, which cannot be joined, so its rules are broadcast: ``rulebased_g2p`` takes tables beyond that.
     """
-    table = [
-        (r["before"], r["center"], r["after"], r["phones"])
-        for r in sorted(bounded_rows(rules, MAX_RULES), key=lambda r: r["rank"])
-    ]
-
-    @F.pandas_udf("array<array<string>>")
-    def kernel(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        families = by_letter(table)
-        for lists in batches:
-            known = {w: _walk(w, families) for w in set().union(*lists.dropna())}
-            yield lists.map(lambda words: [known[w] for w in words if known[w] is not None], na_action="ignore")
-
+    kernel = _kernel(rules, True)
     return lambda text: F.lower(F.array_join(F.transform(kernel(rule_line_words(text)), lambda p: F.array_join(p, "&")), "^"))
 
 
@@ -156,32 +210,22 @@ def parse_hyphen_patterns(patterns: DataFrame, pattern: str = "pattern") -> Data
     ).select("letters", "at", F.col("v").cast("int").alias("value"))
 
 
-def hyphenate(words: DataFrame, patterns: DataFrame, exceptions: DataFrame | None = None, word: str = "word") -> DataFrame:
+def hyphenate(
+    words: DataFrame, patterns: DataFrame, exceptions: DataFrame | None = None, word: str = "word", max_bytes: int = TABLE_BYTES
+) -> DataFrame:
     """pieces(array) of each distinct word.
 
     ``patterns`` is the parsed table; ``exceptions(word, pieces)`` wins over patterns. Words of up to four letters stay
-    whole, no break falls in the first two or last two places, an odd maximum point is a break.
+    whole, no break falls in the first two or last two places, an odd maximum point is a break. Patterns of more than
+    ``max_bytes`` are joined with the substrings of the words; others go through each word as an automaton.
     """
-    w = F.lower(F.col(word))
     vocabulary = words.select(word).distinct()
-    longest = patterns.agg(F.max(F.length("letters")).alias("longest"))
-    dotted = vocabulary.where(F.length(word) > 4).select(word, F.concat(F.lit("."), w, F.lit(".")).alias("_d"))
-    pieces = (
-        with_row(dotted, longest)
-        .withColumn("_i", F.explode(F.expr("sequence(0, length(_d) - 1)")))
-        .withColumn("_n", F.explode(F.expr("sequence(1, least(longest, length(_d) - _i))")))
-        .select(word, "_i", F.substring("_d", F.col("_i") + 1, F.col("_n")).alias("letters"))
-    )
-    points = (
-        lookup_join(pieces, patterns, ["letters"], "inner")
-        .groupBy(word, (F.col("_i") + F.col("at")).alias("_p"))
-        .agg(F.max("value").alias("value"))
-        .where("value % 2 = 1")
-        .groupBy(word)
-        .agg(F.sort_array(F.collect_list("_p")).alias("_breaks"))
-    )
+    if table_bytes(patterns) <= max_bytes:
+        out = vocabulary.withColumn("_breaks", F.when(F.length(word) > 4, _automaton(patterns)(F.lower(word))))
+    else:
+        out = vocabulary.join(_joined_breaks(vocabulary, patterns, word), word, "left")
     # point p of ".word." stands before letter p of the word; the ends carry no break
-    out = vocabulary.join(points, word, "left").withColumn(
+    out = out.withColumn(
         "_cuts",
         F.concat(
             F.array(F.lit(0)),
@@ -205,6 +249,69 @@ def hyphenate(words: DataFrame, patterns: DataFrame, exceptions: DataFrame | Non
     return out
 
 
+def pattern_automaton(rows: list[tuple[str, int, int]]) -> tuple[list[dict], list[int], list[list]]:
+    """Aho-Corasick over the letters of patterns: moves, fallbacks and, per state, (offset from the end, value) of all patterns that end there."""
+    moves, found = [{}], [[]]
+    for letters, at, value in rows:
+        state = 0
+        for c in letters:
+            if c not in moves[state]:
+                moves[state][c] = len(moves)
+                moves.append({}), found.append([])
+            state = moves[state][c]
+        found[state].append((at - len(letters), value))
+    back, queue = [0] * len(moves), list(moves[0].values())
+    for state in queue:
+        found[state] = found[state] + found[back[state]]
+        for c, to in moves[state].items():
+            other = back[state]
+            while other and c not in moves[other]:
+                other = back[other]
+            back[to] = moves[other].get(c, 0)
+            queue.append(to)
+    return moves, back, found
+
+
+def break_points(word: str, automaton: tuple) -> list[int]:
+    """Places of ``.word.`` whose largest point is odd."""
+    moves, back, found = automaton
+    state, points = 0, {}
+    for end, c in enumerate(f".{word}.", 1):
+        while state and c not in moves[state]:
+            state = back[state]
+        state = moves[state].get(c, 0)
+        for offset, value in found[state]:
+            points[end + offset] = max(points.get(end + offset, 0), value)
+    return sorted(p for p, v in points.items() if v % 2)
+
+
+def _automaton(patterns: DataFrame) -> Callable[[Column], Column]:
+    rows = [tuple(r) for r in patterns.select("letters", "at", "value").collect()]
+    shared = patterns.sparkSession.sparkContext.broadcast(rows)
+
+    @F.arrow_udf("array<int>")
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = pattern_automaton(shared.value)
+        for words in batches:
+            yield pa.array([None if w is None else break_points(w, automaton) for w in words.to_pylist()], pa.list_(pa.int32()))
+
+    return kernel
+
+
+def _joined_breaks(vocabulary: DataFrame, patterns: DataFrame, word: str) -> DataFrame:
+    """(word, _breaks) by a join of the patterns with all substrings as long as one."""
+    longest = patterns.agg(F.max(F.length("letters")).alias("longest"))
+    dotted = vocabulary.where(F.length(word) > 4).select(word, F.concat(F.lit("."), F.lower(word), F.lit(".")).alias("_d"))
+    pieces = (
+        with_row(dotted, longest)
+        .withColumn("_i", F.explode(F.expr("sequence(0, length(_d) - 1)")))
+        .withColumn("_n", F.explode(F.expr("sequence(1, least(longest, length(_d) - _i))")))
+        .select(word, "_i", F.substring("_d", F.col("_i") + 1, F.col("_n")).alias("letters"))
+    )
+    points = salted_join(pieces, patterns, ["letters"]).groupBy(word, (F.col("_i") + F.col("at")).alias("_p")).agg(F.max("value").alias("value"))
+    return points.where("value % 2 = 1").groupBy(word).agg(F.sort_array(F.collect_list("_p")).alias("_breaks"))
+
+
 def first_pronunciation(lexicon: DataFrame) -> DataFrame:
     """word, phones as ``@hh@ah``: the first pronunciation without stress digits."""
     phone = lambda p: F.lower(F.concat(F.lit("@"), F.when(p.rlike("[012]"), F.regexp_replace(p, ".$", "")).otherwise(p)))

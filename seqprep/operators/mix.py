@@ -44,6 +44,8 @@ def word_chunks(words: DataFrame, lexicon: DataFrame, key: str, rules: DataFrame
     x = P.lookup_join(P.lookup_join(words, by_raw, ["raw_word"]), by_bare, ["bare"])
     x = x.withColumn("_ids", F.coalesce("_raw", "_bare")).drop("_raw", "_bare")
     if rules is not None:
+        # cleaned, split and looked up once: the unknown words come from the written rows
+        x = written(x, "words")
         missing = x.where("_ids is null").select(F.col("bare").alias("word"))
         spelled = P.rule_g2p(missing, rules).select(F.col("word").alias("bare"), phone_ids_of(rule_phones(F.col("phones"))).alias("_rule"))
         spelled = written(spelled, "spelled")
@@ -124,6 +126,8 @@ def pronounce(
     words = words.withColumn("bare", T.strip_punctuation_for_lookup(F.col("word"))).where("bare <> ''")
     found = P.lookup_join(words, P.first_pronunciation(lexicon).withColumnRenamed("word", "bare"), ["bare"])
     if rules is not None:
+        # cleaned, split and looked up once: the unknown words come from the written rows
+        found = written(found, "words")
         missing = found.where("phones is null").select(F.col("bare").alias("word"))
         spelled = P.rule_g2p(missing, rules).select(F.col("word").alias("bare"), rule_phones(F.col("phones")).alias("_rule"))
         spelled = written(spelled, "spelled")

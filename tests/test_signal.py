@@ -93,11 +93,28 @@ def test_nearest_codeword_ties_take_the_lowest(spark):
         assert got == {0: (1, [-1.0, 0.0]), 1: (3, [1.0, 0.0])}
 
 
-def test_codebook_size_is_checked(spark):
-    rows = spark.createDataFrame([(0, [0.0])], "id long, vec array<double>")
-    book = spark.range(70_000).select(F.col("id").alias("code_id"), F.array(F.col("id").cast("double")).alias("vec"))
-    with pytest.raises(ValueError):
-        VQ.nearest_codeword(rows, book)
+def test_a_hundred_thousand_codewords(spark, monkeypatch):
+    """Shards of the codebook against one matrix product, with ties across shards, null vectors and one codeword near most rows."""
+    rng = np.random.default_rng(7)
+    codes = rng.normal(size=(100_000, 4))
+    codes[70_000] = codes[5]
+    rows = np.concatenate([rng.normal(size=(200, 4)), np.repeat(codes[5:6], 300, axis=0) + 1e-9])
+    table = [(i, v, i) for i, v in enumerate(rows.tolist())] + [(900, None, 1)]
+    left = spark.createDataFrame(table, "id long, vec array<double>, _blk int").repartition(5)
+    book = spark.createDataFrame(list(enumerate(codes.tolist())), "code_id int, vec array<double>")
+    monkeypatch.setattr(VQ, "ROW_BLOCK", 100)
+    out = VQ.nearest_codeword(left, book, shard_bytes=1 << 20)
+    assert out.columns == ["id", "vec", "_blk", "code_id", "distance", "codeword"]
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(table) and got[900].code_id is None and got[900].distance is None and got[900].codeword is None
+    for i, x in enumerate(rows):
+        d = ((codes - x) ** 2).sum(axis=1)
+        assert got[i].code_id == d.argmin() and abs(got[i].distance - d.min()) < 1e-12 and got[i].codeword == codes[d.argmin()].tolist()
+    assert got[400].code_id == 5
+    one = {r.id: (r.code_id, r.distance) for r in VQ.nearest_codeword(left, book).collect()}
+    assert one == {i: (r.code_id, r.distance) for i, r in got.items()}
+    many = {r.id: r.code_id for r in VQ.nearest_codeword_columns(left.limit(20), book, max_codes=64).collect()}
+    assert all(one[i][0] == c for i, c in many.items())
 
 
 def test_label_trim(spark):
