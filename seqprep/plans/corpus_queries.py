@@ -485,12 +485,16 @@ PATTERNS = [".ab1o", "1ti", "2io", "e1r", "n1d", "4s.", "a1b", "1ca", "o2n", "en
 @query("phones_hyphenate", f"""
 WITH pat AS (SELECT unnest({Q.words(PATTERNS)}) AS p), pp AS (SELECT regexp_replace(p, '[0-9]', '', 'g') AS letters, string_split(regexp_replace(p, '[.a-z]', '|', 'g'), '|') AS slots FROM pat),
 pt AS (SELECT letters, i - 1 AS off, slots[i]::INT AS value FROM (SELECT *, unnest(generate_series(1, len(slots))) AS i FROM pp) WHERE slots[i] <> ''),
-wd AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents) WHERE w <> ''),
+wd AS MATERIALIZED (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents) WHERE w <> ''),
 hit AS (SELECT wd.word, s - 1 + off AS p, max(value) AS v FROM (SELECT word, unnest(generate_series(1, len(word) + 2)) AS s FROM wd WHERE len(word) > 4) wd JOIN pt ON substr('.' || word || '.', s, len(letters)) = letters GROUP BY ALL),
 br AS (SELECT word, list_sort(list(p - 1)) AS cuts FROM hit WHERE v % 2 = 1 AND p > 2 AND p <= len(word) - 1 GROUP BY word),
-ct AS (SELECT word, [0] || coalesce(cuts, []) || [len(word)] AS k FROM wd LEFT JOIN br USING (word))
-SELECT word, array_to_string(list_transform(range(1, len(k)), lambda i: substr(word, (k[i] + 1)::INT, (k[i + 1] - k[i])::INT)), '-') AS pieces FROM ct""")
+ct AS (SELECT word, [0] || coalesce(cuts, []) || [len(word)] AS k FROM wd LEFT JOIN br USING (word)),
+pc AS MATERIALIZED (SELECT word, len(k) - 1 AS n, array_to_string(list_transform(range(1, len(k)), lambda i: substr(word, (k[i] + 1)::INT, (k[i + 1] - k[i])::INT)), '-') AS pieces FROM ct)
+SELECT left(word, 1) AS letter, count(*) AS words, sum(n)::BIGINT AS pieces, sum(('0x' || left(md5(word || '=' || pieces), 8))::BIGINT)::BIGINT AS digest FROM pc GROUP BY ALL""")
 def hyphenate(spark, folder):
     w = V.documents(spark, folder, "text").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")).alias("word")).where("word <> ''")
     pats = PH.parse_hyphen_patterns(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
-    return PH.hyphenate(w, pats).select("word", F.array_join("pieces", "-").alias("pieces"))
+    x = PH.hyphenate(w, pats)
+    # a digest that adds up: every word and every break counts, in few rows
+    digest = F.conv(F.substring(F.md5(F.concat("word", F.lit("="), F.array_join("pieces", "-"))), 1, 8), 16, 10).cast("long")
+    return x.groupBy(F.substring("word", 1, 1).alias("letter")).agg(F.count("*").alias("words"), F.sum(F.size("pieces")).alias("pieces"), F.sum(digest).alias("digest"))

@@ -126,10 +126,11 @@ def lexicon_lines(spark, folder):
 
 
 @query("filter_alignment_case", """
-WITH w AS (SELECT doc_id AS id, u[2] AS i, u[1] AS word, CASE (u[2] * 7 + doc_id) % 5 WHEN 0 THEN 'not-found-in-transcript' WHEN 1 THEN 'not-found-in-audio' ELSE 'success' END AS c
+WITH w AS MATERIALIZED (SELECT doc_id AS id, u[2] AS i, u[1] AS word, CASE (u[2] * 7 + doc_id) % 5 WHEN 0 THEN 'not-found-in-transcript' WHEN 1 THEN 'not-found-in-audio' ELSE 'success' END AS c
   FROM (SELECT doc_id, unnest(list_zip(string_split(text, ' '), range(1, len(string_split(text, ' ')) + 1))) AS u FROM documents)),
 p AS (SELECT *, sum(CASE WHEN c = 'not-found-in-transcript' THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY i)::BIGINT - 1 AS place FROM w)
-SELECT p.id, p.place::BIGINT AS place, p.word, t.word AS transcript_word FROM p JOIN w t ON t.id = p.id AND t.i = p.place + 1 WHERE p.c = 'success'""")
+SELECT p.id, count(*) AS words, sum(p.place)::BIGINT AS places, sum(('0x' || left(md5(p.place || ':' || p.word || '=' || t.word), 8))::BIGINT)::BIGINT AS digest
+FROM p JOIN w t ON t.id = p.id AND t.i = p.place + 1 WHERE p.c = 'success' GROUP BY p.id""")
 def alignment_case(spark, folder):
     words = F.split("text", " ")
     case = lambda i: F.when(((i + 1) * 7 + F.col("doc_id")) % 5 == 0, "not-found-in-transcript").when(((i + 1) * 7 + F.col("doc_id")) % 5 == 1, "not-found-in-audio").otherwise("success")
@@ -138,7 +139,10 @@ def alignment_case(spark, folder):
         F.col("doc_id").alias("id"), F.col("text").alias("clean"),
         F.transform(words, lambda w, i: F.struct(w.alias("word"), case(i).alias("case"), w.alias("alignedWord"), no_phones.alias("phones"))).alias("words"))
     x = FL.alignment_case_filter(records)
-    return x.select("id", F.col("place").cast("long").alias("place"), "word", "transcript_word")
+    # a digest that adds up: every word at its place counts, in one row per record
+    pair = F.concat(F.col("place").cast("string"), F.lit(":"), "word", F.lit("="), "transcript_word")
+    digest = F.conv(F.substring(F.md5(pair), 1, 8), 16, 10).cast("long")
+    return x.groupBy("id").agg(F.count("*").alias("words"), F.sum(F.col("place").cast("long")).alias("places"), F.sum(digest).alias("digest"))
 
 
 @query("source_manifest", """

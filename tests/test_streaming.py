@@ -67,3 +67,21 @@ def test_stream_chunks(spark, folder):
     want = {(r.utt, r.chunk, r.step): r.x for r in B.chunk_overlap1(df, ["utt"], 5).collect()}
     assert got == want
     assert {r.reset for r in spark.table("chunks").where("chunk = 0").collect()} == {0}
+
+
+def test_stream_chunks_of_one_heavy_key(spark, folder):
+    """One key holds most rows of one micro-batch over many files in mixed order, in frames of 100 rows."""
+    rows = [(1, p, float(p % 977)) for p in range(6000)] + [(u, p, 1.0) for u in (2, 3) for p in range(12)]
+    df = spark.createDataFrame(rows, "utt long, pos long, x double")
+    df.where("pos < 5000").orderBy(F.rand(3)).repartition(12).write.parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        src = lambda: spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        q = lambda: J.stream_chunks(src(), 64).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+        run(q())
+        df.where("pos >= 5000").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run(q())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.utt, r.chunk, r.step): r.x for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {(r.utt, r.chunk, r.step): r.x for r in B.chunk_overlap1(df, ["utt"], 64).collect()}
