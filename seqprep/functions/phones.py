@@ -62,7 +62,7 @@ def _kernel(rules: DataFrame, many: bool) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<array<string>>" if many else "array<string>")
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        centers = by_center(shared.value)
+        centers = Centers(shared.value)
         for batch in batches:
             known: dict = {None: None}
             spell = lambda w: known[w] if w in known else known.setdefault(w, _walk(w, centers))
@@ -75,42 +75,51 @@ def _kernel(rules: DataFrame, many: bool) -> Callable[[Column], Column]:
     return kernel
 
 
-def by_center(table: list) -> dict:
-    """A trie of the rules' centers: per first letter the lengths of its centers, per center its compiled rules with their ranks; built once per task."""
-    rules: dict[str, list] = {}
-    pattern = lambda s: re.compile("".join(CONTEXT.get(c, re.escape(c)) for c in s))
-    for rank, (before, center, after, phones) in enumerate(table):
-        loose = any(c in CONTEXT for c in before + center + after)
-        rules.setdefault(center, []).append((rank, loose, before, pattern(before) if loose else None, after, pattern(after) if loose else None, phones))
-    sizes: dict[str, set] = {}
-    for center in rules:
-        sizes.setdefault(center[:1], set()).add(len(center))
-    return {letter: (sorted(n for n in found if n), rules) for letter, found in sizes.items() if letter}
-
-
-def _fits(left: str, right: str, loose: bool, before: str, before_re, after: str, after_re) -> bool:
-    left = left[max(len(left) - len(before), 0) :]
-    if loose:
-        return (not before or before_re.match(left) is not None) and (not after or after_re.match(right) is not None)
-    return (not before or left == before) and (not after or right == after)
-
-
-def _walk(word: str, centers: dict) -> list | None:
-    out, at = [], 0
-    while at < len(word):
-        sizes, rules = centers.get(word[at], ((), {}))
-        best = None
-        for n in sizes:
-            for rank, *tests, phones in rules.get(word[at : at + n], ()) if at + n <= len(word) else ():
-                if best is not None and rank > best[0]:
+class Centers:
+    """A trie of the rules' centers: at a place of a word, the rules of all centers that stand there, by rank. Built once per task."""
+
+    def __init__(self, table: list):
+        self.root, self.longest, self.seen = {}, 0, {}
+        pattern = lambda s: re.compile("".join(CONTEXT.get(c, re.escape(c)) for c in s))
+        for rank, (before, center, after, phones) in enumerate(table):
+            node = self.root
+            for c in center:
+                node = node.setdefault(c, {})
+            loose = any(c in CONTEXT for c in before + center + after)
+            tests = (pattern(before).match if before else None, pattern(after).match if after else None) if loose else (None, None)
+            node.setdefault("", []).append((rank, len(center), loose, before, after, *tests, phones))
+            self.longest = max(self.longest, len(center))
+
+    def at(self, letters: str) -> list:
+        """The rules that may apply to a word whose rest begins with ``letters``; an empty center never does."""
+        if letters not in self.seen:
+            node, found = self.root, []
+            for c in letters:
+                node = node.get(c)
+                if node is None:
                     break
-                if _fits(word[:at], word[at + n :], *tests):
-                    best = (rank, n, phones)
-                    break
-        if best is None:
+                found += node.get("", [])
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[letters] = sorted(found, key=lambda r: r[0])
+        return self.seen[letters]
+
+
+def _walk(word: str, centers: Centers) -> list | None:
+    out, at, size = [], 0, len(word)
+    while at < size:
+        for _, n, loose, before, after, before_at, after_at, phones in centers.at(word[at : at + centers.longest]):
+            if before:
+                left = word[max(at - len(before), 0) : at]
+                if not (before_at(left) if loose else left == before):
+                    continue
+            if after and not (after_at(word[at + n :]) if loose else word[at + n :] == after):
+                continue
+            out.append(phones)
+            at += n
+            break
+        else:
             return None
-        out.append(best[2])
-        at += best[1]
     return out
 
 

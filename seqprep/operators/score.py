@@ -160,13 +160,24 @@ def fixup_parts(notes: DataFrame) -> DataFrame:
 
 def quantize(notes: DataFrame, step: float = 0.25, hold: bool = True, block: int = BLOCK) -> DataFrame:
     """roll(piece, voice, step, symbol, fermata): notes on a grid, voices cut to the shortest."""
-    x = notes.withColumn("_grid", M.quantize_note(F.col("pitch"), F.col("dur"), step, hold)).where(F.size("_grid") > 0)
+    return _rolled(notes, step, {"symbol": hold}, block)
+
+
+def _rolled(notes: DataFrame, step: float, symbols: dict[str, bool], block: int = BLOCK) -> DataFrame:
+    """(piece, voice, step, symbols, fermata): held and plain symbols of a note come from one explode.
+
+    A note shorter than a step takes a cell if it is held; beside a held symbol a plain one has the same cells.
+    """
+    grid = lambda hold: M.quantize_note(F.col("pitch"), F.col("dur"), step, hold)
+    beside = F.array_repeat("pitch", F.size(grid(True))) if any(symbols.values()) else grid(False)
+    grids = [(grid(True) if hold else beside).alias(name) for name, hold in symbols.items()]
+    x = notes.select("piece", "voice", "idx", "fermata", *grids).withColumn("_grid", F.arrays_zip(*symbols)).drop(*symbols).where(F.size("_grid") > 0)
     x = running(x, ["piece", "voice"], {"_end": ("sum", F.size("_grid"))}, order=("idx",), block=block)
     x = written(x.select("piece", "voice", "fermata", "_end", "_grid"), "quantized")
     shortest = x.groupBy("piece", "voice").agg(F.max("_end").alias("_len")).groupBy("piece").agg(F.min("_len").alias("_len"))
     cells = x.select(
-        "piece", "voice", "fermata", (F.col("_end") - F.size("_grid")).alias("_start"), F.posexplode("_grid").alias("_i", "symbol")
-    ).select("piece", "voice", (F.col("_start") + F.col("_i")).cast("long").alias("step"), "symbol", "fermata")
+        "piece", "voice", "fermata", (F.col("_end") - F.size("_grid")).alias("_start"), F.posexplode("_grid").alias("_i", "_g")
+    ).select("piece", "voice", (F.col("_start") + F.col("_i")).cast("long").alias("step"), *[F.col("_g")[n].alias(n) for n in symbols], "fermata")
     lengths = spread(shortest.withColumn("_top", F.expr(f"(_len - 1) div {block}")), "_top", "_b").drop("_top")
     return (
         cells.withColumn("_b", F.expr(f"step div {block}")).join(lengths, ["piece", "_b"]).where("step < _len").drop("_b", "_len")
@@ -211,14 +222,9 @@ def quantized_corpus(notes: DataFrame, chords: DataFrame, voices: int, step: flo
     """All grid columns of the pieces that have exactly ``voices`` voices."""
     from seqprep.operators.filters import equal_voice_filter
 
-    kept = equal_voice_filter(notes, voices)
-    held, plain = written(quantize(kept, step, True), "roll"), quantize(kept, step, False)
-    grid = held.select("piece", "voice", "step", F.col("symbol").alias("pitch_hold")).join(
-        plain.select("piece", "voice", "step", F.col("symbol").alias("pitch")), ["piece", "voice", "step"]
-    )
-    marks = collapse_fermatas(held)
+    roll = written(_rolled(equal_voice_filter(notes, voices), step, {"pitch_hold": True, "pitch": False}), "roll")
     return (
-        grid.join(marks, ["piece", "step"])
+        roll.drop("fermata").join(collapse_fermatas(roll), ["piece", "step"])
         .join(attach_chords(chords, step), ["piece", "step"], "left")
         .withColumn("subbeat", subbeat(F.col("step")))
     )

@@ -258,8 +258,8 @@ def run_lengths(spark, folder):
     return SC.run_lengths(SC.quantize(V.notes(spark, folder), hold=False), ["piece", "voice"])
 
 
-def chords(spark, folder):
-    return V.signal(spark, folder).select(
+def chords(sig):
+    return sig.select(
         F.expr("utt div 2").alias("piece"), (F.col("pos") * 2 + F.col("utt") % 2).alias("idx"), F.col("event_type").alias("chord"),
         (F.col("event_id") % 7).cast("string").alias("function"), F.element_at(F.array(F.lit(0.5), F.lit(1.0), F.lit(4.0)), (F.col("event_id") % 3 + 1).cast("int")).alias("dur"),
     )
@@ -271,14 +271,15 @@ cg AS (SELECT piece, (a + i)::BIGINT AS step, chord, function FROM (SELECT *, un
 
 @query("score_attach_chords", f"WITH {Q.SIGNAL}, {CHORDS} SELECT * FROM cg")
 def attach_chords(spark, folder):
-    return SC.attach_chords(chords(spark, folder)).withColumn("step", F.col("step").cast("long"))
+    return SC.attach_chords(chords(V.signal(spark, folder))).withColumn("step", F.col("step").cast("long"))
 
 
 @query("score_quantized_corpus", f"""{GRID}, {CHORDS}, f AS (SELECT piece, step, max(fermata) AS fermata FROM roll GROUP BY ALL), two AS (SELECT piece FROM note GROUP BY piece HAVING count(DISTINCT voice) = 2)
 SELECT r.piece, r.voice, r.step, r.symbol AS pitch_hold, r.pitch, f.fermata, cg.chord, cg.function, (r.step % 4 + 1)::INT AS subbeat
 FROM roll r JOIN two USING (piece) JOIN f USING (piece, step) LEFT JOIN cg USING (piece, step)""")
 def quantized_corpus(spark, folder):
-    return SC.quantized_corpus(V.notes(spark, folder), chords(spark, folder), 2)
+    sig = V.signal(spark, folder)
+    return SC.quantized_corpus(V.notes_of(sig, 2), chords(sig), 2)
 
 
 @query("score_transpose", f"""{NOTE} SELECT piece, voice, idx, CASE WHEN pitch = 0 THEN 0 ELSE pitch + half END AS pitch FROM (
