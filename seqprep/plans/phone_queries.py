@@ -148,12 +148,10 @@ def alignment_case(spark, folder):
 @query("source_manifest", """
 SELECT 'a-' || doc_id AS audio, 'm-' || doc_id AS mel, n_chars::INT AS steps, nullif(regexp_replace(text, '[|\\n\\r]', ' ', 'g'), '') AS text, (doc_id % 20)::INT AS speaker_id FROM documents""")
 def manifest(spark, folder):
-    import uuid
-
-    from seqprep.scratch import scratch_folder
+    from seqprep.scratch import scratch_path
     from seqprep.sources import writers as W
 
-    path = f"{scratch_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "manifest")
     d = V.documents(spark, folder, "text", "n_chars").select(
         F.concat(F.lit("a-"), F.col("doc_id").cast("string")).alias("audio"), F.concat(F.lit("m-"), F.col("doc_id").cast("string")).alias("mel"),
         F.col("n_chars").cast("int").alias("steps"), F.regexp_replace("text", "[|\\n\\r]", " ").alias("text"), (F.col("doc_id") % 20).cast("int").alias("speaker_id"))

@@ -1,22 +1,19 @@
 """Queries that write files derived from a given table and read them with the readers."""
 
 from __future__ import annotations
-
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.operators.score import nearest_timing_symbol
 from seqprep.plans import views as V
 from seqprep.plans.registry import query
-from seqprep.scratch import scratch_folder
+from seqprep.scratch import scratch_path
 from seqprep.sources import accessors as AC
 from seqprep.sources import readers as R
 
 
 def place(spark, label: str) -> str:
-    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, label)
 
 
 def file_per_row(spark, folder: str, label: str, value) -> str:

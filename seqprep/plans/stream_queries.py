@@ -1,15 +1,12 @@
 """Streaming queries: the given tables read as streams, run to their end, results in written tables."""
 
 from __future__ import annotations
-
-import uuid
-
 from pyspark.sql import functions as F
 
 from seqprep.plans import sql as Q
 from seqprep.plans import views as V
 from seqprep.plans.registry import query
-from seqprep.scratch import scratch_folder
+from seqprep.scratch import scratch_path
 from seqprep.streaming import jobs as J
 
 
@@ -20,7 +17,7 @@ def source(spark, folder, name):
 
 
 def place(spark, label):
-    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return scratch_path(spark, label)
 
 
 def run(query):

@@ -273,11 +273,9 @@ def quarantine(spark, folder):
 
 @query("sink_cached_features", "SELECT doc_id, len(text)::INT AS chars, len(string_split(text, ' '))::INT AS words FROM documents")
 def cached_features(spark, folder):
-    import uuid
+    from seqprep.scratch import scratch_path
 
-    from seqprep.scratch import scratch_folder
-
-    path = f"{scratch_folder(spark)}/features-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "features")
     compute = lambda d: d.select("doc_id", F.length("text").alias("chars"), F.size(F.split("text", " ")).alias("words"))
     d = V.documents(spark, folder, "text", "lang")
     params = {"kind": "lengths", "version": 1}

@@ -2,17 +2,23 @@
 
 Some steps (dense positions, global ranks) need the same sorted rows twice. Recomputing a sampled range sort may cut
 it elsewhere, so the rows are written once to the shared folder that the cluster names in ``spark.checkpoint.dir`` and
-read back: the lineage is cut, a lost executor only re-reads files, and later jobs prune columns from parquet.
+read back: the lineage is cut, a lost executor only re-reads files, and later jobs prune columns from parquet. ``scratch_scope`` deletes the tables of a
+finished piece of work, ``release`` a single one earlier.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_paths: WeakKeyDictionary = WeakKeyDictionary()
+_scopes: list[list[str]] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -27,9 +33,46 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder; an open ``scratch_scope`` deletes it at its end."""
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a ``written`` table that nothing will read again: what came from it must have been written itself."""
+    path = _paths.pop(table, None)
+    if path is not None:
+        _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables of a block at its end; the block writes or collects its result.
+
+    ``with scratch_scope(spark): operator(df).write.parquet(out)``
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    # by the file system of the path, which the driver's own file calls may not reach
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
