@@ -164,7 +164,7 @@ def _steps(start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray,
 def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected emissions, transitions, document starts and chunk starts, and the chunks' log likelihood."""
     a, b, k = model["move"], model["emit"], len(model["move"])
-    emissions, moves, firsts, log = np.zeros_like(b), np.zeros_like(a), np.zeros((2, k)), 0.0
+    emissions, moves, firsts, log, ones = np.zeros_like(b), np.zeros_like(a), np.zeros((2, k)), 0.0, np.ones(k)
     start, length, _, nth = chunks(lengths)
     for mine, live in _steps(start, length):
         begin, later = start[mine], (nth[mine] > 0).astype(int)
@@ -173,15 +173,14 @@ def expected_counts(symbols: np.ndarray, lengths: np.ndarray, model: dict) -> tu
         for t, n in enumerate(live):
             e[t, :n] = b[symbols[begin[:n] + t]]
             x = (model["start"][later[:n]] if t == 0 else alpha[t - 1, :n] @ a) * e[t, :n]
-            scale[t, :n] = s = x.sum(axis=1)
-            alpha[t, :n] = x / s[:, None]
+            scale[t, :n] = s = x @ ones
+            np.divide(x, s[:, None], out=alpha[t, :n])
         log += float(np.log(scale).sum())
         beta = np.ones((len(mine), k))
         for t in range(width - 1, -1, -1):
             n = live[t]
+            # forward and scaled backward messages multiply to one per token
             gamma = alpha[t, :n] * beta[:n]
-            gamma /= gamma.sum(axis=1, keepdims=True)
-            at = symbols[begin[:n] + t]
             alpha_before = alpha[t - 1, :n] if t else None
             if t:
                 x = beta[:n] * e[t, :n] / scale[t, :n, None]
@@ -202,7 +201,7 @@ def likelihood(symbols: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndar
     """Natural log probability of each document's symbols, by transfer matrices of its chunks."""
     a, b, k = model["move"], model["emit"], len(model["move"])
     start, length, doc, nth = chunks(lengths)
-    matrix, logs = np.zeros((len(start), k, k)), np.zeros(len(start))
+    matrix, logs, ones = np.zeros((len(start), k, k)), np.zeros(len(start)), np.ones(k * k)
     for mine, live in _steps(start, length):
         begin = start[mine]
         m = np.where((nth[mine] == 0)[:, None, None], np.eye(k), a)
@@ -211,7 +210,7 @@ def likelihood(symbols: np.ndarray, lengths: np.ndarray, model: dict) -> np.ndar
         for t, n in enumerate(live):
             if t:
                 m[:n] = (m[:n].reshape(-1, k) @ a).reshape(n, k, k) * b[symbols[begin[:n] + t]][:, None, :]
-            s = m[:n].sum(axis=(1, 2))
+            s = m[:n].reshape(n, -1) @ ones
             m[:n] /= s[:, None, None]
             total[:n] += np.log(s)
         matrix[mine], logs[mine] = m, total
