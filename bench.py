@@ -28,8 +28,9 @@ def main() -> None:
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="bench")
     queries = all_queries()[0]
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
-    # start the JVM's compilers and the Python workers once
+    # start the JVM's compilers and one Python worker per core once
     queries["agg_line_count"](spark, folder).write.format("noop").mode("overwrite").save()
+    spark.range(0, 1000, 1, int(cpus) if cpus.isdigit() else 8).mapInPandas(lambda batches: batches, "id long").write.format("noop").mode("overwrite").save()
     times = {}
     for name in names:
         taken = []

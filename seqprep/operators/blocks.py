@@ -39,20 +39,29 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     keys = list(keys)
     sort = [*_cols(keys), *[F.col(o) if isinstance(o, str) else o for o in order]]
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    rows = written(rows.withColumn("_part", F.spark_partition_id()).withColumn("_in", _place_in_key(df, keys) if keys else place), "sorted")
+    rows = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_part", F.spark_partition_id())
+    rows = rows.withColumn("_in", _place_in_key(df, keys) if keys else place)
+    # only the first key of a partition can go on from an earlier one
+    rows = written(rows.withColumn("_head", F.col("_in") == place), "sorted")
     # sorted, so the smallest and the largest key of a partition are its first and last one
     key = F.struct(*_cols(keys)) if keys else F.struct(F.lit(0).alias("all"))
-    end = F.struct(key.alias("key"), F.col("_in"))
-    edges = rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(end).alias("_end"))
-    before = Window.orderBy("_part")
-    same = Window.partitionBy(F.col("_end.key")).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    edges = edges.withColumn("_sum", F.sum(F.col("_end._in") + 1).over(same))
-    carry = F.when(F.lag("_end.key").over(before) == F.col("_first"), F.lag("_sum").over(before))
-    edges = edges.select("_part", "_first", F.coalesce(carry, F.lit(0)).alias("_carry"))
-    more = F.when(key == F.col("_first"), F.col("_carry")).otherwise(F.lit(0))
-    x = rows.join(F.broadcast(edges), "_part").withColumn(out, (F.col("_in") + more).cast("long"))
-    return x.select(*df.columns, out)
+    ends = rows.groupBy("_part").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("key"), F.col("_in"))).alias("last")).collect()
+    carried, before, total = [], None, 0
+    for part, first, last in sorted(ends, key=lambda r: r[0]):
+        carry = total if before is not None and _same(first, before) else 0
+        carried.append((part, carry))
+        total = last["_in"] + 1 + (carry if _same(first, last["key"]) else 0)
+        before = last["key"]
+    table = df.sparkSession.createDataFrame(carried, "_part int, _carry long")
+    more = F.when(F.col("_head"), F.col("_carry")).otherwise(F.lit(0))
+    return rows.join(F.broadcast(table), "_part").select(*df.columns, (F.col("_in") + more).cast("long").alias(out))
+
+
+def _same(a: object, b: object) -> bool:
+    """Equal values, where null equals null and nan equals nan, as in a sort."""
+    if isinstance(a, (tuple, list)) and isinstance(b, (tuple, list)):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b or (a != a and b != b)
 
 
 def _place_in_key(df: DataFrame, keys: list[str]) -> Column:
@@ -75,7 +84,7 @@ def _place_in_key(df: DataFrame, keys: list[str]) -> Column:
                 codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
                 new[1:] |= codes[1:] != codes[:-1]
             first = [c[0].as_py() for c in batch]
-            new[0] = last is None or any(a != b and (a == a or b == b) for a, b in zip(first, last))
+            new[0] = last is None or not all(a == b or (a != a and b != b) for a, b in zip(first, last))
             at = np.arange(n)
             start = np.maximum.accumulate(np.where(new, at, -1))
             out = np.where(start < 0, at + run, at - start)

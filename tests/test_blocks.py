@@ -85,8 +85,8 @@ def test_position_has_one_exchange(spark):
     got = B.position(df, ["k"], ["id"])
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
-    # behind the written rows only the table of one row per partition is exchanged
-    assert plan.count("SortMergeJoin") == 0 and "BroadcastHashJoin [_part" in plan
+    # behind the written rows only the table of one row per partition moves
+    assert plan.count("SortMergeJoin") == 0 and "BroadcastHashJoin [_part" in plan and "hashpartitioning" not in plan
 
 
 def test_lookup_join_both_ways(spark):
