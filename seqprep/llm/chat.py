@@ -9,7 +9,7 @@ A log is a table of events (conversation, sequence number, message id, kind, rol
 
 Everything is DataFrame functions. Events shuffle by (conversation, message), so the drafts of a long conversation are
 folded apart and only final messages meet in its one output row, which must fit a value of Spark. Which messages were
-discarded is a running maximum over blocks of messages, worked out only for conversations with a regeneration.
+discarded is a running maximum over blocks of sequence numbers, worked out only for conversations with a regeneration.
 
 Results of odd input: events of one sequence number go open, regenerate, edit, delta, then by role and text; a second
 ``open`` of an id starts another message, so repeated rows are repeated turns; events without an ``open`` begin a
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.functions.text import let
-from seqprep.operators.blocks import position, running
+from seqprep.operators.blocks import BLOCK, running
 
 KINDS = ["open", "regenerate", "edit", "delta"]
 FIRST = -(1 << 63)
@@ -105,8 +105,8 @@ def _discarded(x: DataFrame) -> DataFrame:
     y = y.select("conv", "id", F.posexplode(_segments(F.col("_e"))).alias("place", "_e"))
     again = F.array_max(F.transform(F.filter("_e", lambda e: e["rank"] == 1), lambda e: e["seq"]))
     y = y.select("conv", "id", "place", F.get("_e", F.lit(0))["seq"].alias("opened"), again.alias("again"))
-    y = position(y, ["conv"], ["opened", "id", "place"])
-    y = running(y, ["conv"], {"cut": ("max", F.col("again"))}, inclusive=False)
+    order = ("opened", "id", "place")
+    y = running(y, ["conv"], {"cut": ("max", F.col("again"))}, order, inclusive=False, blk=F.expr(f"opened div {BLOCK}"))
     return y.where("cut > opened").select("conv", "id", "place")
 
 
