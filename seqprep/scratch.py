@@ -41,11 +41,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back; ``compression`` replaces the session's codec."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
