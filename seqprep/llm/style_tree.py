@@ -5,11 +5,17 @@ node. A node's presentation importance is the entropy of its styles (the sequenc
 pages that have it, to base m; its content importance is one minus the mean of log(n) / log(m) over the texts it holds,
 n being the pages with that text, so that text which repeats over the site counts for little. Both are mixed, and
 branches below ``threshold`` are removed from each page. Pages with equal html count once. A node seen on under
-``min_pages`` pages is judged by its role alone: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are known by tag, role, class or id. Main-text elements (article, main, and the paragraphs and
-headings inside) are never removed for low importance.
+``min_pages`` pages has no low importance.
 
-Statistics are two grouped counts over (host, node, text) with partial aggregation. A page takes the removed nodes of
+Adverts, menus and readers' comments that differ from page to page have high entropy, so no importance tells them from
+an article. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are therefore known
+by their role as well, on every host: by tag, by role, or by a class or id all of whose words tell such a role or a
+place. ``no-sidebar`` or ``share-price-report`` is no such name. A branch so named that holds the page's main element
+stays, and so does a form around main, an article or a first heading. Main-text elements (article, main, and the
+paragraphs and headings inside) are never removed for low importance.
+
+Statistics are two grouped counts over (host, node, text) with partial aggregation, over the nodes of each different
+page, which are written once. A page takes the removed nodes of
 its layout, that is its set of nodes, by a join on (host, layout). Depth and size of a page are not limited.
 
 Null or empty html: an empty text. Null or odd url: pages of one unnamed host. Repeated rows: a row each.
@@ -26,18 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqprep.llm.bpe import _field
+from seqprep.llm.common import written
 
 THRESHOLD, MIN_PAGES, MIX = 0.4, 5, 0.9
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe svg math object video audio canvas textarea select xmp title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img input".split())
-BAD_TAGS = set("head nav footer aside form button dialog menu header".split())
-BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+BAD_TAGS = set("head nav footer aside button dialog menu header".split())
+BAD_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 BAD_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup "
     "modal overlay newsletter subscribe signup login share sharing social related recommended widget toolbar pagination pager skip".split()
 )
+# words that may stand beside one of these in a name
+PLAIN_NAMES = set(
+    "area articles bar block bottom box btn button buttons card cards col column container fixed floating form global group holder "
+    "inner item items js left links list main mobile module outer page panel popular posts primary right secondary section site "
+    "sticky stories text thread title top unit wrap wrapper zone".split()
+)
+FORM, NAMED = 1, 2
 TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption header".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -56,6 +70,15 @@ def _names(value: str) -> set[str]:
     return {w.lower() for w in NAME.findall(SPLIT.sub(" ", value))}
 
 
+def _tells_role(value: str, roles: set[str]) -> bool:
+    """Whether a class or id is made of words of a role and of its place alone."""
+    for name in value.split():
+        words = _names(name)
+        if words & roles and all(w in roles or w in PLAIN_NAMES or len(w) == 1 for w in words):
+            return True
+    return False
+
+
 def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[str], list[tuple[int, int, int]]]:
     """Elements (node, parent place), blocks (element place, text) and style features (node, style, text) of one page.
 
@@ -66,6 +89,8 @@ def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[s
     text = text or ""
     mask = (1 << 63) - 1
     nodes, parents, owners, texts, features = [0], [-1], [], [], []
+    # per element: FORM or NAMED if its role may remove it; what it holds: 1 for main, 2 for an article or first heading
+    roles, holds = [0], [0]
     # open elements: tag, path hash, place, bad, inside main, children's tags, running hash of the text inside
     stack: list[list] = [["", 0, 0, False, False, [], []]]
     parts: list[str] = []
@@ -139,11 +164,12 @@ def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[s
         given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(hit[3] or hit[6] or "")}
         above = stack[-1]
         main = above[4] or tag in ("article", "main")
-        words = _names(given.get("class", "") + " " + given.get("id", ""))
+        name, role = given.get("class", "") + " " + given.get("id", ""), given.get("role", "").lower()
+        words = _names(name)
+        named = tag not in ("html", "body", "article", "main") and _tells_role(name, BAD_NAMES - {"header"} if main else BAD_NAMES)
         bad = (
-            above[3] or (tag in BAD_TAGS and not (tag == "header" and above[4])) or given.get("role", "").lower() in BAD_ROLES
-            or (bool(words & (BAD_NAMES - {"header"} if main else BAD_NAMES)) and tag not in ("html", "body", "article", "main"))
-            or "hidden" in given
+            above[3] or (tag in BAD_TAGS and not (tag == "header" and above[4])) or role in BAD_ROLES
+            or (named and tag in INLINE) or "hidden" in given
         )
         label = f"{tag}.{'.'.join(sorted(words))}"
         path = above[1] if tag in INLINE else digest(f"{above[1]}/{label}".encode(), 3) & mask
@@ -153,6 +179,14 @@ def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[s
             kept = tag in ("html", "body", "article", "main") or (main and tag in TEXT_TAGS)
             nodes.append(0 if kept else path)
             parents.append(owner[2])
+            roles.append(NAMED if named else FORM if tag == "form" or role == "form" else 0)
+            holds.append(0)
+            if tag in ("main", "article", "h1") and not bad:
+                kind, up = (1 if tag == "main" else 2), owner[2]
+                # an article of a comment list does not speak for what is around that list
+                while up > 0 and not holds[up] & kind and (kind == 1 or roles[up] != NAMED):
+                    holds[up] |= kind
+                    up = parents[up]
             stack.append([tag, path, len(nodes) - 1, bad, main, [], []])
         else:
             stack.append([tag, path, above[2], bad, main, [], []])
@@ -160,7 +194,11 @@ def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[s
     flush()
     while len(stack) > 1:
         pop()
-    return nodes, parents, owners, texts, features
+    gone = [False] * len(nodes)
+    for i in range(1, len(nodes)):  # parents come before their children
+        gone[i] = gone[parents[i]] or (roles[i] == FORM and not holds[i]) or (roles[i] == NAMED and not holds[i] & 1)
+    kept = [k for k, o in enumerate(owners) if not gone[o]]
+    return nodes, parents, [owners[k] for k in kept], [texts[k] for k in kept], features
 
 
 def _parsed(pages: DataFrame, key: str, url: str, page: str, content: bool) -> DataFrame:
@@ -207,6 +245,8 @@ def importance(pages: DataFrame, key: str = "page_id", url: str = "url", page: s
     """The style trees as (_host, node, pages, importance), and the layouts as (_host, _layout, _nodes)."""
     parsed = _parsed(pages, key, url, page, content=False)
     once = parsed.groupBy("_host", "_layout", "_page").agg(F.any_value("_nodes").alias("_nodes"), F.any_value("_features").alias("_features"))
+    # read for the layouts and for the counts: the pages are not parsed again for the second
+    once = written(once, "style-pages", "zstd")
     layouts = once.groupBy("_host", "_layout").agg(F.any_value("_nodes").alias("_nodes"))
     seen = once.select("_host", F.explode("_features").alias("x")).groupBy("_host", "x.node", "x.kind", "x.value").agg(F.count("*").alias("n"))
     style, text = F.col("kind") == 0, F.col("kind") == 1

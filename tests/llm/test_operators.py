@@ -255,6 +255,51 @@ def test_style_tree(spark):
     assert style_tree.main_text(df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Title</h1><p>First words.</p><p>More words.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id='aspnetForm'><article>{}</article><label>name</label></form>", "<form id='all'><div>{}</div></form>", "<div class='content no-sidebar'>{}</div>",
+        "<div id='page' class='has-menu'><article>{}</article></div>", "<div class='share-price-report'>{}</div>", "<div class='menu'><main>{}</main></div>",
+        "<form><input name='q'><p>Search</p></form><div class='entry-header'></div>{}<div id='comments'><article><h1>re</h1>bad</article></div>",
+        "<form class='x'><div class='reader comment-list'><article>bad</article></div></form>{}", "<div class='cookie-banner wrap'>bad</div>{}<div class='siteFooter'>bad</div>",
+        "{}<div class='x'><span class='ad'><p>bad</p></span></div><aside><h1>bad</h1></aside>",
+    ],
+)
+def test_style_tree_keeps_articles_in_named_wrappers(page):
+    texts = style_tree.read_page(f"<body>{page.format(ARTICLE)}</body>")[3]
+    assert "bad" not in texts and "Search" not in texts and texts[:3] == ["Title", "First words.", "More words."]
+
+
+def test_style_tree_importance_by_brute_force(spark):
+    """Entropies of a small site counted page by page; an equal page counts once."""
+    import math
+
+    sites = [f"<body><div class='top'>same</div><div class='text'><p>{prose(9, i % 9)}</p>{'<ul><li>x</li></ul>' * (i % 3)}</div></body>" for i in range(12)]
+    df = spark.createDataFrame([(i, "http://s.y/1", h) for i, h in enumerate([*sites, sites[0]])], "page_id long, url string, html string")
+    styles, texts = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for page in sorted(set(sites)):
+        found = style_tree.read_page(page)[4]
+        for node, style in {(n, s) for n, s, _ in found}:
+            styles[node][style] += 1
+        for node, text in {(n, t) for n, _, t in found}:
+            texts[node][text] += 1
+    want = {}
+    for node, seen in styles.items():
+        m = sum(seen.values())
+        if m < style_tree.MIN_PAGES:
+            want[node] = 1.0
+            continue
+        entropy = -sum(c / m * math.log(c / m, m) for c in seen.values())
+        same = sum(math.log(c, m) for c in texts[node].values()) / len(texts[node])
+        want[node] = (1 - style_tree.MIX) * entropy + style_tree.MIX * (1 - min(same, 1.0))
+    got = {r.node: r.importance for r in style_tree.importance(df)[0].collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert min(got.values()) < style_tree.THRESHOLD < max(got.values())
+
+
 def test_hmm_likelihood_is_exact():
     g = np.random.default_rng(4)
     model = hmm_lm.first_model(6, 3)
