@@ -16,7 +16,9 @@ paragraphs and headings inside) are never removed for low importance.
 
 Statistics are two grouped counts over (host, node, text) with partial aggregation, over the nodes of each different
 page, which are written once. A page takes the removed nodes of
-its layout, that is its set of nodes, by a join on (host, layout). Depth and size of a page are not limited.
+its layout, that is its set of nodes, by a join on (host, layout, slot): the pages of one layout spread over up to
+``SLOTS`` slots by key and url, and the removed nodes are copied to the slots that its pages have, so a template that a
+third of all pages share is no single task. Depth and size of a page are not limited.
 
 Null or empty html: an empty text. Null or odd url: pages of one unnamed host. Repeated rows: a row each.
 """
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from seqprep.llm.bpe import _field
 from seqprep.llm.common import written
 
-THRESHOLD, MIN_PAGES, MIX = 0.4, 5, 0.9
+THRESHOLD, MIN_PAGES, MIX, SLOTS = 0.4, 5, 0.9, 256
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe svg math object video audio canvas textarea select xmp title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img input".split())
@@ -204,7 +206,8 @@ def read_page(text: str | None) -> tuple[list[int], list[int], list[int], list[s
 def _parsed(pages: DataFrame, key: str, url: str, page: str, content: bool) -> DataFrame:
     """Per page: host, layout and either its features (and a hash of its html) or its blocks."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
-    narrow = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("_host"), F.col(page).alias("_html"))
+    slot = F.pmod(F.xxhash64(F.col(key), F.col(url)), F.lit(SLOTS)).cast("int")
+    narrow = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host.alias("_host"), slot.alias("_slot"), F.col(page).alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as digest
@@ -213,7 +216,7 @@ def _parsed(pages: DataFrame, key: str, url: str, page: str, content: bool) -> D
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
                 layouts, rows = [], []
-                for cell in batch.column(3):
+                for cell in batch.column(4):
                     text = cell.as_py()
                     nodes, parents, owners, texts, features = read_page(text)
                     used = sorted({n for n in nodes if n})
@@ -223,8 +226,8 @@ def _parsed(pages: DataFrame, key: str, url: str, page: str, content: bool) -> D
                     else:
                         styles = {(n, 0, s) for n, s, _ in features}
                         rows.append((used, digest((text or "").encode(), 5) >> 1, sorted(styles | {(n, 1, t) for n, _, t in features})))
-                columns = [*(batch.column(i) for i in ((0, 1, 2) if content else (2,))), pa.array(layouts, pa.int64())]
-                names = ["_key", "_url", "_host", "_layout"] if content else ["_host", "_layout"]
+                columns = [*(batch.column(i) for i in ((0, 1, 2, 3) if content else (2, 3))), pa.array(layouts, pa.int64())]
+                names = ["_key", "_url", "_host", "_slot", "_layout"] if content else ["_host", "_slot", "_layout"]
                 kinds = [("_nodes", pa.list_(pa.int64())), ("_parents", pa.list_(pa.int32())), ("_owners", pa.list_(pa.int32())), ("_texts", pa.list_(pa.string()))]
                 if not content:
                     entry = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
@@ -237,17 +240,18 @@ def _parsed(pages: DataFrame, key: str, url: str, page: str, content: bool) -> D
 
     if content:
         kind = _field(narrow, "_key") + ", " + _field(narrow, "_url")
-        return narrow.mapInArrow(run, f"{kind}, _host string, _layout bigint, _nodes array<bigint>, _parents array<int>, _owners array<int>, _texts array<string>")
-    return narrow.mapInArrow(run, "_host string, _layout bigint, _nodes array<bigint>, _page bigint, _features array<struct<node:bigint,kind:int,value:bigint>>")
+        return narrow.mapInArrow(run, f"{kind}, _host string, _slot int, _layout bigint, _nodes array<bigint>, _parents array<int>, _owners array<int>, _texts array<string>")
+    return narrow.mapInArrow(run, "_host string, _slot int, _layout bigint, _nodes array<bigint>, _page bigint, _features array<struct<node:bigint,kind:int,value:bigint>>")
 
 
 def importance(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
-    """The style trees as (_host, node, pages, importance), and the layouts as (_host, _layout, _nodes)."""
+    """The style trees as (_host, node, pages, importance), and the layouts as (_host, _layout, _nodes, _slots)."""
     parsed = _parsed(pages, key, url, page, content=False)
-    once = parsed.groupBy("_host", "_layout", "_page").agg(F.any_value("_nodes").alias("_nodes"), F.any_value("_features").alias("_features"))
+    once = parsed.groupBy("_host", "_layout", "_page").agg(F.any_value("_nodes").alias("_nodes"), F.any_value("_features").alias("_features"), F.collect_set("_slot").alias("_slots"))
     # read for the layouts and for the counts: the pages are not parsed again for the second
     once = written(once, "style-pages", "zstd")
-    layouts = once.groupBy("_host", "_layout").agg(F.any_value("_nodes").alias("_nodes"))
+    slots = once.select("_host", "_layout", "_nodes", F.explode("_slots").alias("_slot")).groupBy("_host", "_layout")
+    layouts = slots.agg(F.any_value("_nodes").alias("_nodes"), F.collect_set("_slot").alias("_slots"))
     seen = once.select("_host", F.explode("_features").alias("x")).groupBy("_host", "x.node", "x.kind", "x.value").agg(F.count("*").alias("n"))
     style, text = F.col("kind") == 0, F.col("kind") == 1
     n = F.col("n").cast("double")
@@ -265,10 +269,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     tree, layouts = importance(pages, key, url, page, min_pages)
     low = tree.where(F.col("importance") < threshold).select("_host", F.col("node").alias("_node"))
     removed = (
-        layouts.select("_host", "_layout", F.explode("_nodes").alias("_node")).join(low, ["_host", "_node"])
-        .groupBy("_host", "_layout").agg(F.collect_set("_node").alias("_removed"))
+        layouts.select("_host", "_layout", "_slots", F.explode("_nodes").alias("_node")).join(low, ["_host", "_node"])
+        .groupBy("_host", "_layout").agg(F.collect_set("_node").alias("_removed"), F.any_value("_slots").alias("_slots"))
+        .select("_host", "_layout", "_removed", F.explode("_slots").alias("_slot"))
     )
-    blocks = _parsed(pages, key, url, page, content=True).join(removed, ["_host", "_layout"], "left")
+    blocks = _parsed(pages, key, url, page, content=True).join(removed, ["_host", "_layout", "_slot"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
