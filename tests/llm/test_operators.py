@@ -399,6 +399,48 @@ def test_lines_that_occur_together_and_lines_of_copies(spark):
     assert (got.loc[0:29].removed_words == 7).all() and (got.loc[100:499].removed_words == 2).all()
 
 
+def test_pipeline_stages_on_planted_rows(spark, tmp_path):
+    """Copies leave one document, a shared passage stays once, unfit and null texts go, clean texts come back word by word."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    clean = labels.where("toxic = 0 and quality = 1").select("doc_id")
+    texts = [r.text for r in docs.where("lang = 'en'").join(clean, "doc_id", "left_semi").orderBy("doc_id").collect()]
+    words = sorted({w for t in texts for w in re.findall(r"\b[a-z]+\b", t)})
+    r = random.Random(9)
+
+    def some(n):
+        return " ".join(r.choice(words) for _ in range(n))
+
+    copy, passage = some(120), some(70)
+    planted = {10**6 + i: t for i, t in enumerate([copy, copy, copy.replace(copy.split()[60], "of", 1), some(90) + " " + passage, passage + " " + some(90)])}
+    apart = {10**6 + 10 + i: some(n) for i, n in enumerate([60, 200, 3000])}
+    unfit = {10**6 + 20: "", 10**6 + 21: None, 10**6 + 22: some(30), 10**6 + 23: "one two three four " * 40}
+    rows = [(i, t, "en", "planted", len(t or ""), "clash", i) for i, t in {**planted, **apart, **unfit}.items()] + [(None, some(80), None, None, None, None, None)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string, _row long")
+    docs.withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(extra, allowMissingColumns=True).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+
+    stages = [n for n, _ in corpus_pipeline.STAGES]
+    assert stages == ["toxicity", "quality_rules", "simhash_near_dedup", "substring_dedup", "best_fit_packing"]
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    decode = Tokenizer.from_file(tokenizer()).decode
+    back = {}
+    for key, g in got[got.doc_id >= 10**6].groupby("doc_id"):
+        ids = [x for part in g.sort_values("piece").ids for x in part]
+        assert ids[-1] == 2 and list(g.sort_values("piece").start) == [0, *g.sort_values("piece").length.cumsum()[:-1]]
+        back[key] = decode(ids[:-1], skip_special_tokens=False)
+    assert not back.keys() & unfit.keys()
+    assert {k: back.get(k) for k in apart} == apart
+    assert len(back.keys() & {10**6, 10**6 + 1, 10**6 + 2}) == 1
+    middle = " ".join(passage.split()[5:65])
+    assert sum(middle in back[k] for k in (10**6 + 3, 10**6 + 4)) == 1
+    assert planted[10**6 + 3][: -len(passage)].strip()[:300] in back[10**6 + 3] and planted[10**6 + 4][len(passage) + 40 :] in back[10**6 + 4]
+    assert got.doc_id.isna().sum() == 1
+
+
 def test_pipeline_returns_packed_ids(spark):
     import corpus_pipeline
 
