@@ -74,9 +74,11 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.hstack([own, before, after]), doc, size
 
 
-def marginals(unary: np.ndarray, doc: np.ndarray, n: int, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(unary: np.ndarray, doc: np.ndarray, n: int, trans: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(state) of each line, expected transitions, and log partition of each text, by scaled forward-backward.
 
+    ``share`` weighs the transitions into each line.
+
     Texts are ordered by falling number of lines, so that step t works on the first texts only.
     """
     count = np.bincount(doc, minlength=n)
@@ -96,7 +98,7 @@ def marginals(unary: np.ndarray, doc: np.ndarray, n: int, trans: np.ndarray) ->
     for step in range(len(live) - 1, 0, -1):
         at = begin[: live[step]] + step
         b = beta[at] * e[at] / scale[at][:, None]
-        pairs += (alpha[at - 1].T @ b) * w
+        pairs += (alpha[at - 1].T @ (b if share is None else b * share[at][:, None])) * w
         beta[at - 1] = b @ w.T
     p = alpha * beta
     return p / p.sum(axis=1, keepdims=True), pairs, np.bincount(doc, weights=np.log(scale) + top, minlength=n)
@@ -118,8 +120,8 @@ def train(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.1, d
         m, v = [np.zeros_like(weight), np.zeros_like(trans)], [np.zeros_like(weight), np.zeros_like(trans)]
         n = len(fit)
         for r in range(1, rounds + 1):
-            p, pairs, _ = marginals(x @ weight, doc, n, trans)
-            g = [x.T @ ((p - truth) * share[:, None]) / n + decay * weight, (pairs * stay.sum() / max(pairs.sum(), 1e-9) - stay) / n + 0.05 * trans]
+            p, pairs, _ = marginals(x @ weight, doc, n, trans, share)
+            g = [x.T @ ((p - truth) * share[:, None]) / n + decay * weight, (pairs - stay) / n + 0.05 * trans]
             for k, q in enumerate((weight, trans)):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * v[k] + 0.01 * g[k] ** 2
                 q -= rate * (m[k] / (1 - 0.9**r)) / (np.sqrt(v[k] / (1 - 0.99**r)) + 1e-8)

@@ -255,6 +255,19 @@ def test_style_tree(spark):
     assert style_tree.main_text(df.limit(0)).count() == 0
 
 
+def test_crf_transitions_are_the_gradient():
+    g = np.random.default_rng(8)
+    unary, trans = g.normal(size=(7, 2)), g.normal(size=(2, 2))
+    doc = np.array([0, 0, 0, 0, 1, 2, 2])
+    share = 1 / np.bincount(doc)
+    _, pairs, _ = line_crf.marginals(unary, doc, 3, trans, share[doc])
+    for a, b in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        up, down = (line_crf.marginals(unary, doc, 3, trans + s)[2] @ share for s in (step, -step))
+        assert np.isclose(pairs[a, b], (up - down) / 2e-5, atol=1e-6)
+
+
 ARTICLE = "<h1>Title</h1><p>First words.</p><p>More words.</p>"
 
 
