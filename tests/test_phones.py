@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqprep.functions import phones as P
+from seqprep.plans import all_queries
+from seqprep.plans.corpus_queries import PATTERNS
 
 rng = random.Random(11)
 WORDS = sorted({"".join(rng.choice("abcdeiorst") for _ in range(rng.randint(1, 9))) for _ in range(300)} | {"", "a+b", "über", "e" * 40})
@@ -98,3 +100,10 @@ def test_hyphens_by_automaton_and_join(spark, words):
     listed = spark.createDataFrame([("eeeee" * 8, ["eee", "ee"])], "word string, pieces array<string>")
     got = {r.word: r.pieces for r in P.hyphenate(words, parsed, listed).where(F.col("word").isNotNull()).collect()}
     assert got == {**want, "e" * 40: ["eee", "ee"]}
+
+
+def test_query_returns_every_word_with_its_pieces(spark, tmp_path):
+    texts = [(1, "Cabolatin notation, cat"), (2, "cat renting"), (3, None), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.word: r.pieces for r in all_queries()[0]["phones_hyphenate"](spark, str(tmp_path)).collect()}
+    assert got == {w: "-".join(broken(w, PATTERNS)) for w in ("cabolatin", "notation", "cat", "renting")}
