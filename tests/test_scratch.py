@@ -2,6 +2,8 @@
 
 import os
 
+import pyarrow.parquet as pq
+
 from seqprep.plans import all_queries
 from seqprep.scratch import release, scratch_folder, scratch_scope, written
 
@@ -45,3 +47,14 @@ def test_nested_scopes_and_failures(spark):
             pass
         assert outer.count() == 3
     assert tables(spark) == before
+
+
+def test_row_groups_bound_what_a_reader_decodes(spark):
+    # few distinct numbers pack well: 4,096 such rows are 400 MB once decoded
+    rows = spark.range(0, 2400, 1, 1).selectExpr("id", "transform(sequence(1, 25000), i -> cast(hash(i, id) % 64 as int)) as ids")
+    table = written(rows, "long")
+    files = [f.removeprefix("file:") for f in table.inputFiles()]
+    groups = [pq.ParquetFile(f).metadata for f in files]
+    most = max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups))
+    assert most < 1200 and table.count() == 2400
+    release(table)
