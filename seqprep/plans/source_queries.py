@@ -12,14 +12,23 @@ from seqprep.sources import accessors as AC
 from seqprep.sources import readers as R
 
 
+SESSIONS_PER_FILE = 50_000
+
+
 def place(spark, label: str) -> str:
     return scratch_path(spark, label)
 
 
+def file_per_key(rows: DataFrame, key: str):
+    """A writer of one file per key: the keys are dealt to all cores, and every task moves its own files into place."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, key).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key)
+
+
 def file_per_row(spark, folder: str, label: str, value) -> str:
     """One text file per supplier."""
     path = place(spark, label)
-    V.table(spark, folder, "supplier").select("s_suppkey", value.alias("value")).write.partitionBy("s_suppkey").text(path)
+    file_per_key(V.table(spark, folder, "supplier").select("s_suppkey", value.alias("value")), "s_suppkey").text(path)
     return path
 
 
@@ -47,7 +56,7 @@ def alignment(spark, folder):
         F.array(F.struct(F.concat(F.substring(w, 1, 1), F.lit("_B")).alias("phone"))).alias("phones"))
     docs = V.table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("file"), F.array_join(words, " ").alias("transcript"), F.transform(words, entry).alias("words"))
-    docs.write.partitionBy("file").json(path)
+    file_per_key(docs, "file").json(path)
     x = R.read_alignment(spark, path).select("transcript", F.posexplode("words").alias("idx", "w"))
     return x.select("transcript", "idx", "w.word", "w.case", F.col("w.phones")[0]["phone"].alias("phone"))
 
@@ -65,8 +74,9 @@ def sessions(spark, folder: str) -> dict[str, DataFrame]:
     strokes = F.filter(F.array(stroke(1), stroke(0)), lambda s: F.size(s["Point"]) > 0)
     # the files hold escaped texts, so "&" comes as an entity of its own
     text = F.array(*[F.struct(t.alias("_text")) for t in (F.concat(F.lit("<order> &amp; "), F.col("l_orderkey").cast("string")), F.lit("end"))])
+    # a file is read by one task, so it holds a bounded number of sessions
     items.select(F.struct(text.alias("TextLine")).alias("Transcription"), F.struct(strokes.alias("Stroke")).alias("StrokeSet")).write.format("xml").option(
-        "rowTag", "WhiteboardCaptureSession").option("rootTag", "Sessions").save(path)
+        "rowTag", "WhiteboardCaptureSession").option("rootTag", "Sessions").option("maxRecordsPerFile", SESSIONS_PER_FILE).save(path)
     return R.read_strokes_xml(spark, path)
 
 

@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 import tempfile
 
 import pytest
@@ -10,6 +12,7 @@ from seqprep.operators import filters as FL
 from seqprep.operators import joins as J
 from seqprep.operators import sampling as K
 from seqprep.operators.blocks import lookup_join
+from seqprep.plans import source_queries as SQ
 from seqprep.sources import accessors as AC
 from seqprep.sources import readers as R
 from seqprep.sources import writers as W
@@ -215,3 +218,34 @@ def test_lookup_join_by_rows_and_bytes(spark):
         assert sorted((r.k, r.v and len(r.v)) for r in out.collect()) == want
         assert ("_salt" not in out._jdf.queryExecution().optimizedPlan().toString()) == broadcast
     assert lookup_join(left, right.where("k > 9"), ["k"]).count() == 3
+
+
+def test_files_per_key_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 40, "x") for i in range(80)], "k long, value string").coalesce(1)
+    SQ.file_per_key(rows, "k").text(f"{tmp_path}/out")
+    files = glob.glob(f"{tmp_path}/out/k=*/*.txt")
+    assert len(files) == 40 and len({os.path.basename(f).split("-")[1] for f in files}) > 4
+    assert all(open(f).read() == "x\nx\n" for f in files)
+
+
+def test_session_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SQ, "SESSIONS_PER_FILE", 10)
+    items = [(k, n) for k in range(95) for n in (1, 2, 3)]
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = SQ.sessions(spark, str(tmp_path))
+    assert len(found["points"].inputFiles()) >= 10
+    assert found["points"].count() == 285 and found["lines"].count() == 190
+
+
+def test_records_are_paired_in_their_rows(spark):
+    case = ["success", "not-found-in-transcript", "not-found-in-audio", None]
+    schema = "id long, clean string, words array<struct<word string, case string, alignedWord string, phones array<struct<phone string>>>>"
+    record = lambda i, n: (i, " ".join(f"t{j}" for j in range(n)), [(f"w{j}", case[(j * j + n) % 4], None, [("A_B",)]) for j in range(n + 1)])
+    once = [record(i, i % 7) for i in range(20)] + [(90, None, []), (91, "a b", None)]
+    plain = FL.alignment_case_filter(spark.createDataFrame(once, schema))
+    assert "Window" not in plain._jdf.queryExecution().toString()
+    for rows in (once, once + [record(3, 5), record(4, 6), record(4, 6), record(None, 4)]):
+        records = spark.createDataFrame(rows, schema)
+        want = FL._shared_places(records).select("id", "place", "w.word", "transcript_word")
+        got = FL.alignment_case_filter(records).select("id", "place", "word", "transcript_word")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
