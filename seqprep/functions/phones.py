@@ -12,7 +12,9 @@ import re
 from collections.abc import Callable
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ CONTEXT = {
     ":": f"[{CONSONANTS}]*",
 }
 TABLE_BYTES = 64 << 20
+LINES = 512
 
 
 def parse_letter_rules(lines: DataFrame) -> DataFrame:
@@ -53,24 +56,48 @@ def table_bytes(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def _kernel(rules: DataFrame, many: bool) -> Callable[[Column], Column]:
-    """Phones of a word, or of each word of an array, by rules broadcast to the tasks."""
+def _shared(rules: DataFrame):
     rows = [(r["before"], r["center"], r["after"], r["phones"]) for r in sorted(rules.collect(), key=lambda r: r["rank"])]
-    shared = rules.sparkSession.sparkContext.broadcast(rows)
+    return rules.sparkSession.sparkContext.broadcast(rows)
 
-    kind = pa.list_(pa.list_(pa.string())) if many else pa.list_(pa.string())
 
-    @F.arrow_udf("array<array<string>>" if many else "array<string>")
+def _kernel(rules: DataFrame) -> Callable[[Column], Column]:
+    """Phones of a word by rules broadcast to the tasks."""
+    shared = _shared(rules)
+
+    @F.arrow_udf("array<string>")
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         centers = Centers(shared.value)
         for batch in batches:
             known: dict = {None: None}
             spell = lambda w: known[w] if w in known else known.setdefault(w, _walk(w, centers))
-            if many:
-                lists = [None if ws is None else [p for w in ws if (p := spell(w)) is not None] for ws in batch.to_pylist()]
-            else:
-                lists = [spell(w) for w in batch.to_pylist()]
-            yield pa.array(lists, kind)
+            yield pa.array([spell(w) for w in batch.to_pylist()], pa.list_(pa.string()))
+
+    return kernel
+
+
+def _line_kernel(rules: DataFrame) -> Callable[[Column], Column]:
+    """Phones of the words of an array as one text, words that no rules spell left out.
+
+    Only distinct words of a slice become Python values, whatever the length of the texts.
+    """
+    shared = _shared(rules)
+
+    def spelled(lists: pa.Array, centers: Centers) -> pa.Array:
+        words = lists.flatten().dictionary_encode()
+        distinct = [None if p is None else "&".join(p) for w in words.dictionary.to_pylist() for p in [_walk(w, centers)]]
+        texts = pa.array(distinct, pa.string()).take(words.indices)
+        kept = np.append(0, np.cumsum(texts.is_valid().to_numpy(zero_copy_only=False)))
+        ends = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), texts.drop_null()), "^")
+        return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string()))
+
+    @F.arrow_udf("string")
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        centers = Centers(shared.value)
+        for batch in batches:
+            parts = [spelled(batch.slice(at, LINES), centers) for at in range(0, len(batch), LINES)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return kernel
 
@@ -132,7 +159,7 @@ def rule_g2p(words: DataFrame, rules: DataFrame, word: str = "word", max_bytes:
     """
     distinct = words.select(word).distinct()
     if table_bytes(rules) <= max_bytes:
-        return distinct.withColumn("phones", _kernel(rules, False)(F.upper(F.col(word))))
+        return distinct.withColumn("phones", _kernel(rules)(F.upper(F.col(word))))
     return _joined_g2p(distinct, rules, word)
 
 
@@ -202,12 +229,12 @@ def rulebased_g2p(df: DataFrame, key: str, text: str, rules: DataFrame, out: str
 def rulebased_cleaner(rules: DataFrame) -> Callable[[Column], Column]:
     """A cleaner: letter-rule phones of every word joined by ``&``, words joined by ``^``, lower case.
 
-    The words of a text stay together as an array: no shuffle, and a frequent word is spelled once per Arrow batch.
+    The words of a text stay together as an array: no shuffle, and a frequent word is spelled once per slice of an Arrow batch.
     A null text has null phones. Pass it to ``text.clean`` by name: ``more={"rulebased_g2p_cleaners": rulebased_cleaner(rules)}``.
     A cleaner is a column, which cannot be joined, so its rules are broadcast: ``rulebased_g2p`` takes tables beyond that.
     """
-    kernel = _kernel(rules, True)
-    return lambda text: F.lower(F.array_join(F.transform(kernel(rule_line_words(text)), lambda p: F.array_join(p, "&")), "^"))
+    kernel = _line_kernel(rules)
+    return lambda text: F.lower(kernel(rule_line_words(text)))
 
 
 def parse_hyphen_patterns(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
