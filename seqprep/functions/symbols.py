@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +35,7 @@ VOCABULARY = {
     "pause": [PAD, END, *PHONES, *PAUSES],
 }
 END_ID = 1
+WORDS_KEPT = 100_000
 
 
 def vocabulary_kind(cleaner: str) -> str:
@@ -95,8 +103,50 @@ def phone_symbols(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, " "), word))
 
 
+def _word_ids(kind: str, symbols: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """Ids of a text's words and the end id; a task spells each distinct word about once."""
+    number = {s: i for i, s in reversed([*enumerate(VOCABULARY[kind])]) if i > 1}
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, bytes] = {}
+
+        def ids(word: str) -> bytes:
+            found = known.get(word)
+            if found is None:
+                if len(known) >= WORDS_KEPT:
+                    known.clear()
+                found = known[word] = bytes(number[s] for s in symbols(word) if s in number)
+            return found
+
+        for batch in batches:
+            lines = [b"" if t is None else b"".join([*map(ids, t.split(" ")), b"\x01"]) for t in (v.as_py() for v in batch)]
+            ends = np.append(0, np.cumsum([len(x) for x in lines])).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(lines), np.uint8).astype(np.int32))
+            null = batch.is_null() if batch.null_count else None
+            yield pa.ListArray.from_arrays(pa.array(ends), values, mask=null)
+
+    return encode
+
+
+def _phones_of(word: str) -> list[str]:
+    lead, trail = word[:1], word[-1:] if len(word) > 1 else ""
+    phones = [re.sub("([a-z])[!,:?.;]+", r"\1", p) for p in word.split("@")[1:]]
+    head = [lead] if lead and lead in "!,:?" else []
+    return [*head, *phones, *([trail] if trail and trail in "!,:?" and not head else []), " "]
+
+
+def _pauses_of(word: str) -> list[str]:
+    out = []
+    for p in word.split("@")[1:]:
+        out.append(re.sub("[1-4]", "", p))
+        out += next(([m] for m in PAUSES if m in p), [])
+    return out if re.search("[1-4]", word) else [*out, " "]
+
+
 def phones_to_ids(text: Column) -> Column:
-    return F.concat(symbol_ids(phone_symbols(text), "phone"), F.array(F.lit(END_ID)))
+    """Ids of ``phone_symbols`` and the end id."""
+    return _word_ids("phone", _phones_of)(text)
 
 
 def pause_symbols(text: Column) -> Column:
@@ -115,7 +165,26 @@ def pause_symbols(text: Column) -> Column:
 
 
 def pause_phones_to_ids(text: Column) -> Column:
-    return F.concat(symbol_ids(pause_symbols(text), "pause"), F.array(F.lit(END_ID)))
+    """Ids of ``pause_symbols`` and the end id."""
+    return _word_ids("pause", _pauses_of)(text)
+
+
+def lookup_ids(symbols: Column, kind: str) -> Column:
+    """``symbol_ids`` of a long array, looked up by hash for a whole batch at once (not inside a lambda)."""
+    table = VOCABULARY[kind]
+
+    @F.arrow_udf("array<int>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = pa.array(table)
+        for batch in batches:
+            at = pc.index_in(batch.flatten(), known)
+            kept = pc.fill_null(pc.greater(at, END_ID), False)
+            sums = np.append(0, np.cumsum(kept.to_numpy(zero_copy_only=False)))
+            ends = np.append(0, np.cumsum(pc.fill_null(batch.value_lengths(), 0).to_numpy()))
+            null = batch.is_null() if batch.null_count else None
+            yield pa.ListArray.from_arrays(pa.array(sums[ends].astype(np.int32)), at.filter(kept), mask=null)
+
+    return look(symbols)
 
 
 def _shown(kind: str) -> Column:

@@ -30,7 +30,7 @@ def prune(df: DataFrame, flagged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def symbol_lookup(symbols: Column, kind: str) -> Column:
-    return S.symbol_ids(symbols, kind)
+    return S.lookup_ids(symbols, kind)
 
 
 def shared_ids(train: DataFrame, valid: DataFrame, ids: list[str]) -> DataFrame:

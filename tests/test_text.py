@@ -4,6 +4,7 @@ import pytest
 from seqprep.functions import phones as P
 from seqprep.functions import symbols as S
 from seqprep.functions import text as T
+from seqprep.operators import joins as J
 from seqprep.operators import mix as MX
 from seqprep.plans.corpus_queries import letter_rules, lexicon
 
@@ -123,3 +124,33 @@ def test_mix_modes(spark):
         assert len(row["ids"]) == len(row["mask"]) and row["ids"][-1] == 1
     with pytest.raises(ValueError):
         MX.mix_representations(chunks, "id", "other")
+
+
+ODD = ["", " ", "@hh@ay! @dh@er.", "!@aa", "?", "@a!b@zh,,@ ", "é@aa1@b23 x@~@_", "@aa  @ch1!", None, "@hh@ay! @hh@ay!"]
+
+
+@pytest.mark.parametrize("encode, symbols, kind", [
+    (S.phones_to_ids, S.phone_symbols, "phone"), (S.pause_phones_to_ids, S.pause_symbols, "pause")])
+def test_ids_of_texts_word_by_word(spark, encode, symbols, kind):
+    rows = spark.createDataFrame([(t,) for t in ODD * 3], "t string").coalesce(1)
+    got = rows.select(encode(F.col("t")).alias("got"), F.concat(S.symbol_ids(symbols(F.col("t")), kind), F.array(F.lit(1))).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    assert "transform(" not in rows.select(encode(F.col("t")))._jdf.queryExecution().toString()
+
+
+def test_symbol_lookup_of_batches(spark):
+    lists = [["a", "aa", None, "~", "_", "zz", " "], [], None, ["z"], ["é", "!"]]
+    rows = spark.createDataFrame([(s,) for s in lists], "s array<string>").coalesce(1)
+    for kind in S.VOCABULARY:
+        got = rows.select(J.symbol_lookup(F.col("s"), kind).alias("got"), S.symbol_ids(F.col("s"), kind).alias("want")).collect()
+        assert all(r.got == r.want for r in got)
+    assert "array_position" not in rows.select(J.symbol_lookup(F.col("s"), "char"))._jdf.queryExecution().toString()
+
+
+def test_lines_of_letter_rules_leave_python_as_texts(spark):
+    spell = P.rulebased_cleaner(letter_rules(spark))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat", "", None, "x 9 b", "?", "9"] * 200)], "i int, t string").coalesce(1)
+    out = rows.select("i", spell(F.col("t")).alias("p"))
+    assert "array<array<string>>" not in out._jdf.queryExecution().toString() and "array_join" not in out._jdf.queryExecution().toString()
+    got = [r.p for r in out.orderBy("i").collect()]
+    assert got == ["th&eh^k&ae&t", "", None, "k s^b", "", ""] * 200
