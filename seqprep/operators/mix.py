@@ -7,8 +7,14 @@ is decided per text from md5-ordered slots, so the choice is the same in every e
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from seqprep.functions import phones as P
 from seqprep.functions import symbols as S
@@ -16,6 +22,7 @@ from seqprep.functions import text as T
 from seqprep.scratch import written
 
 MARKS = "!?.,;:"
+MIXED_AT_ONCE = 1 << 21
 MODES = ("chars_only", "phones_only", "blended_pref", "blended", "both")
 
 
@@ -75,38 +82,112 @@ def mix_representations(chunks: DataFrame, key: str, mode: str = "blended", seed
     """(key, ids, mask) from word_chunks; mask 0 is a character id, 1 a phone id. ``both`` gives (key, ids, phone_ids)."""
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    rows = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("idx", "chars", "phones"))).alias("_w"))
-    space = S.VOCABULARY["char"].index(" ")
-    phone_space = S.VOCABULARY["phone"].index(" ")
-    none = F.array().cast("array<int>")
-
-    def joined(parts: Column, sep: int) -> Column:
-        spaced = F.transform(parts, lambda p, i: F.concat(F.when(i > 0, F.array(F.lit(sep))).otherwise(none), p))
-        return F.flatten(spaced)
-
-    if mode == "both":
-        return rows.select(key, joined(F.col("_w.chars"), space).alias("ids"), joined(F.col("_w.phones"), phone_space).alias("phone_ids"))
-
-    n = F.size("_w")
-    zeros, ones = F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), n)
-    flags = {
-        "chars_only": zeros,
-        "phones_only": ones,
-        "blended_pref": F.transform("_w", lambda w: (F.size(w["phones"]) > 0).cast("int")),
-        "blended": blend_flags(n, seed, F.col(key)),
-    }[mode]
+    space, phone_space = S.VOCABULARY["char"].index(" "), S.VOCABULARY["phone"].index(" ")
+    parts = chunks.select(F.struct(key).alias("_key"), "idx", "chars", "phones").mapInArrow(_packed, _packed_schema(chunks, key))
+    piece = F.struct(*[F.col(c).alias(c) for c in PACKED])
+    rows = parts.groupBy(F.col(f"_key.{key}").alias(key)).agg(F.collect_list(piece).alias("_w"), F.sum(F.octet_length("idx") / 4).cast("int").alias("_n"))
     forced = char_space or mode != "phones_only"
-    sep, sep_mask = (space, 0) if forced else (phone_space, 1)
-    # a word without phones stays characters; its mask still tells the draw
-    words = F.zip_with("_w", "_flags", lambda w, f: F.when((F.size(w["phones"]) == 0) | (f == 0), w["chars"]).otherwise(w["phones"]))
-    x = rows.withColumn("_flags", flags).withColumn("_words", words)
-    masks = F.zip_with("_words", "_flags", lambda p, f: F.array_repeat(f, F.size(p)))
-    end_mask = 1 if mode == "phones_only" else 0
-    return x.select(
-        key,
-        F.concat(joined(F.col("_words"), sep), F.array(F.lit(S.END_ID))).alias("ids"),
-        F.concat(joined(masks, sep_mask), F.array(F.lit(end_mask))).alias("mask"),
-    )
+    if mode == "blended":
+        rows = rows.withColumn("_flags", blend_flags(F.col("_n"), seed, F.col(key)))
+    rows = rows.drop("_n")
+    names = ("ids", "phone_ids") if mode == "both" else ("ids", "mask")
+    return rows.mapInArrow(
+        _mixer(key, mode, names, space, phone_space, forced), ST.StructType([rows.schema[key], *[ST.StructField(n, ST.ArrayType(ST.IntegerType())) for n in names]]))
+
+
+PACKED = ("idx", "n_chars", "n_phones", "chars", "phones")
+
+
+def _packed_schema(chunks: DataFrame, key: str) -> ST.StructType:
+    return ST.StructType([ST.StructField("_key", ST.StructType([chunks.schema[key]])), *[ST.StructField(c, ST.BinaryType()) for c in PACKED]])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and flat values of an array of lists without nulls."""
+    if column.null_count:
+        raise ValueError("a word has no list of ids")
+    return column.value_lengths().to_numpy().astype(np.int32), column.flatten().to_numpy().astype(np.uint8)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive words of a text as one row: their numbers, sizes and ids as bytes, as ids of all vocabularies are below 256."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("_key")
+        codes = pc.fill_null(keys.field(0).dictionary_encode(null_encoding="encode").indices, -1).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
+        idx = batch.column("idx").to_numpy().astype(np.int32)
+        (n_chars, chars), (n_phones, phones) = _lists(batch.column("chars")), _lists(batch.column("phones"))
+        in_chars, in_phones = np.append(0, np.cumsum(n_chars)), np.append(0, np.cumsum(n_phones))
+        cut = lambda values, at: pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(cuts[:-1])), cut(idx, cuts), cut(n_chars, cuts), cut(n_phones, cuts), cut(chars, in_chars[cuts]), cut(phones, in_phones[cuts])],
+            names=["_key", *PACKED])
+
+
+def _picked(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches values[start : start + size] one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _spaced(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, space: int) -> np.ndarray:
+    """As ``_picked``, with ``space`` between two stretches."""
+    with_space = sizes + 1
+    out = np.full(int(with_space.sum()), space, np.int32)
+    ahead = np.cumsum(with_space) - with_space
+    out[np.repeat(ahead - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = _picked(values, starts, sizes)
+    return out[:-1]
+
+
+def _mixer(key: str, mode: str, names: tuple[str, str], space: int, phone_space: int, forced: bool):
+    def one(pieces: list[dict], flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        join = lambda c, kind: np.frombuffer(b"".join(p[c] for p in pieces), kind)
+        idx, n_chars, n_phones = (join(c, np.int32).astype(np.int64) for c in PACKED[:3])
+        chars, phones = join("chars", np.uint8), join("phones", np.uint8)
+        at_chars, at_phones = np.cumsum(n_chars) - n_chars, np.cumsum(n_phones) - n_phones
+        order = np.argsort(idx, kind="stable")
+        if len(idx) > 1 and (np.diff(idx[order]) == 0).any():
+            # rows of one key share word numbers: by their ids then
+            ids = lambda i: (chars[at_chars[i] : at_chars[i] + n_chars[i]].tobytes(), phones[at_phones[i] : at_phones[i] + n_phones[i]].tobytes())
+            order = np.array(sorted(range(len(idx)), key=lambda i: (idx[i], *ids(i))))
+        n_chars, n_phones, at_chars, at_phones = n_chars[order], n_phones[order], at_chars[order], at_phones[order]
+        if mode == "both":
+            return _spaced(chars, at_chars, n_chars, space), _spaced(phones, at_phones, n_phones, phone_space)
+        n = len(idx)
+        if mode == "blended_pref":
+            flags = n_phones > 0
+        elif mode != "blended":
+            flags = np.full(n, mode == "phones_only")
+        flags = flags.astype(np.int64)
+        # a word without phones stays characters; its mask still tells the draw
+        spelled = (n_phones == 0) | (flags == 0)
+        both = np.concatenate([chars, phones])
+        sizes, starts = np.where(spelled, n_chars, n_phones), np.where(spelled, at_chars, at_phones + len(chars))
+        sep, sep_mask = (space, 0) if forced else (phone_space, 1)
+        ids = _spaced(both, starts, sizes, sep)
+        mask = _spaced(np.repeat(flags, sizes), np.cumsum(sizes) - sizes, sizes, sep_mask)
+        return np.append(ids, S.END_ID), np.append(mask, 1 if mode == "phones_only" else 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = batch.column("_flags") if mode == "blended" else None
+            first, left, right, size = 0, [], [], 0
+            for i in range(batch.num_rows):
+                a, b = one(batch.column("_w")[i].as_py(), None if drawn is None else drawn[i].values.to_numpy())
+                left.append(a), right.append(b)
+                size += len(a) + len(b)
+                if size > MIXED_AT_ONCE or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, i + 1 - first), *map(_arrays, (left, right))], names=[key, *names])
+                    first, left, right, size = i + 1, [], [], 0
+
+    return work
+
+
+def _arrays(lists: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(np.int32)))
 
 
 def pronounce(

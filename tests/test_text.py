@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 import pytest
 
@@ -154,3 +156,32 @@ def test_lines_of_letter_rules_leave_python_as_texts(spark):
     assert "array<array<string>>" not in out._jdf.queryExecution().toString() and "array_join" not in out._jdf.queryExecution().toString()
     got = [r.p for r in out.orderBy("i").collect()]
     assert got == ["th&eh^k&ae&t", "", None, "k s^b", "", ""] * 200
+
+
+def test_mixes_of_words_in_any_order(spark):
+    """Words of many texts, far apart and with shared numbers, against plain lists."""
+    draw = random.Random(3)
+    rows = [(k, i, [draw.randint(2, 36) for _ in range(draw.randint(0, 4))], [draw.randint(2, 45) for _ in range(draw.choice([0, 0, 2, 3]))])
+            for k in [*range(30), None] for i in [*range(k or 4), *([1, 1] if k == 7 else [])]]
+    draw.shuffle(rows)
+    chunks = spark.createDataFrame(rows, "id long, idx int, chars array<int>, phones array<int>").repartition(5)
+    texts = {}
+    for k, i, c, p in sorted(rows, key=lambda r: r[1:]):
+        texts.setdefault(k, []).append((c, p))
+
+    def joined(parts, sep):
+        return [v for j, p in enumerate(parts) for v in ([sep] if j else []) + p]
+
+    for mode in MX.MODES:
+        out = MX.mix_representations(chunks, "id", mode, 5)
+        assert "sort_array" not in out._jdf.queryExecution().toString() or mode == "blended"
+        got = {r[0]: (r[1], r[2]) for r in out.collect()}
+        assert set(got) == set(texts)
+        flags = {r[0]: r[1] for r in spark.createDataFrame([(k, len(w)) for k, w in texts.items()], "id long, n int").select("id", MX.blend_flags(F.col("n"), 5, F.col("id"))).collect()}
+        for k, words in texts.items():
+            if mode == "both":
+                assert got[k] == (joined([c for c, _ in words], 35), joined([p for _, p in words], 41))
+                continue
+            f = {"chars_only": [0] * len(words), "phones_only": [1] * len(words), "blended_pref": [int(bool(p)) for _, p in words], "blended": flags[k]}[mode]
+            parts = [p if p and g else c for (c, p), g in zip(words, f)]
+            assert got[k] == (joined(parts, 35) + [1], joined([[g] * len(x) for x, g in zip(parts, f)], 0) + [int(mode == "phones_only")])
