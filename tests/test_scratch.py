@@ -1,11 +1,13 @@
 """Intermediate tables go when their work is done."""
 
 import os
+import time
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from seqprep.plans import all_queries
-from seqprep.scratch import release, scratch_folder, scratch_scope, written
+from seqprep.scratch import DROP_SHUFFLES, release, scratch_folder, scratch_scope, written
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -58,3 +60,21 @@ def test_row_groups_bound_what_a_reader_decodes(spark):
     most = max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups))
     assert most < 1200 and table.count() == 2400
     release(table)
+
+
+def shuffles(spark):
+    """Shuffle files on this machine: the driver's and, in a local session, the tasks'."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    return {str(f) for f in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before, named = shuffles(spark), spark.conf.get(DROP_SHUFFLES, None)
+    table = written(spark.range(20000).repartition(4, "id").groupBy((F.col("id") % 999).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not shuffles(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles(spark) - before
+    assert table.count() == 999 and spark.conf.get(DROP_SHUFFLES, None) == named
+    release(table)
