@@ -462,3 +462,36 @@ def test_pipeline_returns_packed_ids(spark):
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() <= 1024
+
+
+def test_runs_of_frequent_windows_know_their_first_one(spark, monkeypatch):
+    """A run over many parts is linked in its parts, whatever the cuts; only short runs at a cut are handed on."""
+    rng = np.random.default_rng(11)
+    rows = [(int(k), int(r), (100 << 32) | 60 + int(r) % 3, 160 << 4 | 1, int(r) % 5) for k, n in ((5, 4000), (-9, 700), (8, 2)) for r in rng.choice(1 << 40, n, replace=False)]
+    rows += [(int(k), int(r), 100 << 32, 150 << 4, 0) for k, r in zip(rng.integers(-(1 << 40), 1 << 40, 3000), rng.choice(1 << 40, 3000))]
+    rows += rows[:300]  # copies of texts
+    found = spark.createDataFrame(rows, compact_windows.WINDOWS)
+    tables, write = [], compact_windows.written
+    monkeypatch.setattr(compact_windows, "written", lambda df, *a: tables.append(write(df, *a)) or tables[-1])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {tuple(r) for r in compact_windows._stars(found, 46, "links", True)[0].collect()}
+        again = {tuple(r) for r in tables[0].where("kind in (2, 3)").drop("kind").collect()}
+        assert tables[0].where("kind = 2").count() < 300
+        monkeypatch.setattr(compact_windows, "_heads", lambda df: {})
+        longer = {tuple(r) for r in compact_windows._stars(found, 46, "links", True)[0].collect()}
+        assert tables[1].where("kind = 2").count() > 1000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    first = {}
+    for k, r, *_ in sorted(rows):
+        first.setdefault(k, r)
+    # a link to the text before may be missing at a cut, and cuts are sampled
+    to_first = lambda links: {x for x in links if x[0] in first.values()}
+    pairs = {(a, b) for a, b, *_ in to_first(got)}
+    assert to_first(got) == to_first(longer)
+    assert all(first[k] == r or (first[k], r) in pairs for k, r, *_ in rows)
+    assert {r for r in rows if r[0] in (5, -9)} <= again
