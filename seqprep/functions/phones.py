@@ -56,21 +56,21 @@ def table_bytes(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def _shared(rules: DataFrame):
+def shared_rules(rules: DataFrame):
     rows = [(r["before"], r["center"], r["after"], r["phones"]) for r in sorted(rules.collect(), key=lambda r: r["rank"])]
     return rules.sparkSession.sparkContext.broadcast(rows)
 
 
 def _kernel(rules: DataFrame) -> Callable[[Column], Column]:
     """Phones of a word by rules broadcast to the tasks."""
-    shared = _shared(rules)
+    shared = shared_rules(rules)
 
     @F.arrow_udf("array<string>")
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         centers = Centers(shared.value)
         for batch in batches:
             known: dict = {None: None}
-            spell = lambda w: known[w] if w in known else known.setdefault(w, _walk(w, centers))
+            spell = lambda w: known[w] if w in known else known.setdefault(w, walk(w, centers))
             yield pa.array([spell(w) for w in batch.to_pylist()], pa.list_(pa.string()))
 
     return kernel
@@ -81,11 +81,11 @@ def _line_kernel(rules: DataFrame) -> Callable[[Column], Column]:
 
     Only distinct words of a slice become Python values, whatever the length of the texts.
     """
-    shared = _shared(rules)
+    shared = shared_rules(rules)
 
     def spelled(lists: pa.Array, centers: Centers) -> pa.Array:
         words = lists.flatten().dictionary_encode()
-        distinct = [None if p is None else "&".join(p) for w in words.dictionary.to_pylist() for p in [_walk(w, centers)]]
+        distinct = [None if p is None else "&".join(p) for w in words.dictionary.to_pylist() for p in [walk(w, centers)]]
         texts = pa.array(distinct, pa.string()).take(words.indices)
         kept = np.append(0, np.cumsum(texts.is_valid().to_numpy(zero_copy_only=False)))
         ends = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
@@ -132,7 +132,7 @@ class Centers:
         return self.seen[letters]
 
 
-def _walk(word: str, centers: Centers) -> list | None:
+def walk(word: str, centers: Centers) -> list | None:
     out, at, size = [], 0, len(word)
     while at < size:
         for _, n, loose, before, after, before_at, after_at, phones in centers.at(word[at : at + centers.longest]):

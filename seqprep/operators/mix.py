@@ -7,6 +7,7 @@ is decided per text from md5-ordered slots, so the choice is the same in every e
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ from seqprep.functions import text as T
 from seqprep.scratch import written
 
 MARKS = "!?.,;:"
+# marks that a spelled text keeps, by rank, and what a lookup leaves out of a word
+PAUSES = ["!", ",", ":", "?", "."]
+UNSPOKEN = dict.fromkeys(map(ord, ',;"[].!?'))
 MIXED_AT_ONCE = 1 << 21
 MODES = ("chars_only", "phones_only", "blended_pref", "blended", "both")
 
@@ -191,21 +195,95 @@ def _arrays(lists: list[np.ndarray]) -> pa.Array:
 
 
 def pronounce(
-    df: DataFrame, key: str, text: str, lexicon: DataFrame, rules: DataFrame | None = None, pause_marks: bool = True
+    df: DataFrame, key: str, text: str, lexicon: DataFrame, rules: DataFrame | None = None, pause_marks: bool = True, max_bytes: int = P.TABLE_BYTES
 ) -> DataFrame:
     """(key, phones): ``@hh@ay @dh@er ~``. Lexicon or letter rules per word, one mark kept per word, then the final mark.
 
-    With ``pause_marks`` every mark is written as a space, else as itself; ``~`` closes a text that has any mark.
+    With ``pause_marks`` every mark is written as a space, else as itself; ``~`` closes a text that has any mark. Words
+    are looked up inside their text; only rows whose key comes more than once, which make one text together, are taken
+    apart, and all rows where the lexicon or the rules have more than ``max_bytes`` or a word of the lexicon comes twice.
     """
-    marks = ["!", ",", ":", "?", "."]
     x = df.select(key, F.col(text).alias("_raw"), T.english_cleaners(F.col(text)).alias("_clean"))
     last = F.substring("_raw", -1, 1)
-    final = F.coalesce(*[F.when(F.col("_raw").contains(m), F.lit(m)) for m in reversed(marks)])
+    final = F.coalesce(*[F.when(F.col("_raw").contains(m), F.lit(m)) for m in reversed(PAUSES)])
     x = x.withColumn("_end", F.when(final == last, last).otherwise(" "))
+    spoken = P.first_pronunciation(lexicon)
+    tables = [spoken] if rules is None else [spoken, rules]
+    if any(P.table_bytes(t) > max_bytes for t in tables) or not spoken.groupBy("word").count().where("word is not null and count > 1").isEmpty():
+        return _joined_pronounce(x, key, spoken, rules, pause_marks)
+    name = F.to_json(F.struct(key))
+    repeated = written(df.groupBy(name.alias("_name")).agg(F.count("*").alias("_n")).where("_n > 1").select("_name"), "repeated")
+    if repeated.isEmpty():
+        return _texts_pronounce(x, key, spoken, rules, pause_marks)
+    x = x.withColumn("_name", name)
+    alone, shared = (P.lookup_join(x, repeated, ["_name"], how).drop("_name") for how in ("left_anti", "left_semi"))
+    return _texts_pronounce(alone, key, spoken, rules, pause_marks).unionByName(_joined_pronounce(shared, key, spoken, rules, pause_marks))
+
+
+def _texts_pronounce(x: DataFrame, key: str, spoken: DataFrame, rules: DataFrame | None, pause_marks: bool) -> DataFrame:
+    """``pronounce`` with a broadcast lexicon and rules; the words of a text never leave its row."""
+    any_mark = F.col("_clean").rlike("[!,:?.]")
+    x = x.select(key, "_end", any_mark.alias("_any"), F.split(F.trim("_clean"), " ").alias("_words"))
+    x = x.mapInArrow(_spoken_kernel(spoken, rules, pause_marks), ST.StructType([*x.schema.fields[:3], ST.StructField("_joined", ST.StringType())]))
+    return x.select(key, F.when(F.col("_any"), F.concat("_joined", _closing(pause_marks), F.lit("~"))).otherwise(F.col("_joined")).alias("phones"))
+
+
+def _spoken_kernel(spoken: DataFrame, rules: DataFrame | None, pause_marks: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, _end, _any, _words) with the phones of their words as one text instead of them: every word but the last
+    with its mark, or with a space in a text without marks. Rows without phones go. A task looks each distinct word up once."""
+    lexicon = spoken.sparkSession.sparkContext.broadcast(dict(tuple(r) for r in spoken.where("word is not null and phones is not null").collect()))
+    # a rule's phones are spelled here, as a word's are its rules' one after another
+    table = None if rules is None else P.shared_rules(rules.withColumn("phones", rule_phones(F.array("phones"))))
+
+    def words_of(lists: pa.Array, marked: pa.Array, say: Callable) -> pa.Array:
+        words = lists.flatten().dictionary_encode()
+        said = [say(w) for w in words.dictionary.to_pylist()]
+        forms = pa.array([p for p, _ in said] + [None if p is None else p + m for p, m in said] + [None if p is None else p + " " for p, _ in said], pa.string())
+        number = words.indices.to_numpy()
+        has = np.array([p is not None for p, _ in said], bool)[number] if len(said) else np.zeros(0, bool)
+        ends = np.append(0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy()))
+        kept = np.append(0, np.cumsum(has))[ends]
+        form = np.repeat(np.where(pc.fill_null(marked, False).to_numpy(zero_copy_only=False), 1, 2), np.diff(kept))
+        form[kept[1:][np.diff(kept) > 0] - 1] = 0
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), forms.take(pa.array(number[has] + form * len(said)))), "")
+        return pc.if_else(pa.array(np.diff(kept) > 0), joined, pa.scalar(None, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = None if table is None else P.Centers(table.value)
+        known: dict = {}
+
+        def say(word: str) -> tuple[str | None, str]:
+            if word not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                bare = word.translate(UNSPOKEN)
+                phones = lexicon.value.get(bare) if bare else None
+                if phones is None and bare and centers is not None:
+                    parts = P.walk(bare.upper(), centers)
+                    phones = None if parts is None else "".join(parts)
+                known[word] = phones, next((" " if pause_marks else m for m in PAUSES if m in word), " ")
+            return known[word]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, P.LINES):
+                part = batch.slice(at, P.LINES)
+                joined = words_of(part.column(3), part.column(2), say)
+                columns = [*part.columns[:3], joined]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:3], "_joined"]).filter(joined.is_valid())
+
+    return run
+
+
+def _closing(pause_marks: bool) -> Column:
+    return F.when(F.col("_end") == " ", " ").otherwise(F.lit(" ") if pause_marks else F.col("_end"))
+
+
+def _joined_pronounce(x: DataFrame, key: str, spoken: DataFrame, rules: DataFrame | None, pause_marks: bool) -> DataFrame:
+    """``pronounce`` by joins of the words, which come together again by their key."""
     any_mark = F.col("_clean").rlike("[!,:?.]")
     words = x.select(key, "_end", any_mark.alias("_any"), F.posexplode(F.split(F.trim("_clean"), " ")).alias("idx", "word"))
     words = words.withColumn("bare", T.strip_punctuation_for_lookup(F.col("word"))).where("bare <> ''")
-    found = P.lookup_join(words, P.first_pronunciation(lexicon).withColumnRenamed("word", "bare"), ["bare"])
+    found = P.lookup_join(words, spoken.withColumnRenamed("word", "bare"), ["bare"])
     if rules is not None:
         # cleaned, split and looked up once: the unknown words come from the written rows
         found = written(found, "words")
@@ -214,7 +292,7 @@ def pronounce(
         spelled = written(spelled, "spelled")
         found = P.lookup_join(found, spelled, ["bare"]).withColumn("phones", F.coalesce("phones", "_rule"))
     found = found.where("phones is not null")
-    mark = F.coalesce(*[F.when(F.col("word").contains(m), F.lit(" " if pause_marks else m)) for m in marks], F.lit(" "))
+    mark = F.coalesce(*[F.when(F.col("word").contains(m), F.lit(" " if pause_marks else m)) for m in PAUSES], F.lit(" "))
     rows = found.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("idx", "phones", mark.alias("mark")))).alias("_w"),
         F.first("_end").alias("_end"), F.first("_any").alias("_any"),
@@ -223,6 +301,5 @@ def pronounce(
     marked = F.array_join(
         F.transform("_w", lambda w, i: F.concat(w["phones"], F.when(i < n - 1, w["mark"]).otherwise(""))), ""
     )
-    end = F.when(F.col("_end") == " ", " ").otherwise(F.lit(" ") if pause_marks else F.col("_end"))
     plain = F.array_join(F.transform("_w", lambda w: w["phones"]), " ")
-    return rows.select(key, F.when(F.col("_any"), F.concat(marked, end, F.lit("~"))).otherwise(plain).alias("phones"))
+    return rows.select(key, F.when(F.col("_any"), F.concat(marked, _closing(pause_marks), F.lit("~"))).otherwise(plain).alias("phones"))

@@ -112,6 +112,28 @@ def test_pronounce(spark):
     assert paused[1].endswith(" ~") and "," not in paused[1]
 
 
+def test_pronounce_inside_a_text_as_by_joins(spark, monkeypatch):
+    words = ["the", "The", "cats,", "house.", "x-ray", "...", "don't", "qq!", "7", "of", "thing?", "a:b", "É", "\"in\"", "ß", ""]
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 40]))) for _ in range(60)] + [None, "", "  ", "!", "12.", "the", "the cats? "]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the house."), (5, "of cats"), (5, "the, 3 cats")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lex = lexicon(spark)
+    alone = df.where("id is null or id <> 5")
+    for rules, marks in ((letter_rules(spark), False), (None, True)):
+        one, other = (sorted((str(r.id), r.phones) for r in MX.pronounce(alone, "id", "text", lex, rules, marks, size).collect()) for size in (1 << 20, 0))
+        assert one == other and len(one) > 20
+    # rows with one key make one text together, as before
+    pair = MX.pronounce(df.where("id = 5"), "id", "text", lex).collect()
+    assert len(pair) == 1 and "@ah@v" in pair[0].phones and "@dh@ah" in pair[0].phones
+    nulls = spark.createDataFrame([(None, "the cats"), (None, "the house"), (1, "cats")], "id long, text string")
+    got = {r.id: r.phones for r in MX.pronounce(nulls, "id", "text", lex, letter_rules(spark)).collect()}
+    assert got[1] == "@k@ae@t@s" and got[None].count("@dh@ah") == 2 and len(got) == 2
+    # words of rows with a key of their own are never taken apart
+    monkeypatch.setattr(MX, "_joined_pronounce", None)
+    assert MX.pronounce(alone, "id", "text", lex).count() == len(one)
+
+
 def test_mix_modes(spark):
     df = spark.createDataFrame([(1, "the cat is on", "the cat is on"), (2, "cat", "cat")], "id long, clean string, raw string")
     chunks = MX.word_chunks(MX.text_words(df, "id", "clean", "raw"), lexicon(spark), "id").cache()
