@@ -495,3 +495,52 @@ def test_runs_of_frequent_windows_know_their_first_one(spark, monkeypatch):
     assert to_first(got) == to_first(longer)
     assert all(first[k] == r or (first[k], r) in pairs for k, r, *_ in rows)
     assert {r for r in rows if r[0] in (5, -9)} <= again
+
+
+def test_candidates_of_pairs_that_span_batches(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(a), int(a + 1 + d), int(x << 32 | x + 60), int(y << 32 | y + 60), int(f)) for a, d, x, y, f in zip(*(r.integers(0, m, 400) for m in (3, 2, 900, 900, 4)))]
+    linked = spark.createDataFrame(rows + rows[:50], compact_windows.LINKS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for need in (1, 2):
+                found = compact_windows.candidates(linked, need)
+                # links reach the task as rows; nothing collects them in the JVM
+                assert "collect_set" not in found._jdf.queryExecution().toString()
+                got = {(c.a, c.b): [tuple(s) for s in c.spans] for c in found.collect()}
+                want = {}
+                for a, b in sorted({x[:2] for x in rows}):
+                    groups = []
+                    for x in sorted({x[2:] for x in rows if x[:2] == (a, b)}, key=lambda x: x[1]):
+                        (a0, a1), (b0, b1) = (divmod(v, 1 << 32) for v in x[:2])
+                        if groups and b0 <= groups[-1][0][3]:
+                            s, hit = groups[-1]
+                            groups[-1] = ((min(s[0], a0), max(s[1], a1), s[2], max(s[3], b1)), hit | {x[2]})
+                        else:
+                            groups.append(((a0, a1, b0, b1), {x[2]}))
+                    if kept := [s for s, hit in groups if len(hit) >= need]:
+                        want[a, b] = kept
+                assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_same_passages_with_repeated_shingles():
+    line, other = np.arange(100, 160, dtype=np.uint64), np.arange(500, 530, dtype=np.uint64)
+    one = np.concatenate([line, other, line])
+    # a repeated passage is matched where it comes first, and a run goes on where it is
+    assert compact_windows.same_passages(one, line, 46, 0.8) == [(0, 59, 0, 59, 1.0)]
+    assert compact_windows.same_passages(one, np.concatenate([other, line]), 46, 0.8) == [(60, 149, 0, 89, 1.0)]
+    assert compact_windows.same_passages(line, np.concatenate([line, other, line]), 46, 0.8) == [(0, 59, 0, 59, 1.0), (0, 59, 90, 149, 1.0)]
+    assert compact_windows.same_passages(line, other, 46, 0.8) == compact_windows.same_passages(line[:0], line, 46, 0.8) == []
+
+
+def test_copies_of_short_texts_are_no_passages(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (49, 50)] + ["", " \t\n", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(t for t in texts for _ in range(2))], "doc_id long, text string")
+    found = compact_windows.duplicate_passages(docs)
+    # words are counted without a regular expression over every text
+    assert "split(" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.collect()] == [(3, 0, 50, 2, 0, 50, 1.0)]
