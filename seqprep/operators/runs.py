@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from seqprep.operators.blocks import spread
 
-BATCH_BYTES = 8 << 20
+# a worker holds several times this much: the parts, the joined columns and their places
+BATCH_BYTES = 1 << 20
 
 
 def value_runs(
@@ -97,6 +98,8 @@ def map_runs(rows: DataFrame, keys: list[str], columns: str, kernel: Callable[[d
                     taken, parts, size = [], [], 0
             if parts:
                 yield flush()
+            # nothing of this batch is kept while the next one is read
+            batch = plain = numbers = row = got = taken = parts = None
 
     return rows.mapInArrow(work, out)
 

@@ -179,3 +179,20 @@ def test_empty_signals(spark):
     for df in (W.rolling_mean(none, U, 3), W.rolling_window(none, U, 3), W.frame(none, U, 4), W.downsample(none, U, 2, [1.0]), W.best_lag(none, none, U, 4),
                D.spectrum(none, U, 4), D.inverse_spectrum(D.spectrum(none, U, 4), U, 4), W.voice_activity(D.activity_magnitudes(none, U, 4), U, 4)):
         assert df.count() == 0
+
+
+def test_a_task_holds_few_results_of_runs(spark):
+    rows, kept = spark.range(0, 100, 1, 1).select(F.col("id").alias("utt"), F.col("id").alias("n")), []
+
+    def kernel(row):
+        import weakref
+
+        # bytes of results that wait to leave the task
+        held = sum(x.nbytes for x in (ref() for ref in kept) if x is not None)
+        out = np.full(1 << 14, held), np.full(1 << 14, row["n"])
+        kept.extend(weakref.ref(x) for x in out)
+        return out
+
+    got = R.map_runs(rows, U, "held long, n long", kernel).groupBy("utt").agg(F.max("held").alias("held"), F.sum("n").alias("n")).collect()
+    assert {r.utt: r.n for r in got} == {i: i << 14 for i in range(100)}
+    assert 0 < max(r.held for r in got) <= 2 << 20
