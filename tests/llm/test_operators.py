@@ -544,3 +544,60 @@ def test_copies_of_short_texts_are_no_passages(spark):
     # words are counted without a regular expression over every text
     assert "split(" not in found._jdf.queryExecution().toString()
     assert [tuple(r) for r in found.collect()] == [(3, 0, 50, 2, 0, 50, 1.0)]
+
+
+@pytest.mark.parametrize("group", [150, 1000])
+def test_every_edited_copy_of_a_large_group_is_found(spark, group):
+    """No copy is lost because its first text or the one before it is another one's copy, all pairs of a run count."""
+    passage = prose(56, 9700)
+    texts = [prose(25, 20000 + i) + " " + edited(passage, 1, i) + " " + prose(25, 22000 + i) for i in range(group)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows, want = compact_windows.duplicate_passages(df).collect(), with_source(texts)
+    got = {r.doc_id for r in rows}
+    print("recall", len(got & want), len(want))
+    assert len(got & want) >= 0.97 * len(want)
+    for r in rows:
+        here, there = (texts[d].lower().split()[x:y] for d, x, y in ((r.doc_id, r.start_word, r.end_word), (r.source, r.source_start, r.source_end)))
+        one, two = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (here, there))
+        assert len(here) >= 50 and len(one & two) >= 0.8 * len(one | two)
+
+
+def test_windows_that_an_earlier_text_has_twice(spark):
+    """The second place of a signature in the only other text is met too."""
+    texts = []
+    for k in range(12):
+        shared, other = prose(120, 9800 + k).split(), prose(200, 9820 + k).split()
+        # all runs of five words of the passage come before it in other surroundings
+        decoys = [w for i in range(0, 120, 5) for w in other[i : i + 60] + shared[i : i + 5]]
+        texts += [" ".join(decoys + other + shared), " ".join(prose(40, 9840 + k).split() + shared)]
+    assert found_rows(spark, texts, 4) >= with_source(texts)
+
+
+def test_first_similar_against_all_pairs_and_in_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(12)
+    base = r.integers(0, 1 << 32, (5, 91)).astype(np.uint32)
+    key, role, row, parts = [], [], [], []
+    for n in range(160):
+        part = base[n % 5].copy()
+        part[r.integers(0, 91, n % 9)] = r.integers(0, 1 << 32, n % 9)
+        part = part[r.integers(0, 40) : 91 - r.integers(0, 10)]
+        key.append(n % 5 // 2), role.append(int(r.integers(0, 3))), row.append(int(r.integers(-40, 40))), parts.append(part)
+    order = np.argsort(key, kind="stable")
+    key, role, row, parts = np.array(key)[order], np.array(role)[order], np.array(row)[order], [parts[i] for i in order]
+    packed = pa.array([p.tobytes() for p in parts], pa.binary())
+    cells = np.stack([key, np.zeros(len(key), np.int64)], 1)
+    a, b = compact_windows.first_similar(cells, role, row, packed, 46, 0.8)
+    want = {
+        j: {i for i in range(160) if key[i] == key[j] and role[i] != 2 and row[i] < row[j] and compact_windows.same_passages(parts[i], parts[j], 46, 0.8)}
+        for j in range(160) if role[j] != 0
+    }
+    assert set(b.tolist()) == {j for j, some in want.items() if some} and len(b) > 30
+    assert all(i in want[j] for i, j in zip(a.tolist(), b.tolist()))
+
+    texts = [prose(25, 24000 + i) + " " + edited(prose(56, 9900), 1, i) + " " + prose(25, 25000 + i) for i in range(120)]
+    wanted = with_source(texts)
+    monkeypatch.setattr(compact_windows, "BLOCK", 16)
+    got = found_rows(spark, texts, 4)
+    assert got <= wanted and len(got) >= 0.97 * len(wanted)
